@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import decontaminate, simhash, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -27,6 +31,7 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op8_toxic_crf": op8_toxic_crf,
+    "op9_template_decontam": op9_template_decontam,
     "op10_bitsliced_simhash": op10_bitsliced_simhash,
 }
 
