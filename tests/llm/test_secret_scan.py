@@ -1,0 +1,61 @@
+import hashlib
+
+import numpy as np
+import pytest
+
+from isoplane.llm import secret_scan as S
+
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+@pytest.fixture(scope="module")
+def model():
+    return S.train()
+
+
+def test_forest_separates_held_out_findings(model):
+    right = sum((S.judge([t], [p], model)[0][0][3] >= 0.5) == bool(y) for t, p, y in S.labelled_findings(600, seed=99))
+    assert right >= 0.97 * 600
+
+
+def test_forest_learns_a_rule():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 4))
+    y = (x[:, 2] > 0.4).astype(float)
+    forest = S.Forest.fit(x, y)
+    assert ((forest.predict(x) >= 0.5) == y).mean() > 0.98
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        (None, []),
+        ("", []),
+        ("plain words of no interest to anyone at all", []),
+        (f'token = "{KEY}"### and', [KEY]),
+        ("password=da3fe1beadc3e135f8 ed", ["da3fe1beadc3e135f8"]),
+        (f"see {KEY} and token={KEY}.", [KEY, KEY]),
+    ],
+)
+def test_candidates(text, values):
+    assert [text[a:b] for a, b, _ in S.candidates(text)] == values
+
+
+def test_overlaps_and_long_texts():
+    spans = S.candidates("x " * 50_000 + f"api_key: 'AKIA{'Z9' * 8}' " + "k" * 30_000 + "9")
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and len(spans) == 2
+
+
+def test_scan_and_redact(spark, model):
+    rows = [
+        (1, f'a token = "{KEY}" b', "src1", 60, 5), (1, f'a token = "{KEY}" b', "src1", 60, 5), (2, "commit " + KEY + " done", None, 50, 6),
+        (3, None, None, None, 7), (4, "", "x", 0, 8), (None, "clean", "x", 5, 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, rule int")
+    got = S.scan(docs, model).collect()
+    assert [(r.doc_id, r.start, r.is_secret) for r in got if r.is_secret] == [(1, 11, 1)] * 2
+    assert got[0].digest == hashlib.sha256(KEY.encode()).hexdigest()
+    after = {(r.doc_id, r.text, r.n_chars) for r in S.redact(docs, model).collect()}
+    assert (1, 'a token = "[SECRET]" b', 22) in after and (3, None, None) in after and len(after) == 5
+    assert S.redact(docs, model).schema == docs.schema
+    assert S.scan(docs.limit(0), model).collect() == []
