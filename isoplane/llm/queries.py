@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, simhash, toxicity
+from . import decontaminate, mixing, secret_scan, simhash, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
 
 
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
 def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -35,10 +39,13 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_secret_forest": op2_secret_forest,
+    "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_toxic_crf": op8_toxic_crf,
     "op9_template_decontam": op9_template_decontam,
     "op10_bitsliced_simhash": op10_bitsliced_simhash,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_hierarchical_mix": mixing.oracle(),
+}
