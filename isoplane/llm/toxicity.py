@@ -19,6 +19,7 @@ are none); repeated rows are scored each; other columns pass through or are igno
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -148,7 +149,7 @@ def token_lexicon(vocab: np.ndarray, word: np.ndarray, doc: np.ndarray, toxic: n
     its words no longer count for other features.
     """
     p, q = int(toxic.sum()), int((~toxic).sum())
-    least = max(5, round(0.006 * p))
+    least = max(5, round(0.01 * p))
     good: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     bad_pair = toxic[doc]
     for k in (0, *PREFIXES):
@@ -189,14 +190,13 @@ def fit(toxic_texts: list[str], other_texts: list[str], weights: tuple[float, fl
         return model
     texts = [*toxic_texts, *other_texts]
     label = np.arange(len(texts)) < len(toxic_texts)
-    flat: list[str] = []
-    ends = []
-    for text in texts:
-        flat += TOKEN.findall(text.lower())
-        flat.append("\n")
-        ends.append(len(flat))
-    ids, vocab = pd.factorize(np.array(flat, object))
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
+    # token numbers instead of strings: the driver holds each distinct word once
+    number: dict[str, int] = {}
+    parts = [np.fromiter((number.setdefault(w, len(number)) for w in [*TOKEN.findall(text.lower()), "\n"]), np.int32) for text in texts]
+    ids = np.concatenate(parts)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
+    vocab = np.array(list(number), object)
+    del parts, number
     breaks = np.array([w[0] in ".!?\n" for w in vocab])
     word = ~breaks[ids]
     first = _grouped(ids[word], doc[word], len(texts))
@@ -230,8 +230,15 @@ def fit(toxic_texts: list[str], other_texts: list[str], weights: tuple[float, fl
     own, chain_vocab = pd.factorize(ids[at])
     words = [vocab[k] for k in chain_vocab]
     seen = Counter(f for w in words for f in word_features(w))
-    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 2 or f[0] == "w"))}
-    row, col = np.array([(k, index[f]) for k, w in enumerate(words) for f in word_features(w) if f in index]).T
+    hot = {f for k, w in zip(chain_vocab, words) if hit[k] for f in word_features(w)}
+    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 3 or f in hot))}
+    del seen
+    row, col = array("i"), array("i")
+    for k, w in enumerate(words):
+        own_features = [index[f] for f in word_features(w) if f in index]
+        row.extend([k] * len(own_features))
+        col.extend(own_features)
+    row, col = np.frombuffer(row, np.int32), np.frombuffer(col, np.int32)
     size = len(index)
     inner = np.ones(len(y), bool)
     inner[starts] = False
@@ -326,7 +333,7 @@ class Scorer:
         return scores, spans
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_negative: int = 6000, max_chars: int = 40_000_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_negative: int = 4000, max_chars: int = 20_000_000) -> ToxicModel:
     """Fit on the rows of ``docs`` that ``labels.toxic`` marks and that are not held out.
 
     At most about ``max_positive`` and ``max_negative`` documents are taken, in the order of a hash of their id, and
