@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, secret_scan, simhash, toxicity
+from . import ann, decontaminate, langid, mixing, secret_scan, simhash, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_segment_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
@@ -46,6 +50,7 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_secret_forest": op2_secret_forest,
     "op3_segment_langid": op3_segment_langid,
+    "op5_collision_ann": op5_collision_ann,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_toxic_crf": op8_toxic_crf,
     "op9_template_decontam": op9_template_decontam,
