@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, secret_scan, simhash, toxicity
+from isoplane.checkpoints import fresh_path
+
+from . import ann, decontaminate, langid, mixing, secret_scan, simhash, toxicity, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,19 @@ def op3_segment_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keeper FROM pages)
+"""
+
+
 def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -50,6 +65,7 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_secret_forest": op2_secret_forest,
     "op3_segment_langid": op3_segment_langid,
+    "op4_warc_dictionary": op4_warc_dictionary,
     "op5_collision_ann": op5_collision_ann,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_toxic_crf": op8_toxic_crf,
@@ -59,5 +75,6 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op4_warc_dictionary": OP4_SQL,
     "op6_hierarchical_mix": mixing.oracle(),
 }
