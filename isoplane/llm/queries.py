@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isoplane.checkpoints import fresh_path
 
-from . import ann, decontaminate, langid, mixing, secret_scan, simhash, toxicity, warc
+from . import ann, decontaminate, langid, licences, mixing, secret_scan, simhash, toxicity, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
+def op7_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.classify(table(spark, sf_dir, "documents"), licences.train())
+
+
 def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc_dictionary": op4_warc_dictionary,
     "op5_collision_ann": op5_collision_ann,
     "op6_hierarchical_mix": op6_hierarchical_mix,
+    "op7_licence_classifier": op7_licence_classifier,
     "op8_toxic_crf": op8_toxic_crf,
     "op9_template_decontam": op9_template_decontam,
     "op10_bitsliced_simhash": op10_bitsliced_simhash,
