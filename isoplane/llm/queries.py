@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isoplane.checkpoints import fresh_path
 
-from . import ann, decontaminate, langid, licences, mixing, secret_scan, simhash, toxicity, warc
+from . import ann, decontaminate, langid, licences, mixing, secret_scan, simhash, surrogates, toxicity, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op10_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: In production the key comes from the deployment's secret store.
+SURROGATE_KEY = b"isoplane registered query"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
 
@@ -67,6 +75,7 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_secret_forest": op2_secret_forest,
     "op3_segment_langid": op3_segment_langid,
     "op4_warc_dictionary": op4_warc_dictionary,
