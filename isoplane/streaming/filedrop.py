@@ -41,6 +41,6 @@ def _wait(path: Path, timeout_s: float, poll_s: float) -> str:
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the exit codes of many tools, from result files ``<job>.done`` that appear below ``folder``."""
-    files = spark.readStream.schema("value string").option("pathGlobFilter", "*.done").option("wholetext", True).text(folder)
+    files = spark.readStream.schema("value string").option("pathGlobFilter", "*.done").text(folder, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return files.select(F.regexp_replace(name, r"\.done$", "").alias("job"), F.regexp_extract("value", r"^\s*(-?[0-9]+)", 1).try_cast("int").alias("exit_code"))
