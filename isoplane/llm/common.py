@@ -41,3 +41,8 @@ def own_name(wanted: str, taken: list[str]) -> str:
         k += 1
         name = f"{wanted}_{k}"
     return name
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Words in a window, and the share of an item's windows that makes a leak.
 WIDTH = 5
 COVERAGE = 0.8
@@ -131,4 +133,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, wid
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that leak an item; rows without an id stay."""
     found = leaks(docs, benchmark, coverage).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*quoted(docs.columns))

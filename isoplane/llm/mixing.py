@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from isoplane.checkpoints import cut
 
-from .common import own_name
+from .common import own_name, quoted
 
 #: Aimed-at documents in a bucket of the seeded order.
 BUCKET = 4096
@@ -139,7 +139,7 @@ def select(docs: DataFrame, plan: MixPlan = MixPlan(), domain: Column | None = N
 
     taken = docs.columns
     names = {n: own_name(n, taken) for n in ("domain", "tokens", "epoch")}
-    placed = docs.select(F.struct(*docs.columns).alias("row"), *leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m")).where("tokens > 0")
+    placed = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m")).where("tokens > 0")
     placed = with_leaf(placed, table).withColumn("key", key("m")).withColumn("bucket", bucket)
     extra = F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("end.bucket")), 1).otherwise(0)
     at_end = F.coalesce(F.col("bucket") == F.col("end.bucket"), F.lit(False)) & (F.col("rest") > 0)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from isoplane.checkpoints import cut
 from isoplane.operators.components import connected_components
 
-from .common import map_slices
+from .common import map_slices, quoted
 
 #: Most rows of a candidate block that are compared in one task.
 BLOCK = 4096
@@ -227,6 +227,6 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     kept = docs.join(keep, "doc_id", "left_semi")
     repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
-        several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several.select("row.*"))
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*quoted(docs.columns))).alias("row"))
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*quoted(docs.columns)).unionByName(several.select("row.*"))
+    return kept.select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
