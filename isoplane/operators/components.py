@@ -4,7 +4,7 @@ Each round rewires every node to the smallest node it can see: the *large star*
 smallest one, the *small star* does the same for its smaller neighbours.  The edge list never grows beyond its first
 size, converges in a number of rounds that is logarithmic in practice, and ends as one star per component.  Rounds end
 in a reliable checkpoint, so neither lineage nor executor loss matters; nothing but two numbers per round reaches the
-driver.  The joins key on the node, and a hub's rows are split by the adaptive skew join.
+driver.  The joins are salted, as stars are what the rounds make: a hub's edges are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -15,16 +15,27 @@ from pyspark.sql import functions as F
 from isoplane.checkpoints import cut
 
 
+#: Parts that a node's edges are dealt to in a join.
+SALT = 16
+
+
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges with the smallest neighbour ``m`` of their node ``a``; a hub's edges go to ``SALT`` tasks."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
+    every = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(every, ["a", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_low(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_low(down, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
