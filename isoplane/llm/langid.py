@@ -38,14 +38,27 @@ _SPACE = "▁"
 
 
 class Pieces:
-    """The fixed vocabulary: piece strings, the prefixes they start with, and the pieces of single bytes."""
+    """The fixed vocabulary: piece strings, the pieces of single bytes, and a trie as sorted arrays."""
 
     def __init__(self, names: list[str]):
         self.ids = {n: k for k, n in enumerate(names)}
         self.size = len(names)
         self.longest = max(map(len, names), default=1)
-        self.prefixes = {n[:k] for n in names for k in range(1, len(n) + 1)}
         self.bytes = [self.ids[f"<0x{b:02X}>"] for b in range(256)]
+        node = {p: k for k, p in enumerate(sorted({n[:k] for n in names for k in range(len(n) + 1)}))}
+        # an edge of the trie is (node, character) in one number; node 0 is the root
+        edge = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in node if p], np.int64)
+        child = np.array([k for p, k in node.items() if p], np.int32)
+        order = np.argsort(edge)
+        self.edge, self.child = edge[order], child[order]
+        self.piece_at = np.full(len(node), -1, np.int32)
+        self.piece_at[[node[n] for n in names]] = np.arange(self.size)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The trie nodes that follow ``node`` by ``char``; -1 where there is none."""
+        wanted = node.astype(np.int64) << 21 | char
+        at = np.minimum(np.searchsorted(self.edge, wanted), len(self.edge) - 1)
+        return np.where(self.edge[at] == wanted, self.child[at], -1)
 
     @staticmethod
     def load(path: str = VOCABULARY) -> Pieces:
@@ -59,36 +72,35 @@ class Lattice:
     """All segmentations of a list of words, as edges sorted by end position and word."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        ids, prefixes, size = pieces.ids, pieces.prefixes, pieces.size
-        spelled: dict[str, int] = {}
-        word, start, end, piece = [], [], [], []
-        for k, raw in enumerate(words):
-            w = _SPACE + raw
-            n = len(w)
-            for i in range(n):
-                c = w[i]
-                p = ids.get(c)
-                if p is None:
-                    p = size + spelled.setdefault(c, len(spelled))
-                word.append(k)
-                start.append(i)
-                end.append(i + 1)
-                piece.append(p)
-                if c in prefixes:
-                    for j in range(i + 2, n + 1):
-                        part = w[i:j]
-                        if part not in prefixes:
-                            break
-                        p = ids.get(part)
-                        if p is not None:
-                            word.append(k)
-                            start.append(i)
-                            end.append(j)
-                            piece.append(p)
         self.lengths = np.array([len(w) + 1 for w in words])
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int32) for x in (word, start, end, piece))
+        code = np.frombuffer("".join([_SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths)
+        first = np.cumsum(self.lengths) - self.lengths
+        start = np.arange(len(code)) - np.repeat(first, self.lengths)
+        left = self.lengths[word] - start
+        # all positions walk the trie together, one character in each round
+        parts = []
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int32)
+        for k in range(1, pieces.longest + 1):
+            node = pieces.step(node, code[at + k - 1])
+            on = node >= 0
+            piece = np.where(on, pieces.piece_at[node], -1)
+            if k == 1:
+                strange = at[piece < 0]
+            hit = piece >= 0
+            parts.append((at[hit], np.full(int(hit.sum()), k), piece[hit]))
+            more = on & (left[at] > k)
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        # characters that are no piece stand for themselves
+        spelled, which = np.unique(code[strange], return_inverse=True)
+        parts.append((strange, np.ones(len(strange), int), pieces.size + which))
+        at, span, piece = (np.concatenate(x) for x in zip(*parts))
+        self.word, self.start, self.piece = word[at], start[at], piece
+        self.end = self.start + span
         #: byte pieces of the characters that the vocabulary lacks
-        self.spelled = [[pieces.bytes[b] for b in c.encode("utf-8", "surrogatepass")] for c in spelled]
+        self.spelled = [[pieces.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in spelled]
 
     def extended(self, logp: np.ndarray) -> np.ndarray:
         """Piece log-probabilities with rows for the spelled characters."""
