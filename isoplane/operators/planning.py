@@ -120,3 +120,40 @@ def first_fractionation(plans: DataFrame, targets: DataFrame) -> DataFrame:
     """Plans with fractions and dose per fraction of the first target of their prescription."""
     first = targets.groupBy("rx_id").agg(F.min_by(F.struct("fractions", "dose_per_fraction"), "pos").alias("t"))
     return plans.join(first, "rx_id", "left").select(*plans.columns, "t.fractions", "t.dose_per_fraction")
+
+
+def sets_of_series(sets: DataFrame, images: DataFrame, series_id: str) -> DataFrame:
+    """Structure sets drawn on an image of the series."""
+    return sets.join(images.where(F.col("series_id") == series_id).select("image_id"), "image_id", "left_semi")
+
+
+def plans_in_scope(plans: DataFrame) -> DataFrame:
+    """The plans in scope (``in_scope``) of each context; where there are none, its active plan (``is_active``)."""
+    any_scope = F.max("in_scope").over(Window.partitionBy("context"))
+    return plans.withColumn("any_scope", F.coalesce(any_scope, F.lit(False))).where("in_scope or (not any_scope and is_active)").drop("any_scope")
+
+
+def prescription_rows(courses: DataFrame) -> DataFrame:
+    """One row for each prescription of courses whose phases hold arrays of prescriptions."""
+    phases = courses.select("course_id", F.explode("phases").alias("phase"))
+    return phases.select("course_id", "phase.phase_id", F.explode("phase.prescriptions").alias("rx")).select("course_id", "phase_id", "rx.*")
+
+
+def plans_of_target(plans: DataFrame, targets: DataFrame) -> DataFrame:
+    """Plans that already treat one of the targets; ids compare without case."""
+    return plans.withColumn("k", F.upper("target_id")).join(targets.select(F.upper("target_id").alias("k")).distinct(), "k", "left_semi").drop("k")
+
+
+def with_colours(structures: DataFrame, colours: DataFrame) -> DataFrame:
+    """Structures with a display colour where the table (a few hundred names at most) has one."""
+    return structures.join(F.broadcast(colours.limit(1000)), "structure_id", "left")
+
+
+def models_available(models: Column, needed: list[str]) -> Column:
+    """Whether a machine has all calculation models."""
+    return F.array_size(F.array_except(F.array(*[F.lit(m) for m in needed]), F.coalesce(models, F.array().cast("array<string>")))) == 0
+
+
+def display_label(set_id: Column, image_id: Column) -> Column:
+    """How a set is shown in a list."""
+    return F.format_string("%s  (%s)", set_id, image_id)

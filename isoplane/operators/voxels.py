@@ -243,3 +243,48 @@ def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape:
     inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
     second = subtract(second.where(inside), grow(body.select(*spots), key, body_margin, spacing), key)
     return union(bulged if keep_bulge else body.select(*spots), second)
+
+
+def fill_polygons(points: DataFrame, key: Key) -> DataFrame:
+    """Pixels of the contours ``(key, contour_no, vertex_no, px, py)``, by the even-odd rule over all of a key's contours.
+
+    Pixels on an edge's crossing with their row, and the vertices themselves, belong to the fill.  Contours of fewer than
+    three vertices have no area and are left out.  Each edge finds its own crossings, so only crossings are shuffled.
+    """
+    contour = [*key, "contour_no"]
+    order = Window.partitionBy(*contour).orderBy("vertex_no")
+    around = Window.partitionBy(*contour)
+    edges = (
+        points.withColumn("n", F.count("*").over(around)).where("n >= 3")
+        .withColumn("first", F.first(F.struct("px", "py")).over(order))
+        .withColumn("next", F.coalesce(F.lead(F.struct("px", "py")).over(order), F.col("first")))
+        .select(*key, F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("next.px").alias("x2"), F.col("next.py").alias("y2"))
+    )
+    # a row is crossed by an edge that starts on or above it and ends below it
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = F.sequence(F.ceil(low).cast("int"), (F.ceil(high) - 1).cast("int"))
+    crossed = edges.where(F.ceil(low) < F.ceil(high)).withColumn("y", F.explode(rows))
+    crossed = crossed.withColumn("cx", F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    spans = crossed.groupBy(*key, "y").agg(F.array_sort(F.collect_list("cx")).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("xs", 2 * i) - 1e-9).alias("a"), F.floor(F.get("xs", 2 * i + 1) + 1e-9).alias("b")))
+    filled = spans.select(*key, "y", F.explode(F.filter(pairs, lambda p: p["a"] <= p["b"])).alias("p")).select(*key, F.explode(F.sequence(F.col("p.a").cast("int"), F.col("p.b").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"))
+    corners = edges.select(*key, F.bround("x1", 0).cast("int").alias("x"), F.bround("y1", 0).cast("int").alias("y"))
+    return union(filled, corners)
+
+
+def outline(mask: DataFrame, key: Key) -> DataFrame:
+    """The outer pixels of each slice: those with a background neighbour among their four."""
+    steps = offsets([(1, 0), (-1, 0), (0, 1), (0, -1)], "dx, dy")
+    told = mask.select("*", steps).select(*key, "z", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    return subtract(mask, told.groupBy(*key, "z", "x", "y").agg(F.count("*").alias("n")).where("n = 4"), key)
+
+
+def surface_on_ray(mask: DataFrame, key: Key, x: int, z: int, centre: int, reach: int = 50) -> DataFrame:
+    """The largest y of the mask on the ray through (x, z), within ``reach`` of ``centre``; keys whose ray misses are left out."""
+    return mask.where((F.col("x") == x) & (F.col("z") == z) & F.col("y").between(centre - reach, centre + reach)).groupBy(*key).agg(F.max("y").alias("surface"))
+
+
+def bounds_report(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
+    """Index bounds, voxel count and volume in cc of each key."""
+    cc = spacing[0] * spacing[1] * spacing[2] / 1000
+    return mask.groupBy(*key).agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))], F.count("*").alias("voxels"), (F.count("*") * cc).alias("volume_cc"))

@@ -145,6 +145,7 @@ def eligibility_notes(spark, sf_dir):
 # --- masks -------------------------------------------------------------------------------------------------------
 
 _SX, _SY, _SZ = SPACING
+_XYZ = "image, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z"
 _BORDER = view_sql("mask") + """, steps(dx, dy, dz) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
 edge AS (SELECT DISTINCT m.pair_id, m.role, m.x, m.y, m.z FROM v_mask m CROSS JOIN steps s
   LEFT JOIN v_mask n ON n.pair_id = m.pair_id AND n.role = m.role AND n.x = m.x + dx AND n.y = m.y + dy AND n.z = m.z + dz WHERE n.x IS NULL)"""
@@ -153,19 +154,56 @@ dist AS (SELECT a.pair_id, a.role, a.x, a.y, a.z, sqrt(min(((a.x - b.x) * {_SX})
   FROM edge a JOIN edge b ON a.pair_id = b.pair_id AND a.role <> b.role GROUP BY ALL)"""
 
 
-@query(view_sql("mask") + f""", bo AS (SELECT pair_id, x, y, z, max(CASE WHEN role = 'GT' THEN 1 ELSE 0 END) AS g, max(CASE WHEN role = 'AI' THEN 1 ELSE 0 END) AS a FROM v_mask GROUP BY ALL),
+def _overlap_sql(name: str) -> str:
+    return view_sql(name) + f""", bo AS (SELECT pair_id, x, y, z, max(CASE WHEN role = 'GT' THEN 1 ELSE 0 END) AS g, max(CASE WHEN role = 'AI' THEN 1 ELSE 0 END) AS a FROM v_{name} GROUP BY ALL),
 s AS (SELECT pair_id, CAST(sum(g) AS BIGINT) AS cg, CAST(sum(a) AS BIGINT) AS ca, sum(g * a) AS i, count(*) AS u,
   avg(x) FILTER (g = 1) AS gx, avg(y) FILTER (g = 1) AS gy, avg(z) FILTER (g = 1) AS gz, avg(x) FILTER (a = 1) AS ax, avg(y) FILTER (a = 1) AS ay, avg(z) FILTER (a = 1) AS az FROM bo GROUP BY pair_id)
 SELECT pair_id, cg, ca, CASE WHEN ok THEN round(2.0 * i / (cg + ca), 6) END AS dice, CASE WHEN ok THEN round(CAST(i AS DOUBLE) / u, 6) END AS jaccard,
   CASE WHEN ok THEN round(cg * CAST({_SX * _SY * _SZ / 1000} AS DOUBLE), 6) END AS volume_gt_cc, CASE WHEN ok THEN round(ca * CAST({_SX * _SY * _SZ / 1000} AS DOUBLE), 6) END AS volume_ai_cc,
   CASE WHEN ok THEN round((ca - cg) * CAST({_SX * _SY * _SZ / 1000} AS DOUBLE), 6) END AS volume_diff_cc,
   CASE WHEN ok THEN round(sqrt(((ax - gx) * {_SX}) ** 2 + ((ay - gy) * {_SY}) ** 2 + ((az - gz) * {_SZ}) ** 2), 6) END AS com_diff_mm,
-  CASE WHEN NOT ok THEN 'empty structure (no voxels)' END AS note FROM (SELECT *, cg > 0 AND ca > 0 AS ok FROM s)""")
+  CASE WHEN NOT ok THEN 'empty structure (no voxels)' END AS note FROM (SELECT *, cg > 0 AND ca > 0 AS ok FROM s)"""
+
+
+@query(_overlap_sql("mask"))
 def overlap(spark, sf_dir):
     found = voxels.overlap(view(spark, sf_dir, "mask"), ["pair_id"], SPACING)
     return found.select("pair_id", *_long("cg", "ca"), *_round("dice", "jaccard", "volume_gt_cc", "volume_ai_cc", "volume_diff_cc", "com_diff_mm"), "note")
 
 
+@query(_overlap_sql("mask_noise"))
+def overlap_noise(spark, sf_dir):
+    found = voxels.overlap(view(spark, sf_dir, "mask_noise"), ["pair_id"], SPACING)
+    return found.select("pair_id", *_long("cg", "ca"), *_round("dice", "jaccard", "volume_gt_cc", "volume_ai_cc", "volume_diff_cc", "com_diff_mm"), "note")
+
+
+@query(view_sql("contour") + """, e AS (SELECT pair_id, px AS x1, py AS y1, lead(px, 1, first_px) OVER w AS x2, lead(py, 1, first_py) OVER w AS y2 FROM (
+    SELECT *, first_value(px) OVER v AS first_px, first_value(py) OVER v AS first_py, count(*) OVER (PARTITION BY pair_id, contour_no) AS n FROM v_contour WINDOW v AS (PARTITION BY pair_id, contour_no ORDER BY vertex_no))
+  WHERE n >= 3 WINDOW w AS (PARTITION BY pair_id, contour_no ORDER BY vertex_no)),
+p AS (SELECT pair_id, x, y FROM (SELECT DISTINCT pair_id FROM e) CROSS JOIN (SELECT unnest(range(0, 18)) AS x) CROSS JOIN (SELECT unnest(range(0, 30)) AS y)),
+h AS (SELECT p.*, count(*) FILTER (c > p.x + 1e-9) AS beyond, count(*) FILTER (abs(c - p.x) <= 1e-9) AS touch FROM (
+    SELECT *, x1 + (y - y1) * (x2 - x1) / (y2 - y1) AS c FROM p JOIN e USING (pair_id) WHERE least(y1, y2) <= y AND y < greatest(y1, y2)) p GROUP BY ALL)
+SELECT DISTINCT pair_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT pair_id, x, y FROM (SELECT pair_id, x, y, max(beyond) AS beyond, max(touch) AS touch FROM h GROUP BY ALL) WHERE beyond % 2 = 1 OR touch > 0
+  UNION ALL SELECT pair_id, CAST(x1 AS BIGINT), CAST(y1 AS BIGINT) FROM e)""".replace("SELECT p.*, count(*)", "SELECT pair_id, x, y, count(*)").replace("c > p.x", "c > x").replace("c - p.x", "c - x"))
+def polygon_fill(spark, sf_dir):
+    return voxels.fill_polygons(view(spark, sf_dir, "contour"), ["pair_id"]).select("pair_id", *_long("x", "y"))
+
+
+@query(view_sql("mask") + """ SELECT pair_id, role, """ + ", ".join(f"CAST({f}({c}) AS BIGINT) AS {c}{k}" for c in "xyz" for k, f in ((0, "min"), (1, "max"))) + """, count(*) AS voxels,
+  round(count(*) * CAST(0.0045 AS DOUBLE), 6) AS volume_cc, max(CASE WHEN x = 2 AND z = 0 THEN CAST(y AS BIGINT) END) AS surface FROM v_mask GROUP BY pair_id, role""")
+def mask_report(spark, sf_dir):
+    mask = view(spark, sf_dir, "mask")
+    ray = voxels.surface_on_ray(mask, ["pair_id", "role"], 2, 0, 0)
+    found = voxels.bounds_report(mask, ["pair_id", "role"], SPACING).join(ray, ["pair_id", "role"], "left")
+    return found.select("pair_id", "role", *_long("x0", "x1", "y0", "y1", "z0", "z1", "voxels"), *_round("volume_cc"), *_long("surface"))
+
+
+@query(view_sql("hu") + f""", m AS (SELECT * FROM v_hu WHERE raw >= 400)
+SELECT {_XYZ} FROM m WHERE (SELECT count(*) FROM m n WHERE n.image = m.image AND n.z = m.z AND abs(n.x - m.x) + abs(n.y - m.y) = 1) < 4""")
+def outline(spark, sf_dir):
+    return voxels.outline(_hu(spark, sf_dir, 400), ["image"]).select("image", *_long("x", "y", "z"))
+
+
 @query(_BORDER + " SELECT pair_id, role, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM edge")
 def border(spark, sf_dir):
     return voxels.border(view(spark, sf_dir, "mask"), ["pair_id", "role"]).select("pair_id", "role", *_long("x", "y", "z"))
@@ -208,7 +246,6 @@ def mask_set_operations(spark, sf_dir):
 
 # --- voxel volumes -----------------------------------------------------------------------------------------------
 
-_XYZ = "image, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z"
 
 
 def _hu(spark, sf_dir, least: int = 0):

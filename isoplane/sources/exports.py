@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoplane.functions.text import export_field, number_text
+from isoplane.operators.matching import ordinal
 
 _METRICS = "DICE;Jaccard;Hausdorff_mm;HD95_mm;ASSD_mm;Volume_GT_cc;{}_cc;VolumeDiff_cc;COMdiff_mm;Note"
 # The headers of the three exports.
@@ -32,6 +33,25 @@ def write_csv(df: DataFrame, path: str, header: str, columns: list[str], order:
     head.coalesce(1).unionByName(body).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
+METRIC_COLUMNS = ["dice", "jaccard", "hausdorff_mm", "hd95_mm", "assd_mm", "volume_gt_cc", "volume_ai_cc", "volume_diff_cc", "com_diff_mm", "note"]
+
+
+def write_auto_csv(rows: DataFrame, path: str) -> None:
+    """Rows of ``auto_match`` with metrics, 16 columns, in group order."""
+    write_csv(rows, path, AUTO_HEADER, ["group_no", "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *METRIC_COLUMNS], [F.col("group_no"), *ordinal("ai_set", "ai_structure")])
+
+
+def write_pair_csv(rows: DataFrame, path: str, gt_set: str, cmp_set: str) -> None:
+    """Rows of ``pair_match`` with metrics, 15 columns, in key order."""
+    named = rows.withColumn("gt_set", F.lit(gt_set)).withColumn("cmp_set", F.lit(cmp_set))
+    write_csv(named, path, PAIR_HEADER, ["match_key", "gt_set", "gt_structure", "cmp_set", "cmp_structure", *METRIC_COLUMNS], ordinal("match_key"))
+
+
+def write_link_csv(groups: DataFrame, path: str) -> None:
+    """Rows of ``link_groups``, ground truth first in each group."""
+    write_csv(groups, path, LINK_HEADER, ["group_no", "role", "set_id", "structure_id"], [F.col("group_no"), F.col("member_no")])
+
+
 def report(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """One text per group: a title line and a line for each row, metrics with up to three decimals."""
     shown = [F.concat(F.lit(f"{m}="), number_text(m, 3, "n/a")) for m in metrics]

@@ -93,6 +93,14 @@ VIEWS = {
         FROM {{part}} JOIN {_values([(0, 'GT'), (1, 'AI')], 'r(k, role)')} ON NOT (r.k = 1 AND p_size = 1)
         JOIN {_DIGITS.format('x')} ON x.v < 2 + p_size % 3 + r.k JOIN {_DIGITS.format('y')} ON y.v < 2 + p_size % 2
         JOIN {_DIGITS.format('z')} ON z.v < 1 + p_size % 3""",
+    "mask_noise": """
+        SELECT DISTINCT CAST(l_suppkey AS BIGINT) % 20 AS pair_id, CASE WHEN l_linenumber % 2 = 0 THEN 'GT' ELSE 'AI' END AS role, CAST(l_partkey % 16 AS INTEGER) AS x,
+          CAST(l_orderkey % 16 AS INTEGER) AS y, CAST(CAST(l_quantity AS BIGINT) % 8 AS INTEGER) AS z
+        FROM {lineitem}""",
+    # a triangle and, inside of or beside it, a rectangle for each part
+    "contour": """
+        SELECT CAST(p_partkey AS BIGINT) AS pair_id, c.contour_no, c.vertex_no, CAST(c.px AS DOUBLE) + p_size % 4 AS px, CAST(c.py AS DOUBLE) * (1 + p_size % 3) AS py
+        FROM {part} CROSS JOIN (VALUES (0, 0, 0, 0), (0, 1, 12, 1), (0, 2, 5, 9), (1, 0, 4, 2), (1, 1, 7, 2), (1, 2, 7, 4), (1, 3, 4, 4), (2, 0, 1, 1), (2, 1, 3, 3)) AS c(contour_no, vertex_no, px, py)""",
     "hu": """
         SELECT CAST(l_suppkey AS BIGINT) % 20 AS image, CAST(l_partkey % 16 AS INTEGER) AS x, CAST(l_orderkey % 16 AS INTEGER) AS y,
           CAST(CAST(l_quantity AS BIGINT) % 8 AS INTEGER) AS z, CAST(max(CAST(floor(l_extendedprice) AS BIGINT) % 2000) AS INTEGER) AS raw

@@ -55,6 +55,18 @@ def test_csv_export(spark, tmp_path):
     assert exports.AUTO_HEADER.count(";") == 15 and exports.PAIR_HEADER.count(";") == 14
 
 
+def test_named_exports(spark, tmp_path):
+    metrics = {c: F.lit(0.5) for c in exports.METRIC_COLUMNS if c != "note"}
+    rows = spark.createDataFrame([(1, "k", "g", "gs", "a", "as", None)], "group_no int, match_key string, gt_set string, gt_structure string, ai_set string, ai_structure string, note string").withColumns(metrics)
+    exports.write_auto_csv(rows, str(tmp_path / "a"))
+    exports.write_pair_csv(rows.withColumnRenamed("ai_structure", "cmp_structure").drop("gt_set", "ai_set"), str(tmp_path / "p"), "G", "C")
+    links = spark.createDataFrame([(1, 2, "AI", "s", "b;c"), (1, 1, "GroundTruth", "m", "d")], "group_no int, member_no int, role string, set_id string, structure_id string")
+    exports.write_link_csv(links, str(tmp_path / "l"))
+    lines = {k: next((tmp_path / k).glob("part-*")).read_text(encoding="utf-8-sig").split("\n") for k in "apl"}
+    assert lines["a"][1].strip() == "1;k;g;gs;a;as;" + "0.5;" * 9 and lines["p"][1].strip() == "k;G;gs;C;as;" + "0.5;" * 9
+    assert [x.strip() for x in lines["l"][1:3]] == ["1;GroundTruth;m;d", "1;AI;s;b,c"]
+
+
 def test_matching_rules(spark):
     rows = [("Manual", "Heart"), ("AutoA", "heart"), ("AutoB", "HEART "), ("Manual", "Heart_1"), ("AutoA", "Liver"), ("AutoB", "liver"), ("Manual", "Lung_L"), ("Replan", "lung sin")]
     df = spark.createDataFrame([(1, s, o, False, i) for i, (s, o) in enumerate(rows)], "patient_id long, set_id string, structure_id string, is_empty boolean, seq long")

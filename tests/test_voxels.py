@@ -113,3 +113,26 @@ def test_score_and_search(spark):
     plans = spark.createDataFrame([(1,), (2,)], "plan_no int")
     best = search.hinge_search(plans, lambda v: F.when(F.col("plan_no") == 1, F.abs(v - 83.0))).orderBy("plan_no").collect()
     assert [(r.best_value, r.n_tried) for r in best] == [(85.0, 12), (30.0, 11)]
+
+
+def test_fixation_pipeline(spark):
+    body = [(1, x, y, z, 100) for x in range(4, 8) for y in range(2, 6) for z in range(2, 5)]
+    gear = [(1, x, 9, z, 1900) for x in range(3, 10) for z in range(2, 5)]  # a plate below the body
+    dust = [(1, 14, 0, 0, 1900), (1, 5, 0, 3, 1900)]  # too small, and above the body
+    couch = [(1, x, 14, 3, 1900) for x in range(16)]
+    hu = spark.createDataFrame(body + gear + dust + couch, "k int, x int, y int, z int, raw int")
+    only = lambda rows: spark.createDataFrame([r[:4] for r in rows], "k int, x int, y int, z int")
+    run = lambda **more: {tuple(r)[1:] for r in voxels.fixation(hu, only(body), only(couch), ["k"], (16, 16, 8), ONE, coarse=1950, refined=1850, body_margin=1.0, **more).select("k", "x", "y", "z").collect()}
+    want = {r[1:4] for r in body + gear}
+    assert run() == want and run(keep_bulge=True) == want
+
+
+def test_polygons_and_rays(spark):
+    square = [(1, 0, 0, 1.0, 1.0), (1, 0, 1, 4.0, 1.0), (1, 0, 2, 4.0, 3.0), (1, 0, 3, 1.0, 3.0)]
+    line = [(1, 1, 0, 8.0, 8.0), (1, 1, 1, 9.0, 9.0)]
+    points = spark.createDataFrame(square + line, "k int, contour_no int, vertex_no int, px double, py double")
+    got = {(r.x, r.y) for r in voxels.fill_polygons(points, ["k"]).collect()}
+    assert got == {(x, y) for x in range(1, 5) for y in (1, 2)} | {(1, 3), (4, 3)}
+    mask = spark.createDataFrame([(1, 2, y, 0) for y in (3, 5, 90)], "k int, x int, y int, z int")
+    assert [tuple(r) for r in voxels.surface_on_ray(mask, ["k"], 2, 0, 20).collect()] == [(1, 5)]
+    assert voxels.surface_on_ray(mask, ["k"], 3, 0, 20).collect() == []
