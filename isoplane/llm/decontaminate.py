@@ -76,8 +76,14 @@ def windows(df: DataFrame, key: str, text_col: str, width: int = WIDTH) -> DataF
         .where(F.size("raw") > 0)
         .withColumn("kind", F.transform("raw", _placeholder))
         .withColumn("low", F.transform("raw", lambda t: F.ltrim(t, F.lit(_MARK))))
+        # tokens are hashed once, windows hash the hashes
+        .withColumn("hash", F.transform("low", lambda t: F.xxhash64(t)))
         .withColumn("last", F.greatest(F.size("low") - width, F.lit(0)))
     )
+    none = F.lit(None).cast("array<string>")
+
+    def literal(i: Column) -> Column:
+        return F.struct(i.alias("pos"), F.xxhash64(*[F.get("hash", i + k) for k in range(width)]).alias("h"), none.alias("vals"))
 
     def window(i: Column) -> Column:
         words = [F.get("low", i + k) for k in range(width)]
@@ -86,12 +92,12 @@ def windows(df: DataFrame, key: str, text_col: str, width: int = WIDTH) -> DataF
         literals = sum((F.when(k.isNull() & w.isNotNull(), 1).otherwise(0) for k, w in zip(kinds, words)), F.lit(0))
         template = [F.coalesce(k, w) for k, w in zip(kinds, words)]
         vals = F.array_compact(F.array(*[F.when(k.isNotNull(), w) for k, w in zip(kinds, words)]))
-        none = F.lit(None).cast("array<string>")
-        literal = F.struct(i.alias("pos"), F.xxhash64(*words).alias("h"), none.alias("vals"))
         slotted = F.struct(i.alias("pos"), F.xxhash64(F.lit("template"), *template).alias("h"), vals.alias("vals"))
-        return F.when((slots > 0) & (literals >= LITERALS), F.array(literal, slotted)).otherwise(F.array(literal))
+        return F.when((slots > 0) & (literals >= LITERALS), F.array(literal(i), slotted)).otherwise(F.array(literal(i)))
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("last")), window))
+    places = F.sequence(F.lit(0), F.col("last"))
+    # most texts have no placeholder at all: their windows are literal
+    every = F.when(F.exists("kind", lambda k: k.isNotNull()), F.flatten(F.transform(places, window))).otherwise(F.transform(places, literal))
     return prepared.select("key", F.explode(every).alias("w")).select("key", "w.pos", "w.h", "w.vals")
 
 
@@ -126,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, wid
         .withColumn("coverage", F.col("windows") / F.col("n"))
     )
     return found.where((F.col("coverage") >= coverage) & (F.col("conflicts") == 0)).select(
-        F.col("key").alias("doc_id"), "item.item_id", "coverage", "windows", "conflicts", "template"
+        F.col("key").alias("doc_id"), "item.item_id", "coverage", F.col("windows").cast("long"), F.col("conflicts").cast("long"), "template"
     )
 
 
@@ -134,3 +140,38 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """``docs`` without the documents that leak an item; rows without an id stay."""
     found = leaks(docs, benchmark, coverage).where("doc_id is not null").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*quoted(docs.columns))
+
+
+def oracle(docs: str = "documents", benchmark: str = "benchmark") -> str:
+    """DuckDB SQL for ``leaks``: the same windows as strings, joined on equality."""
+
+    def words(names: list[str]) -> str:
+        return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+    # a second pass marks the names that share a letter with the match before them
+    mark = "regexp_replace({}, '([\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}})', '\\1' || chr(1) || '\\2', 'g')"
+    marked = mark.format(mark.format("text"))
+    token = "'\\x01?[\\p{L}\\p{M}]+|\\p{Nd}+(?:[.,:/]\\p{Nd}+)*|[%$€£°]'"
+
+    def prepared(key: str, source: str, name: str) -> str:
+        return f"""
+{name}_raw AS (SELECT {key} AS key, regexp_extract_all(lower({marked}), {token}) AS raw FROM {source} WHERE text IS NOT NULL),
+{name}_tok AS (SELECT key, list_transform(raw, lambda x: ltrim(x, chr(1))) AS low, list_transform(raw, lambda x: CASE WHEN (x[1] >= '0' AND x[1] <= '9') OR x IN {words(NUMBER_WORDS)} THEN '<num>'
+  WHEN x IN {words(UNITS)} THEN '<unit>' WHEN x[1] = chr(1) OR x IN {words(GIVEN_NAMES)} THEN '<name>' END) AS kind FROM {name}_raw WHERE len(raw) > 0),
+{name}_win AS (SELECT key, pos, low[pos + 1:pos + {WIDTH}] AS w, kind[pos + 1:pos + {WIDTH}] AS k, greatest(len(low) - {WIDTH - 1}, 1) AS n
+  FROM (SELECT *, unnest(range(0, greatest(len(low) - {WIDTH}, 0) + 1)) AS pos FROM {name}_tok)),
+{name} AS (SELECT key, pos, n, 'L ' || array_to_string(w, ' ') AS h, CAST([] AS VARCHAR[]) AS vals FROM {name}_win
+  UNION ALL SELECT key, pos, n, 'T ' || array_to_string(list_transform(range(1, len(w) + 1), lambda i: coalesce(k[i], w[i])), ' '),
+    list_transform(list_filter(range(1, len(w) + 1), lambda i: k[i] IS NOT NULL), lambda i: w[i]) FROM {name}_win
+  WHERE len(list_filter(k, lambda x: x IS NOT NULL)) > 0 AND len(list_filter(k, lambda x: x IS NULL)) >= {LITERALS})"""
+
+    return f"""
+WITH items AS (SELECT DISTINCT item_id, text FROM {benchmark}), {prepared("doc_id", docs, "d").strip()}, {prepared("{'item_id': item_id, 'text': text}", "items", "i").strip()},
+met AS (SELECT d.key AS doc_id, i.key AS item, i.n, d.pos - i.pos AS diagonal, i.pos AS ip,
+  list_transform(range(1, len(i.vals) + 1), lambda x: i.vals[x] || chr(2) || d.vals[x]) AS pairs, i.vals AS iv, i.vals <> d.vals AS other FROM d JOIN i ON d.h = i.h),
+diag AS (SELECT doc_id, item, n, diagonal, count(DISTINCT ip) AS hits, len(list_distinct(flatten(list(pairs)))) - len(list_distinct(flatten(list(iv)))) AS conflicts, bool_or(other) AS template FROM met GROUP BY ALL),
+best AS (SELECT * FROM diag QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY hits DESC, diagonal) = 1),
+cover AS (SELECT doc_id, item, n, count(DISTINCT ip) AS windows FROM met GROUP BY ALL)
+SELECT doc_id, item.item_id AS item_id, CAST(windows AS DOUBLE) / n AS coverage, CAST(windows AS BIGINT) AS windows, CAST(conflicts AS BIGINT) AS conflicts, template
+FROM cover JOIN best USING (doc_id, item, n) WHERE CAST(windows AS DOUBLE) / n >= {COVERAGE} AND conflicts = 0
+"""

@@ -91,4 +91,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op4_warc_dictionary": OP4_SQL,
     "op6_hierarchical_mix": mixing.oracle(),
+    "op9_template_decontam": decontaminate.oracle(),
 }

@@ -75,3 +75,30 @@ def test_empty_and_shuffled(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     assert {r.doc_id for r in D.leaks(docs, items).collect()} == {1, None}
     assert {r.doc_id for r in D.keep_clean(docs, items).collect()} == {2, None}
+
+
+def test_sql_states_the_same_leaks(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    names = ["Alice", "Bob", "Anna", "Zoe", "Li", "Ed"]
+    item = lambda: " ".join(rng.choice([*names, "12", "5", "kg", "apples", "went", "then", "to", "the", "market", "and", "had", "3.5", "%"]) for _ in range(rng.choice([3, 6, 12, 25])))
+    items = [(i, item()) for i in range(30)] + [(3, item()), (31, None)]
+    swap = {"Alice": "Zoe", "12": "31", "Bob": "Ed", "5": "8"}
+    docs = []
+    for d in range(150):
+        t = items[rng.randrange(30)][1].split()
+        if d % 3 == 1:
+            t = [swap.get(x, x) for x in t]
+        if d % 3 == 2:
+            t = [rng.choice(["7", "9"]) if x.isdigit() else x for x in t]
+        docs.append((d, " ".join([item(), *t, item()]) if d % 4 else " ".join(t)))
+    docs += [(200, None), (201, ""), (0, docs[0][1])]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = con.execute(D.oracle()).fetchall()
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert any(r.template for r in got) and any(not r.template for r in got)
+    assert sorted(map(tuple, got)) == sorted(want)
