@@ -23,6 +23,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least one task for each core: few row groups are dealt out anew, larger inputs stay as they are."""
+    tasks = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def map_slices(df: DataFrame, schema: T.StructType, fn: Callable[[pa.Table | pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply ``fn`` to slices of at most ``SLICE_ROWS`` rows of every Arrow batch; map-only, no shuffle."""
 

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from isoplane.checkpoints import fresh_path
 
 from . import ann, decontaminate, langid, licences, mixing, secret_scan, simhash, surrogates, toxicity, warc
-from .common import held_out, table
+from .common import held_out, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components(table(spark, sf_dir, "documents"), width=3, radius=2)
+    found = simhash.components(_documents(spark, sf_dir), width=3, radius=2)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -29,15 +33,15 @@ SURROGATE_KEY = b"isoplane registered query"
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return surrogates.replace(_documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY)
 
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+    return secret_scan.scan(_documents(spark, sf_dir), secret_scan.train())
 
 
 def op3_segment_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = langid.predict(docs, langid.train(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
@@ -60,15 +64,15 @@ def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.select(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+    return mixing.select(_documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
 def op7_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.classify(table(spark, sf_dir, "documents"), licences.train())
+    return licences.classify(_documents(spark, sf_dir), licences.train())
 
 
 def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
