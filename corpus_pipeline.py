@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoplane.checkpoints import fresh_path
 from isoplane.llm import decontaminate, mixing, secret_scan, simhash, toxicity
-from isoplane.llm.common import table
+from isoplane.llm.common import spread, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         path = fresh_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
