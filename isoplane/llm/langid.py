@@ -16,7 +16,6 @@ learned; empty strings are the same; repeated rows are predicted each; other col
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE_WORDS = 300_000
 #: Words of more characters are scored one by one with rescaling, and are not learned from.
 LONG_WORD = 40
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACE = "▁"
 
 
@@ -198,7 +196,7 @@ class Identifier:
         flat: list[str] = []
         ends = []
         for t in texts:
-            if t and _LETTER.search(t):
+            if t and any(map(str.isalpha, t)):
                 flat += t.lower().split()
             ends.append(len(flat))
         ends = np.array(ends)
