@@ -73,7 +73,6 @@ def windows(df: DataFrame, key: str, text_col: str, width: int = WIDTH) -> DataF
     """``(key, pos, h, vals)``: the hash of each window; ``vals`` has a template window's slot values, null if literal."""
     prepared = (
         df.select(F.col(key).alias("key"), tokens(F.col(text_col)).alias("raw"))
-        .where(F.size("raw") > 0)
         .withColumn("kind", F.transform("raw", _placeholder))
         .withColumn("low", F.transform("raw", lambda t: F.ltrim(t, F.lit(_MARK))))
         # tokens are hashed once, windows hash the hashes
@@ -96,8 +95,10 @@ def windows(df: DataFrame, key: str, text_col: str, width: int = WIDTH) -> DataF
         return F.when((slots > 0) & (literals >= LITERALS), F.array(literal(i), slotted)).otherwise(F.array(literal(i)))
 
     places = F.sequence(F.lit(0), F.col("last"))
-    # most texts have no placeholder at all: their windows are literal
-    every = F.when(F.exists("kind", lambda k: k.isNotNull()), F.flatten(F.transform(places, window))).otherwise(F.transform(places, literal))
+    # most texts have no placeholder at all: their windows are literal; texts without tokens have none (a filter on the
+    # tokens would be pushed down to the scan and tokenise every text twice)
+    slotted = F.exists("kind", lambda k: k.isNotNull())
+    every = F.when(slotted, F.flatten(F.transform(places, window))).when(F.size("low") > 0, F.transform(places, literal))
     return prepared.select("key", F.explode(every).alias("w")).select("key", "w.pos", "w.h", "w.vals")
 
 
