@@ -105,7 +105,7 @@ def select(docs: DataFrame, plan: MixPlan = MixPlan(), domain: Column | None = N
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), 0))
 
     # what the budgets need of each document, without its text
-    narrow = cut(docs.select(*leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m")).where("tokens > 0"))
+    narrow = cut(docs.select(*leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m"))).where("tokens > 0")
     leaves = narrow.groupBy("d", "l", "s").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     ready = cut(
         budgets(leaves, plan)
@@ -139,7 +139,7 @@ def select(docs: DataFrame, plan: MixPlan = MixPlan(), domain: Column | None = N
 
     taken = docs.columns
     names = {n: own_name(n, taken) for n in ("domain", "tokens", "epoch")}
-    placed = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m")).where("tokens > 0")
+    placed = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *leaf, words.alias("tokens"), "doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
     placed = with_leaf(placed, table).withColumn("key", key("m")).withColumn("bucket", bucket)
     extra = F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("end.bucket")), 1).otherwise(0)
     at_end = F.coalesce(F.col("bucket") == F.col("end.bucket"), F.lit(False)) & (F.col("rest") > 0)
@@ -147,8 +147,9 @@ def select(docs: DataFrame, plan: MixPlan = MixPlan(), domain: Column | None = N
     plain = placed.where(~at_end).withColumn("uses", F.col("full") + extra)
     last = placed.where(at_end).withColumn("upto", cumulative + F.col("end.before"))
     last = last.withColumn("uses", F.col("full") + (F.col("upto") <= F.col("rest")).cast("int")).drop("upto")
-    used = plain.unionByName(last).where("uses > 0")
-    return used.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(
+    # unused documents have no epoch; a filter on the counts would be pushed down to the scan and count every text twice
+    epochs = F.when((F.col("uses") > 0) & (F.col("tokens") > 0), F.sequence(F.lit(1), F.greatest("uses", F.lit(1))))
+    return plain.unionByName(last).withColumn("epoch", F.explode(epochs)).select(
         *[F.col("row")[c].alias(c) for c in docs.columns], F.col("d").alias(names["domain"]), F.col("tokens").alias(names["tokens"]), F.col("epoch").alias(names["epoch"])
     )
 
