@@ -137,8 +137,9 @@ def _grouped(ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     first: dict[tuple, int] = {}
     out = np.empty(docs, np.int64)
     for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
-        own = np.unique(run[lo : max(lo + 1, hi - 4)]) if hi > lo else run[:0]
-        out[i] = first.setdefault(tuple(own[:2].tolist()), i)
+        own = run[lo : max(lo + 1, hi - 4)] if hi > lo else run[:0]
+        least = np.partition(own, 1)[:2] if len(own) > 2 else own
+        out[i] = first.setdefault(tuple(sorted(least.tolist())), i)
     return out
 
 
