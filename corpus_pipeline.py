@@ -4,7 +4,8 @@ Five stages, each working on all that its predecessor kept, written as Parquet i
 lost executor costs a re-read of one stage.  All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the chain model scores 0.5 or more go;
-2. SimHash near-dedup: of each component the document with the smallest id stays;
+2. near-dedup: of each component of near copies (Jaccard similarity 0.8 on five words) the document with the smallest id
+   stays;
 3. benchmark decontamination: documents that leak a benchmark item go;
 4. secret scans: confirmed secrets are masked in the text, all documents stay;
 5. mixing: documents are drawn to the target weights (``epoch`` numbers the uses of a document).
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from isoplane.checkpoints import fresh_path
-from isoplane.llm import decontaminate, mixing, secret_scan, simhash, toxicity
+from isoplane.llm import decontaminate, mixing, neardup, secret_scan, toxicity
 from isoplane.llm.common import spread, table
 
 
@@ -27,7 +28,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=3, radius=2)
+    return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,13 +217,17 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row for each component: the one with the smallest ``doc_id``.
+    """``docs`` with one row for each component: the one with the smallest ``doc_id``; see ``only``."""
+    ids = cut(components(docs, width=width, radius=radius))
+    return only(docs, ids.where("doc_id = component_id").select("doc_id").distinct(), ids)
+
+
+def only(docs: DataFrame, keep: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``doc_id`` of ``keep``; ``ids`` has the ids of all rows.
 
     Of several rows with that id the smallest in column order stays.  Rows without an id cannot be named by any result
     and stay as they are.
     """
-    ids = cut(components(docs, width=width, radius=radius))
-    keep = ids.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi")
     repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
