@@ -32,6 +32,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE_WORDS = 300_000
 #: Words of more characters are scored one by one with rescaling, and are not learned from.
 LONG_WORD = 40
+#: Of sums below this, what was lost to underflow on the way could matter.
+TINY = 1e-150
 _SPACE = "▁"
 
 
@@ -70,6 +72,7 @@ class Lattice:
     """All segmentations of a list of words, as edges sorted by end position and word."""
 
     def __init__(self, words: list[str], pieces: Pieces):
+        self.words, self.pieces = words, pieces
         self.lengths = np.array([len(w) + 1 for w in words])
         code = np.frombuffer("".join([_SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths)
@@ -131,12 +134,17 @@ class Lattice:
         return beta
 
     def log_totals(self, logp: np.ndarray) -> np.ndarray:
-        """log P(word) by language; words of up to ``LONG_WORD`` characters keep within the range of doubles."""
+        """log P(word) by language; a word that comes near the end of the range of doubles is summed in log space."""
         # a fixed factor for each character keeps the sums near one
         scale = 6.0
         edge = np.exp(self.extended(logp)[self.piece] + scale * (self.end - self.start)[:, None])
         total = self.forward(edge)[np.arange(len(self.lengths)), self.lengths]
-        return np.log(total) - scale * self.lengths[:, None]
+        bad = np.flatnonzero((total < TINY).any(axis=1))
+        total[bad] = 1
+        found = np.log(total) - scale * self.lengths[:, None]
+        for k in bad:
+            found[k] = long_word(self.words[k], self.pieces, logp)
+        return found
 
 
 def long_word(word: str, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
@@ -159,6 +167,28 @@ def long_word(word: str, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return ring[n % (span + 1)]
 
 
+def long_uses(word: str, pieces: Pieces, logp: np.ndarray) -> list[tuple[list[int], float]]:
+    """Expected uses of pieces in a word by one language's ``logp``, in log space."""
+    w = _SPACE + word
+    n = len(w)
+    edges = []
+    for i in range(n):
+        for j in range(i + 1, min(n, i + pieces.longest) + 1):
+            p = pieces.ids.get(w[i:j])
+            if p is not None:
+                edges.append((i, j, [p]))
+            elif j == i + 1:
+                edges.append((i, j, [pieces.bytes[b] for b in w[i].encode("utf-8", "surrogatepass")]))
+    cost = [logp[own].sum() for _, _, own in edges]
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for (i, j, _), c in zip(edges, cost):
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + c)
+    for (i, j, _), c in zip(reversed(edges), reversed(cost)):
+        beta[i] = np.logaddexp(beta[i], beta[j] + c)
+    return [(own, float(np.exp(alpha[i] + c + beta[j] - alpha[n]))) for (i, j, own), c in zip(edges, cost)]
+
+
 class Model:
     """Piece log-probabilities (pieces, languages) over a vocabulary."""
 
@@ -204,12 +234,13 @@ class Identifier:
         labels, scores = ["und"] * len(texts), np.zeros(len(texts))
         if flat and self.model.languages:
             ids, vocab = pd.factorize(np.array(flat, object))
-            sums = np.concatenate([np.zeros((1, self.known.shape[1])), np.cumsum(self.words(list(vocab))[ids], axis=0)])
-            total = sums[ends] - sums[begins]
+            some = np.flatnonzero(ends > begins)
+            total = np.zeros((len(texts), self.known.shape[1]))
+            total[some] = np.add.reduceat(self.words(list(vocab))[ids], begins[some], axis=0)
             post = np.exp(total - total.max(axis=1, keepdims=True))
             post /= post.sum(axis=1, keepdims=True)
             best = total.argmax(axis=1)
-            for k in np.flatnonzero(ends > begins):
+            for k in some:
                 labels[k], scores[k] = self.model.languages[best[k]], post[k, best[k]]
         return labels, scores
 
@@ -222,11 +253,16 @@ def expected_counts(words: list[str], lang: np.ndarray, count: np.ndarray, piece
     edge = np.exp(lattice.extended(logp)[lattice.piece, own] + scale * (lattice.end - lattice.start))[:, None]
     alpha, beta = lattice.forward(edge), lattice.backward(edge)
     total = alpha[np.arange(len(words)), lattice.lengths, 0]
-    use = alpha[lattice.word, lattice.start, 0] * edge[:, 0] * beta[lattice.word, lattice.end, 0] * (count / total)[lattice.word]
+    bad = total < TINY
+    share = np.where(bad, 0, count / np.where(bad, 1, total))
+    use = alpha[lattice.word, lattice.start, 0] * edge[:, 0] * beta[lattice.word, lattice.end, 0] * share[lattice.word]
     rows = np.zeros((len(logp) + len(lattice.spelled), logp.shape[1]))
     np.add.at(rows, (lattice.piece, own), use)
     for k, spelled in enumerate(lattice.spelled):
         np.add.at(rows, spelled, rows[len(logp) + k])
+    for k in np.flatnonzero(bad):
+        for own_pieces, n in long_uses(words[k], pieces, logp[:, lang[k]]):
+            np.add.at(rows, (own_pieces, lang[k]), n * count[k])
     return rows[: len(logp)]
 
 
