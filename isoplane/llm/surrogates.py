@@ -55,8 +55,8 @@ ENDINGS = {
 
 _GENDER_OF = {name.lower(): gender for (gender, _), names in GIVEN.items() for name in names}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+)?"
-_TITLE = re.compile(r"\b(?:" + "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True)) + rf")\s(?:({_CAPITAL})\s)?({_CAPITAL})")
-_PAIR = re.compile(rf"\b({_CAPITAL})\s({_CAPITAL})")
+_TITLE = re.compile(r"\b(?:" + "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True)) + rf")\s({_CAPITAL}(?:\s{_CAPITAL})*)")
+_RUN = re.compile(rf"\b{_CAPITAL}(?:\s{_CAPITAL})+")
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 EMAIL = re.compile(r"[A-Za-z0-9_](?:[\w.+%-]*[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
@@ -94,17 +94,12 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(3, *m.span(), "ssn", _digits(m[0])) for m in SSN.finditer(text)]
         found += [(5, *m.span(), "phone", _digits(m[0])) for m in PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
         found += [(4, *m.span(), "card", _digits(m[0])) for m in CARD.finditer(text)]
-    titled = any(t in text for t in _TITLE_GENDER)
-    if titled:
+    if any(t in text for t in _TITLE_GENDER):
         for m in _TITLE.finditer(text):
-            gender = _TITLE_GENDER.get(m[0][: m.start(m.lastindex - 1 if m[1] else 2) - m.start()].strip(), "n")
-            if m[1]:
-                found.append((6, *m.span(1), "given-" + _GENDER_OF.get(m[1].lower(), gender), m[1].lower()))
-            found.append((6, *m.span(2), "surname", m[2].lower()))
-    for m in _PAIR.finditer(text):
-        gender = _GENDER_OF.get(m[1].lower())
-        if gender:
-            found += [(7, *m.span(1), "given-" + gender, m[1].lower()), (7, *m.span(2), "surname", m[2].lower())]
+            gender = _TITLE_GENDER.get(text[m.start() : m.start(1)].strip(), "n")
+            found += [(7, *x) for x in _names(m[1], m.start(1), gender)]
+    for m in _RUN.finditer(text):
+        found += [(6, *x) for x in _names(m[0], m.start(), None)]
     found.sort()
     taken: list[tuple[int, int, str, str]] = []
     for _, a, b, kind, norm in found:
@@ -113,6 +108,29 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     return sorted(taken)
 
 
+def _names(run: str, at: int, gender: str | None) -> list[tuple[int, int, str, str]]:
+    """Names in a run of capitalised words: the last word is the surname, those before it are given names.
+
+    With a title's ``gender`` they begin with the run, otherwise with the first listed given name.  A title ends them.
+    """
+    found: list[tuple[int, int, str, str]] = []
+    own: list[tuple[int, int, str]] = []
+    titled = gender is not None
+    words = [(at + w.start(), at + w.end(), w[0]) for w in re.finditer(r"\S+", run)]
+    for a, b, word in [*words, (0, 0, "")]:
+        if word and word not in _TITLE_GENDER:
+            listed = _GENDER_OF.get(word.lower())
+            if own or listed or gender:
+                gender = gender or listed
+                own.append((a, b, word))
+            continue
+        if len(own) > 1 or own and titled:
+            found += [(x, y, "given-" + _GENDER_OF.get(w.lower(), gender), w.lower()) for x, y, w in own[:-1]]
+            found.append((own[-1][0], own[-1][1], "surname", own[-1][2].lower()))
+        own, gender, titled = [], None, False
+    return found
+
+
 def _free(taken: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
     return not any(x < b and a < y for x, y, _, _ in taken)
 
