@@ -145,8 +145,8 @@ def plans_of_target(plans: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def with_colours(structures: DataFrame, colours: DataFrame) -> DataFrame:
-    """Structures with a display colour where the table (a few hundred names at most) has one."""
-    return structures.join(F.broadcast(colours.limit(1000)), "structure_id", "left")
+    """Structures with a display colour where the table has one."""
+    return structures.join(colours, "structure_id", "left")
 
 
 def models_available(models: Column, needed: list[str]) -> Column:
