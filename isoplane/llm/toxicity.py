@@ -356,7 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_nega
     chars = 0
     for r in chosen.orderBy("h", "text").toLocalIterator():
         if chars + len(r["text"]) > max_chars:
-            break
+            continue
         chars += len(r["text"])
         groups[r["toxic"]].append(r["text"])
     undo = tuple(counts.get(y, 0) / max(1, len(groups[y])) for y in (1, 0))
@@ -383,7 +383,12 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``limit`` or more; all columns stay as they are, in one map-only pass."""
+    """``docs`` without the rows that score ``limit`` or more; all columns stay as they are, in one map-only pass.
+
+    A model that has learned nothing keeps all rows.
+    """
+    if model.calibration is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -391,10 +396,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel, limit: float = 0.5) -> DataFr
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 top, mass, _ = scorer.evidence(part.column(part.schema.names.index("text")).to_pylist())
-                if scorer.model.calibration is None:
-                    scores = np.full(part.num_rows, scorer.model.base_rate)
-                else:
-                    scores = _sigmoid(np.asarray(scorer.model.calibration) @ _evidence(top, mass))
+                scores = _sigmoid(np.asarray(scorer.model.calibration) @ _evidence(top, mass))
                 yield part.filter(pa.array(scores < limit))
 
     return docs.mapInArrow(run, docs.schema)
