@@ -2,19 +2,27 @@
 
 Entities (mail addresses, phone numbers, IP addresses, payment cards, social security numbers, IBANs and person names)
 get replacements made with a keyed hash.  A replacement keeps the entity's type and format: separators, length, letter
-case, country prefix, Luhn and IBAN check digits where the original's are right, and for names the gender and script.
-The same entity, in whatever format it is written, always gets the same replacement; given names and surnames are
-entities of their own, so *Mr Smith* and *Anna Smith* stay related.
+case, country prefix, Luhn and IBAN check digits where the original's are right, and for names the gender, the script
+(Latin or Cyrillic) and hyphens.  The same entity, in whatever format it is written, always gets the same replacement;
+given names, surnames and mail domains are entities of their own, so *Mr Smith* and *Anna Smith* stay related, and so do
+two addresses of one house.  A given name is one entity whatever title it bears; its gender is the one it is seen with,
+or neither if it is seen with both.
 
 Distinctness is checked on the whole corpus: distinct entities are one distributed table, their surrogates are grouped,
-and where two entities share one, or a surrogate equals a real entity, all but the first draw again, until none is left.
+and where two entities share one, or a surrogate equals a real entity, all but the first draw again; given names and
+surnames are checked together.  Names and domains grow with the draws.  Where the numbers of a kind are so many that its
+format has no unused ones, real numbers may be drawn from round ``REAL_ROUNDS`` on (still distinct); after
+``MAX_ROUNDS`` the operator raises, as then there are more entities than the format has values.
 
-Only documents that hold entities are shuffled, by a key of their own, to meet their replacements; all others pass
-straight through.  An entity found in a third of all documents is one row of the entity table, and its occurrences are
-split by the adaptive skew join.
+Texts are searched twice: once for the rows with entities, which are written to the shared folder with their spans, and
+once for the rows without, which pass straight through.  Only the former are shuffled, by a key of their own, to meet
+their replacements.  An entity found in a third of all documents is one row of the entity table, and its occurrences are
+split by the adaptive skew join, as are the copies of one text.
 
 Edge cases: null and empty texts stay; a null ``doc_id`` is no obstacle; repeated rows get equal texts; other columns
-pass through; the key is a parameter, and the same key gives the same surrogates unless collisions differ.
+pass through; the key is a parameter, and the same key gives the same surrogates unless collisions differ; a run of 13
+to 19 digits is a card if its check digit is right, if it is written in groups, or if it has 16 digits and starts with 3
+to 6.
 """
 
 from __future__ import annotations
@@ -54,7 +62,10 @@ ENDINGS = {
 }
 
 _GENDER_OF = {name.lower(): gender for (gender, _), names in GIVEN.items() for name in names}
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+)?"
+_UPPER = "[A-ZÀ-ÖØ-ÞА-ЯЁ" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper()) + "]"
+_CAPITAL = rf"{_UPPER}[^\W\d_]+(?:-{_UPPER}[^\W\d_]+)*"
+#: Rounds of drawing after which a surrogate may be a real entity, and after which the format is exhausted.
+REAL_ROUNDS, MAX_ROUNDS = 20, 60
 _TITLE = re.compile(r"\b(?:" + "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True)) + rf")\s({_CAPITAL}(?:\s{_CAPITAL})*)")
 _RUN = re.compile(rf"\b{_CAPITAL}(?:\s{_CAPITAL})+")
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -93,7 +104,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(2, *m.span(), "ip", m[0]) for m in IPV4.finditer(text) if all(int(o) < 256 for o in m[0].split("."))]
         found += [(3, *m.span(), "ssn", _digits(m[0])) for m in SSN.finditer(text)]
         found += [(5, *m.span(), "phone", _digits(m[0])) for m in PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
-        found += [(4, *m.span(), "card", _digits(m[0])) for m in CARD.finditer(text)]
+        found += [(4, *m.span(), "card", d) for m in CARD.finditer(text) if (d := _digits(m[0])) != m[0] or _luhn(d) or len(d) == 16 and "3" <= d[0] <= "6"]
     if any(t in text for t in _TITLE_GENDER):
         for m in _TITLE.finditer(text):
             gender = _TITLE_GENDER.get(text[m.start() : m.start(1)].strip(), "n")
@@ -102,12 +113,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(6, *x) for x in _names(m[0], m.start(), None)]
     found.sort()
     taken: list[tuple[int, int, str, str]] = []
+    used = bytearray(len(text) if found else 0)
     for _, a, b, kind, norm in found:
-        if all(b <= x or y <= a for x, y, _, _ in taken) if len(taken) < 64 else _free(taken, a, b):
+        if used.find(1, a, b) < 0:
+            used[a:b] = b"\1" * (b - a)
             taken.append((a, b, kind, norm))
     return sorted(taken)
 
 
+def _listed(word: str) -> str | None:
+    """The gender of a listed given name; of a double name the first part counts."""
+    return _GENDER_OF.get(word.lower()) or _GENDER_OF.get(word.lower().split("-")[0])
+
+
 def _names(run: str, at: int, gender: str | None) -> list[tuple[int, int, str, str]]:
     """Names in a run of capitalised words: the last word is the surname, those before it are given names.
 
@@ -119,20 +137,25 @@ def _names(run: str, at: int, gender: str | None) -> list[tuple[int, int, str, s
     words = [(at + w.start(), at + w.end(), w[0]) for w in re.finditer(r"\S+", run)]
     for a, b, word in [*words, (0, 0, "")]:
         if word and word not in _TITLE_GENDER:
-            listed = _GENDER_OF.get(word.lower())
+            listed = _listed(word)
             if own or listed or gender:
                 gender = gender or listed
                 own.append((a, b, word))
             continue
         if len(own) > 1 or own and titled:
-            found += [(x, y, "given-" + _GENDER_OF.get(w.lower(), gender), w.lower()) for x, y, w in own[:-1]]
+            found += [(x, y, "given-" + (_listed(w) or gender), w.lower()) for x, y, w in own[:-1]]
             found.append((own[-1][0], own[-1][1], "surname", own[-1][2].lower()))
         own, gender, titled = [], None, False
     return found
 
 
-def _free(taken: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
-    return not any(x < b and a < y for x, y, _, _ in taken)
+def who(kind: str) -> str:
+    """The kind under which an entity is one and the same: given names of any gender are."""
+    return "given" if kind.startswith("given") else kind
+
+
+def domain_of(norm: str) -> str:
+    return norm.rsplit("@", 1)[1]
 
 
 class _Draw:
@@ -170,12 +193,12 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         return "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] if c.isalpha() else str(draw.below(10)) if c.isdigit() else c for c in text)
 
     if kind == "email":
+        # the domain is an entity of its own, and is replaced when the address is put together
         local, domain = norm.rsplit("@", 1)
-        labels = domain.split(".")
-        # the domain's labels are hashed by themselves, so that colleagues stay colleagues
-        house = _Draw(key, "domain", domain, 0)
-        host = ["".join("abcdefghijklmnopqrstuvwxyz"[house.below(26)] if c.isalpha() else str(house.below(10)) if c.isdigit() else c for c in x) for x in labels[:-1]]
-        return f"{shaped(local)}@{'.'.join([*host, labels[-1]])}"
+        return f"{shaped(local)}{shaped('a' * (attempt // 4))}@{domain}"
+    if kind == "domain":
+        *labels, last = norm.split(".")
+        return ".".join([*map(shaped, labels[:-1]), shaped(labels[-1]) + shaped("a" * (attempt // 4)), last])
     if kind == "ip":
         own = [int(o) for o in norm.split(".")]
         keep = 1 if own[0] in (10, 127) else 2 if own[:2] == [192, 168] or own[0] == 172 and 16 <= own[1] < 32 else 0
@@ -195,9 +218,12 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     if kind.startswith("given") or kind == "surname":
         script = script_of(norm)
         gender = kind[-1] if kind.startswith("given") else "n"
-        parts = [SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 3)]
         ends = ENDINGS[(gender, script)]
-        return "".join(parts) + ends[draw.below(len(ends))]
+
+        def name() -> str:
+            return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 3)) + ends[draw.below(len(ends))]
+
+        return "-".join(name() for _ in norm.split("-"))
     return digits(len(norm), norm[0])
 
 
@@ -207,39 +233,62 @@ def render(original: str, kind: str, replacement: str) -> str:
         marks = iter(replacement)
         return "".join(next(marks) if c.isalnum() else c for c in original)
     if kind == "email":
-        return "".join(r.upper() if o.isupper() else r for o, r in zip(original, replacement))
+        local, domain = replacement.rsplit("@", 1)
+        was_local, was_domain = original.rsplit("@", 1)
+        cased = lambda was, new: new.upper() if was.isupper() else "".join(r.upper() if o.isupper() else r for o, r in zip(was.ljust(len(new)), new))
+        return f"{cased(was_local, local)}@{cased(was_domain, domain)}"
     if kind.startswith("given") or kind == "surname":
         return replacement.upper() if original.isupper() else "-".join(p[:1].upper() + p[1:] for p in replacement.split("-"))
     return replacement
 
 
 def entity_map(entities: DataFrame, key: bytes) -> DataFrame:
-    """``(kind, norm, surrogate)`` of distinct entities ``(kind, norm)``, without collisions within a kind."""
+    """``(kind, norm, surrogate)`` of distinct entities ``(kind, norm)``, without collisions; given names are one kind."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(surrogate=[surrogate(k, n, a, key) for k, n, a in zip(pdf["kind"], pdf["norm"], pdf["attempt"])])
-
-    schema = "kind string, norm string, attempt int, surrogate string"
-    done = None
-    pending = entities.withColumn("attempt", F.lit(0))
-    while True:
-        drawn = pending.mapInPandas(draw, schema).withColumn("settled", F.lit(False))
-        every = drawn if done is None else drawn.unionByName(done.withColumn("settled", F.lit(True)))
-        every = cut(every)
-        # the settled owner keeps a surrogate, else the first in the order of a hash; real entities are never surrogates
-        first = every.groupBy("kind", "surrogate").agg(F.min_by("norm", F.struct(~F.col("settled"), F.xxhash64("norm"), "norm")).alias("owner"))
-        real = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-        judged = every.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        judged = cut(judged.withColumn("ok", F.col("settled") | ((F.col("norm") == F.col("owner")) & F.col("real").isNull())))
-        done = judged.where("ok").select("kind", "norm", "attempt", "surrogate")
-        pending = judged.where(~F.col("ok")).select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+            yield pdf.assign(surrogate=[surrogate(k if g is None else f"given-{g}", n, a, key) for k, g, n, a in zip(pdf["kind"], pdf["gender"], pdf["norm"], pdf["attempt"])])
+
+    schema = "kind string, space string, norm string, gender string, attempt int, surrogate string"
+    given = F.col("kind").startswith("given")
+    seen = F.collect_set(F.when(given & (F.col("kind") != "given-n"), F.right("kind", F.lit(1))))
+    folded = (
+        entities.groupBy(F.when(given, "given").otherwise(F.col("kind")).alias("one"), "norm").agg(seen.alias("seen"))
+        .select(F.col("one").alias("kind"), F.when(F.col("one").isin("given", "surname"), "name").otherwise(F.col("one")).alias("space"), "norm",
+                F.when(F.col("one") == "given", F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise("n")).alias("gender"))
+    )
+    folded = cut(folded)
+    real = folded.select("space", F.col("norm").alias("surrogate")).distinct()
+    done, pending = None, folded.withColumn("attempt", F.lit(0))
+    for attempt in range(MAX_ROUNDS):
+        drawn = cut(pending.select("kind", "space", "norm", "gender", "attempt").mapInPandas(draw, schema))
+        free = drawn if attempt >= REAL_ROUNDS else drawn.join(real, ["space", "surrogate"], "left_anti")
+        if done is not None:
+            free = free.join(done, ["space", "surrogate"], "left_anti")
+        # of entities that draw the same, the first in the order of a hash keeps it
+        first = free.groupBy("space", "surrogate").agg(F.min_by(F.struct("kind", "norm"), F.struct(F.xxhash64("kind", "norm"), "kind", "norm")).alias("owner"))
+        new = cut(first.select("owner.kind", "owner.norm", "space", "surrogate"))
+        pending = cut(drawn.join(new.select("kind", "norm"), ["kind", "norm"], "left_anti").withColumn("attempt", F.col("attempt") + 1))
+        done = new if done is None else done.unionByName(new)
         if pending.isEmpty():
             return done.select("kind", "norm", "surrogate")
+    raise RuntimeError(f"more entities than values of their format, after {MAX_ROUNDS} rounds: {[r['kind'] for r in pending.select('kind').distinct().collect()]}")
 
 
-ENTITY = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
-_ENTITY = pa.list_(pa.struct([("kind", pa.string()), ("norm", pa.string())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("norm", pa.string())]))
+
+
+def replaced(text: str, spans: list[dict], new: dict[tuple[str, str], str]) -> str:
+    """``text`` with the surrogates of its spans."""
+    out, at = [], 0
+    for s in spans:
+        own = new[(who(s["kind"]), s["norm"])]
+        if s["kind"] == "email":
+            own = own.rsplit("@", 1)[0] + "@" + new[("domain", domain_of(s["norm"]))]
+        out += [text[at : s["start"]], render(text[s["start"] : s["end"]], s["kind"], own)]
+        at = s["end"]
+    return "".join([*out, text[at:]])
 
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -252,32 +301,37 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                found = [[{"kind": k, "norm": n} for k, n in sorted({(k, n) for _, _, k, n in detect(t)})] for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, _ENTITY)], names=[*part.schema.names, found_col])
+                found = [[dict(zip(("start", "end", "kind", "norm"), x)) for x in detect(t)] for t in part.column(at).to_pylist()]
+                tagged = pa.RecordBatch.from_arrays([*part.columns, pa.array(found, _SPAN)], names=[*part.schema.names, found_col])
+                yield tagged.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                part = part.filter(pa.array([not detect(t) for t in part.column(at).to_pylist()], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([0] * part.num_rows, pa.int32())], names=[*names, count_col])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
                 texts, counts = [], []
-                for text, pairs in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    new = {(p["kind"], p["norm"]): p["surrogate"] for p in pairs}
-                    spans = detect(text)
-                    for a, b, kind, norm in reversed(spans):
-                        text = text[:a] + render(text[a:b], kind, new[(kind, norm)]) + text[b:]
-                    texts.append(text)
+                for text, spans, pairs in zip(*(part.column(k).to_pylist() for k in (at, len(names), len(names) + 1))):
+                    texts.append(replaced(text, spans, {(p["kind"], p["norm"]): p["surrogate"] for p in pairs}))
                     counts.append(len(spans))
                 columns = list(part.columns[: len(names)])
                 columns[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, count_col])
 
     out = T.StructType([*docs.schema.fields, T.StructField(count_col, T.IntegerType())])
-    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(found_col, ENTITY)]))
-    dirty = tagged.where(F.size(found_col) > 0).withColumn(key_col, F.struct(F.xxhash64(text_col), F.sha1(F.col(text_col).cast("binary"))))
-    held = cut(dirty.select(F.col(key_col).alias("k"), F.col(found_col).alias("found")).dropDuplicates(["k"]))
-    uses = held.select("k", F.inline("found"))
-    mapped = uses.join(entity_map(uses.select("kind", "norm").distinct(), key), ["kind", "norm"])
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(found_col, SPAN)]))
+    dirty = cut(tagged.withColumn(key_col, F.struct(F.xxhash64(text_col), F.sha1(F.col(text_col).cast("binary")))))
+    found = dirty.select(F.col(key_col).alias("k"), F.col(found_col).alias("found")).dropDuplicates(["k"]).select("k", F.inline("found"))
+    domains = found.where("kind = 'email'").select("k", F.lit("domain").alias("kind"), F.substring_index("norm", "@", -1).alias("norm"))
+    uses = cut(found.select("k", "kind", "norm").unionByName(domains).distinct())
+    one = uses.select("k", F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("kind"), "norm")
+    mapped = one.join(entity_map(uses.select("kind", "norm"), key), ["kind", "norm"])
     per_text = mapped.groupBy("k").agg(F.collect_list(F.struct("kind", "norm", "surrogate")).alias("pairs"))
-    met = dirty.join(per_text, F.col(key_col) == F.col("k")).select(*[F.col(f"`{c}`") for c in names], "pairs")
-    clean = tagged.where(F.size(found_col) == 0).select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias(count_col))
-    return clean.unionByName(met.mapInArrow(put, out))
+    met = dirty.join(per_text, F.col(key_col) == F.col("k")).select(*[F.col(f"`{c}`") for c in names], found_col, "pairs")
+    return docs.mapInArrow(untouched, out).unionByName(met.mapInArrow(put, out))

@@ -57,3 +57,73 @@ def test_no_surrogate_is_shared_or_real(spark):
 
 def test_empty(spark):
     assert S.replace(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
+
+
+def test_a_given_name_is_one_entity(spark):
+    docs = spark.createDataFrame([(1, "Dr. Xan Smith and Mr. Xan Smith"), (2, "Mrs. Kim Lee, Mr. Kim Lee"), (3, "Anna-Maria Schmidt und Łukasz; Herr Łukasz Żak")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.replace(docs, KEY).collect()}
+    first = re.fullmatch(r"Dr\. (\w+) (\w+) and Mr\. (\w+) (\w+)", out[1])
+    assert first[1] == first[3] != "Xan" and first[2] == first[4] != "Smith"
+    assert any(first[1].lower().endswith(e) for e in S.ENDINGS[("m", "latin")])
+    second = re.fullmatch(r"Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+)", out[2])
+    assert second[1] == second[3] and any(second[1].lower().endswith(e) for e in S.ENDINGS[("n", "latin")])
+    assert re.fullmatch(r"[A-Z]\w+-[A-Z]\w+ [A-Z]\w+ und Łukasz; Herr [A-Z]\w+ [A-Z]\w+", out[3]) and "Żak" not in out[3] and "Maria" not in out[3]
+
+
+def test_all_kinds_stay_distinct(spark):
+    domains = [("domain", f"{chr(97 + k)}.org") for k in range(26)]
+    names = [(kind, f"{a}{b}{c}") for kind in ("given-n", "surname") for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmn"]
+    ips = [("ip", f"192.168.{a}.{b}") for a in range(8) for b in range(100)]
+    got = S.entity_map(spark.createDataFrame([*domains, *names, *ips], "kind string, norm string"), KEY).collect()
+    assert len(got) == len(domains) + len(names) + len(ips)
+    for space in (["domain"], ["given", "surname"], ["ip"]):
+        own = [r for r in got if r.kind in space]
+        assert len({r.surrogate for r in own}) == len(own) and not {r.surrogate for r in own} & {r.norm for r in own}
+
+
+def test_an_exhausted_format_raises(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(S, "REAL_ROUNDS", 1)
+    monkeypatch.setattr(S, "MAX_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="ssn"):
+        S.entity_map(spark.createDataFrame([("ssn", f"{i}") for i in range(10)] + [("ssn", f"0{i}") for i in range(10)], "kind string, norm string").where("length(norm) = 1").union(spark.range(5).selectExpr("'ssn'", "cast(id as string)")), KEY)
+        S.entity_map(spark.createDataFrame([("ssn", f"{i}") for i in range(10)], "kind string, norm string"), KEY)
+
+
+def test_many_entities_in_one_text():
+    import time
+
+    text = " ".join(f"u{k}@h{k % 50}.org" for k in range(100_000))
+    start = time.time()
+    spans = [dict(zip(("start", "end", "kind", "norm"), x)) for x in S.detect(text)]
+    new = {("email", s["norm"]): "x" + s["norm"] for s in spans} | {("domain", f"h{k}.org"): f"g{k}.net" for k in range(50)}
+    out = S.replaced(text, spans, new)
+    assert len(spans) == 100_000 and out.startswith("xu0@g0.net xu1@g1.net") and time.time() - start < 20
+
+
+def test_the_query_against_plain_python(spark):
+    """All of ``replace``: spans by ``detect``, one surrogate for each entity, everything else unchanged."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in rows] + [(10**6 + k, rows[k % 7].text) for k in range(40)] + [(None, "call 1700000000000 or 4111111111111111")]
+    got = sorted(S.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect(), key=lambda r: str(r.doc_id))
+    rows.sort(key=lambda r: str(r[0]))
+    seen: dict[tuple, str] = {}
+    count = 0
+    for (i, text), r in zip(rows, got, strict=True):
+        spans = S.detect(text)
+        assert r.doc_id == i and r.n_entities == len(spans)
+        at, new = 0, r.text
+        for k, (a, b, kind, norm) in enumerate(spans):
+            assert new.startswith(text[at:a])
+            new = new[a - at :]
+            end = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+            after = text[b:end]
+            stop = new.index(after, 1) if after else len(new)
+            own = new[:stop].lower() if kind in ("email",) or "given" in kind or kind == "surname" else re.sub(r"[^0-9A-Za-z.]", "", new[:stop])
+            if kind not in ("phone", "ssn", "card", "ip"):
+                assert seen.setdefault((S.who(kind), norm), own) == own
+            assert new[:stop] != text[a:b]
+            new, at, count = new[stop:], b, count + 1
+        assert new == text[at:] if text else new == text
+    assert count > 20 and len(set(seen.values())) == len(seen)
