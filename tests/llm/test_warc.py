@@ -2,12 +2,16 @@ import hashlib
 import io
 import os
 
+import pytest
 import zstandard
 
 from isoplane.llm import warc as W
 
 
-def test_round_trip_and_revisits(spark, tmp_path):
+@pytest.mark.parametrize("records, revisits", [(20_000, 200_000), (7, 0)])
+def test_round_trip_and_revisits(spark, tmp_path, monkeypatch, records, revisits):
+    monkeypatch.setattr(W, "ARCHIVE_RECORDS", records)
+    monkeypatch.setattr(W, "BROADCAST_REVISITS", revisits)
     page = "<html><body>" + "shared words of a page " * 80
     rows = [(i, f"http://h.example/{i}?a b", page + str(i % 7) + "é") for i in range(300)]
     rows += [(1000 + i, None, "tiny") for i in range(4)] + [(2000, "u", None), (-5, "u", ""), (None, "n", page + "0é"), (3000, "big", "x" * 200_000), (3000, "big", "x" * 200_000)]
@@ -15,6 +19,9 @@ def test_round_trip_and_revisits(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     names = W.write(pages, path)
     assert names and all(n.endswith(".warc.zst") for n in names)
+    for n in names:
+        data = (tmp_path / "a" / n).read_bytes()
+        assert int.from_bytes(data[:4], "little") == W.DICTIONARY_MAGIC and len(list(W.frames(data))) <= records
     got = sorted(((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in W.read(spark, path).collect()), key=repr)
     keeper = {}
     for i, _, h in rows:
@@ -29,7 +36,14 @@ def test_round_trip_and_revisits(spark, tmp_path):
     full = {r.page_id: bytes(r.payload) for r in W.read(spark, path, with_payload=True).collect() if r.record_type == "response"}
     assert full[3000] == b"x" * 200_000 and full[2000] == b""
     plain = sum(len((h or "").encode()) for _, _, h in rows)
-    assert sum(os.path.getsize(tmp_path / "a" / n) for n in names) < plain / 3
+    assert sum(os.path.getsize(tmp_path / "a" / n) for n in names) < plain / (3 if records > 100 else 0.5)
+
+
+def test_record_ids():
+    digests = [hashlib.sha1(bytes([k])).hexdigest() for k in range(50)]
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63)]
+    names = {W._record_id(i, d) for i in ids for d in digests}
+    assert len(names) == len(ids) * len(digests) and [W._page_id(W._record_id(i, digests[0])) for i in ids] == ids
 
 
 def test_a_plain_reader_with_the_dictionary_reads_the_archive(spark, tmp_path):
