@@ -267,7 +267,10 @@ def expected_counts(words: list[str], lang: np.ndarray, count: np.ndarray, piece
 
 
 def train(docs: DataFrame, pieces: Pieces | None = None, sample: int = 1200, rounds: int = 3, smoothing: float = 0.1) -> Model:
-    """Learn from the text and language of rows that are not held out."""
+    """Learn from the text and language of rows that are not held out, about ``sample`` documents of each language.
+
+    Runs without a blank that are longer than ``LONG_WORD`` characters are learned from in parts of that length.
+    """
     pieces = pieces or Pieces.load()
     known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -279,8 +282,7 @@ def train(docs: DataFrame, pieces: Pieces | None = None, sample: int = 1200, rou
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_003))
     words = (
         known.where(rank < share[F.col("lang")])
-        .select(number[F.col("lang")].alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), 0)).alias("word"))
-        .where(F.length("word") <= LONG_WORD)
+        .select(number[F.col("lang")].alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?U)\S{{1,{LONG_WORD}}}"), 0)).alias("word"))
         .groupBy("lang", "word").agg(F.count("*").alias("n"))
     )
     words = cut(words)

@@ -36,7 +36,7 @@ from .common import SLICE_ROWS, held_out
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 #: A word counts as tagged from this marginal on.
 SPAN_P = 0.5
-#: Longest chain while training, in words; longer sentences are cut for that.
+#: Longest chain while training, in words; longer sentences are trained on in several parts.
 TRAIN_CHAIN = 48
 #: Most words a worker remembers the emissions of.
 CACHE_WORDS = 400_000
@@ -183,8 +183,20 @@ def token_lexicon(vocab: np.ndarray, word: np.ndarray, doc: np.ndarray, toxic: n
     return lexicon
 
 
-def fit(toxic_texts: list[str], other_texts: list[str], weights: tuple[float, float] = (1.0, 1.0), steps: int = 70, l2: float = 0.02) -> ToxicModel:
-    """Fit the chain and its calibration; ``weights`` undo the classes' sampling rates."""
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that offsets in it are offsets in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def fit(
+    toxic_texts: list[str], other_texts: list[str], weights: tuple[float, float] = (1.0, 1.0), steps: int = 70, l2: float = 0.02, max_near: int = 12_000, max_other: int = 2000
+) -> ToxicModel:
+    """Fit the chain and its calibration; ``weights`` undo the classes' sampling rates.
+
+    The chain learns from all sentences with a labelled word, from ``max_near`` others with a word that shares a prefix
+    with a labelled one, and from as many of the rest as there are labelled ones and ``max_other`` more.
+    """
     total = weights[0] * len(toxic_texts) + weights[1] * len(other_texts)
     model = ToxicModel(base_rate=weights[0] * len(toxic_texts) / total if total else 0.0)
     if not toxic_texts or not other_texts:
@@ -193,7 +205,7 @@ def fit(toxic_texts: list[str], other_texts: list[str], weights: tuple[float, fl
     label = np.arange(len(texts)) < len(toxic_texts)
     # token numbers instead of strings: the driver holds each distinct word once
     number: dict[str, int] = {}
-    parts = [np.fromiter((number.setdefault(w, len(number)) for w in [*TOKEN.findall(text.lower()), "\n"]), np.int32) for text in texts]
+    parts = [np.fromiter((number.setdefault(w, len(number)) for w in [*TOKEN.findall(lowered(text)), "\n"]), np.int32) for text in texts]
     ids = np.concatenate(parts)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
     vocab = np.array(list(number), object)
@@ -222,7 +234,7 @@ def fit(toxic_texts: list[str], other_texts: list[str], weights: tuple[float, fl
     close = np.array([not b and any(f in shared for f in lexicon_features(w)[1:][1:]) for w, b in zip(vocab, breaks)])
     has, near = (np.add.reduceat(x & usable, begins) > 0 if len(begins) else np.zeros(0, bool) for x in (marked, close[ids]))
     rng = np.random.default_rng(17)
-    groups = [(has, len(has)), (near & ~has, 12_000), (~near & ~has, int(has.sum()) + 2000)]
+    groups = [(has, len(has)), (near & ~has, max_near), (~near & ~has, int(has.sum()) + max_other)]
     take = np.sort(np.concatenate([rng.permutation(np.flatnonzero(g))[:most] for g, most in groups]))
     lengths = finish[take] - begins[take]
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
@@ -299,7 +311,7 @@ class Scorer:
         flat: list[str] = []
         ends = []
         for text in texts:
-            flat += TOKEN.findall(text.lower()) if text else ()
+            flat += TOKEN.findall(lowered(text)) if text else ()
             flat.append("\n")
             ends.append(len(flat))
         ids, vocab = pd.factorize(np.array(flat, object))
@@ -327,9 +339,8 @@ class Scorer:
         for text, marks in zip(texts, tagged):
             found = []
             if len(marks):
-                low = text.lower()
-                where = [m.span() for m in TOKEN.finditer(low if len(low) == len(text) else text)]
-                found = [{"start": where[int(k)][0], "end": where[int(k)][1], "p": float(p)} for k, p in marks if int(k) < len(where)]
+                where = [m.span() for m in TOKEN.finditer(lowered(text))]
+                found = [{"start": where[int(k)][0], "end": where[int(k)][1], "p": float(p)} for k, p in marks]
             spans.append(found)
         return scores, spans
 
@@ -338,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_nega
     """Fit on the rows of ``docs`` that ``labels.toxic`` marks and that are not held out.
 
     At most about ``max_positive`` and ``max_negative`` documents are taken, in the order of a hash of their id, and
-    whole texts until ``max_chars`` characters; that is the bound of what reaches the driver.
+    whole texts as far as they fit into ``max_chars`` characters; that is the bound of what reaches the driver.  A class
+    of which no text fits counts as absent: the model then has learned nothing.
     """
     known = (
         labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1))
