@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates come from three rules: a value assigned to a name that speaks of a secret, a token with the shape of a known
-credential, and a long run of mixed characters.  A forest trained on labelled findings decides which of them are
+Candidates come from four rules: a value assigned to a name that speaks of a secret, a token with the shape of a known
+credential, a password inside a URL, and a long run of mixed characters.  A forest trained on labelled findings decides which of them are
 secrets, from length, character classes and transitions, entropy, dictionary coverage, the document's path and the words
 next to the candidate.
 
@@ -36,7 +36,7 @@ from .common import SLICE_ROWS
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Words that name a secret, words that name something harmless, and words of throw-away values.
-SECRET_WORDS = "password passwd pwd secret token apikey api_key api-key access_key private_key credential auth bearer client_secret".split()
+SECRET_WORDS = "password passwd pwd secret token apikey api_key api-key access_key private_key credential auth bearer client_secret key".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid revision build version integrity fingerprint id ref".split()
 PLACEHOLDER_WORDS = "example sample dummy placeholder changeme your test fake redacted xxxx todo none null insert replace".split()
 TEST_PATH_WORDS = "test tests example examples sample docs doc fixture fixtures mock lock vendor dist".split()
@@ -44,6 +44,7 @@ SECRET_PATH_WORDS = "env config conf settings deploy secrets credentials prod te
 
 _NAMES = "|".join(re.escape(w) for w in sorted(SECRET_WORDS, key=len, reverse=True))
 ASSIGNED = re.compile(rf"(?i)(?:{_NAMES})[\w-]*[\"']?\s{{0,3}}(?:=>|:=|[:=]|\s(?=\S{{16}}))\s{{0,3}}[\"']?([^\s\"'<>(){{}}\[\],;]{{6,}})")
+IN_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'<>]{0,80}:([^\s/@\"'<>]{3,200})@")
 SHAPED = re.compile(
     r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|sk[-_][A-Za-z0-9_-]{20,}"
     r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|glpat-[\w-]{20}|npm_[A-Za-z0-9]{36})"
@@ -72,6 +73,8 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     if any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")):
         spans += [(0, m.start(1), m.start(1) + len(m[1].rstrip(_TRAIL)), "assigned") for m in ASSIGNED.finditer(text)]
     spans += [(1, *m.span(), "shaped") for m in SHAPED.finditer(text)]
+    if "://" in text:
+        spans += [(1, *m.span(1), "url") for m in IN_URL.finditer(text)]
     for m in LONG_RUN.finditer(text):
         value = m[0].strip("=-_/+")
         if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
@@ -84,7 +87,7 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         if rank != level:
             done, level = sorted(done + taken), rank
             taken = []
-        if b - a >= 6 and not _overlaps(done, a, b) and not (taken and taken[-1][1] > a):
+        if (b - a >= 6 or rule == "url") and not _overlaps(done, a, b) and not (taken and taken[-1][1] > a):
             taken.append((a, b, rule))
     return sorted(done + taken)
 
@@ -120,7 +123,7 @@ def _coverage(value: str, words: frozenset[str]) -> float:
 
 FEATURES = (
     "length transitions entropy lower upper digit symbol hex coverage distinct longest_repeat assigned shaped run "
-    "secret_before harmless_before placeholder_near placeholder_in uuid path_test path_secret quoted"
+    "secret_before harmless_before placeholder_near placeholder_in uuid path_test path_secret quoted in_url password_before"
 ).split()
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
 
@@ -161,10 +164,12 @@ def features(value: str, rule: str, before: str, after: str, path: str | None, w
         any(w in places for w in TEST_PATH_WORDS),
         any(w in places for w in SECRET_PATH_WORDS),
         before[-1:] in ("'", '"'),
+        rule == "url",
+        any(w in tail for w in ("pass", "pwd", "credential")),
     ]
 
 
-def labelled_findings(count: int = 2400, seed: int = 7) -> list[tuple[str, str, int]]:
+def labelled_findings(count: int = 4000, seed: int = 7) -> list[tuple[str, str, int]]:
     """``(text, path, label)`` with one finding each, half of them secrets, made from seeded rules."""
     rng = random.Random(seed)
     letters, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
@@ -180,17 +185,29 @@ def labelled_findings(count: int = 2400, seed: int = 7) -> list[tuple[str, str,
         quote = rng.choice(['"', "'", ""])
         return f"{name}{rng.choice([' = ', '=', ': ', ':'])}{quote}{value}{quote}"
 
+    def name() -> str:
+        return rng.choice(("Anna", "summer", "Dragon", "monkey", "letmein", "hunter", "Berlin", "qwerty", "blue", "tiger", "Winter", "ninja"))
+
+    def chosen() -> str:
+        """A password as people choose them."""
+        return rng.choice((f"{name()}{rng.randrange(2100)}{rng.choice('!$#?*')}", f"{name()}{rng.choice('!_-.')}{name()}{rng.randrange(100)}", f"{rng.randrange(100)}{name()}{rng.choice('!@%')}", name().replace("e", "3").replace("a", "4") + run(string.digits, 4)))
+
     def secret() -> str:
-        kind = rng.randrange(8)
+        kind = rng.randrange(10)
         value = (
             run(hexa, rng.choice((16, 18, 20, 24, 32, 40, 48, 64))) if kind < 3 else run(letters, rng.randint(16, 44)) if kind == 3
             else run(letters + "!@%^_-+", rng.randint(8, 24)) if kind == 4 else run(letters + "+/", rng.choice((32, 40, 64))) + "=" if kind == 5
-            else rng.choice(("AKIA" + run(string.ascii_uppercase + string.digits, 16), "ghp_" + run(letters, 36), "AIza" + run(letters, 35), "sk-" + run(letters, 32), "xoxb-" + run(string.digits, 11) + "-" + run(letters, 24)))
+            else rng.choice(("AKIA" + run(string.ascii_uppercase + string.digits, 16), "ghp_" + run(letters, 36), "AIza" + run(letters, 35), "sk-" + run(letters, 32), "xoxb-" + run(string.digits, 11) + "-" + run(letters, 24))) if kind < 8
+            else chosen()
         )
+        if kind == 8:
+            return f"{rng.choice(('postgres', 'mysql', 'amqp', 'redis', 'https', 'mongodb+srv'))}://{rng.choice(('', 'admin', 'app', 'root', 'svc'))}:{rng.choice((chosen(), run(letters, 14)))}@{rng.choice(('db', 'host.internal', '10.0.0.7'))}:{rng.randrange(9999)}/x"
+        if kind == 9:
+            return f"{rng.choice(('password', 'passwd', 'pwd', 'db_password', 'PASSWORD'))}{rng.choice((' = ', '=', ': '))}{value}"
         return value if kind > 5 and rng.random() < 0.5 else assigned(value)
 
     def harmless() -> str:
-        kind = rng.randrange(8)
+        kind = rng.randrange(11)
         if kind == 0:
             return f"{rng.choice(HARMLESS_WORDS)} {run(hexa, rng.choice((32, 40, 64)))}"
         if kind == 1:
@@ -205,15 +222,23 @@ def labelled_findings(count: int = 2400, seed: int = 7) -> list[tuple[str, str,
             return "-".join(words(5)) + f"-{rng.randrange(10_000)}"
         if kind == 6:
             return f"/{'/'.join(words(4))}/v{rng.randrange(9)}/{'_'.join(words(2))}"
+        if kind == 7:
+            return f"https://{rng.choice(('user', 'name'))}:{rng.choice(('password', 'example', 'xxxx', '<insert>', 'your-password'))}@example.com/{words(1)[0]}"
+        if kind == 8:
+            return f"{rng.choice(('monkey', 'keyboard', 'key', 'tokens', 'author', 'secretary', 'passage'))}{rng.choice((': ', ' = '))}{words(1)[0]}{words(1)[0]}"
+        if kind == 9:
+            return f"{rng.choice(('key', 'auth', 'token', 'password'))}{rng.choice(('=', ': '))}{rng.choice(('os.environ', 'config.get', 'request.form', 'process.env.NAME', 'settings.value', 'required', 'optional', 'undefined'))}"
         return assigned(" ".join(words(3)))
 
+    # the path says something, but it does not give the label away
+    places = [*(["src7", "web/page.html", None] * 6), *SECRET_PATH_WORDS, *TEST_PATH_WORDS, "src/main.py", "README.md", "app/models.rb"]
     found = []
     while len(found) < count:
         label = len(found) % 2
-        paths = ["src7", "web/page.html", None, *(SECRET_PATH_WORDS if label else TEST_PATH_WORDS)]
+        likely = SECRET_PATH_WORDS if label else TEST_PATH_WORDS
         text = " ".join([*words(rng.randint(0, 6)), secret() if label else harmless(), *words(rng.randint(0, 6))])
         if candidates(text):
-            found.append((text, rng.choice(paths), label))
+            found.append((text, rng.choice(likely if rng.random() < 0.15 else places), label))
     return found
 
 
@@ -338,10 +363,11 @@ def redact(docs: DataFrame, model: tuple[Forest, frozenset[str]], limit: float =
                 paths = part.column(names.index("source")).to_pylist() if "source" in names else [None] * len(texts)
                 changed = {}
                 for k, found in enumerate(judge(texts, paths, model)):
-                    for a, b, _, p in reversed(found):
-                        if p >= limit:
-                            changed[k] = True
-                            texts[k] = texts[k][:a] + mask + texts[k][b:]
+                    secret = [(a, b) for a, b, _, p in found if p >= limit]
+                    if secret:
+                        changed[k] = True
+                        ends = [0, *(b for _, b in secret)]
+                        texts[k] = mask.join(texts[k][x:y] for x, y in zip(ends, [*(a for a, _ in secret), len(texts[k])]))
                 columns = list(part.columns)
                 if changed:
                     columns[names.index("text")] = pa.array(texts, part.schema.field(names.index("text")).type)
