@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isoplane.checkpoints import cut
+
 #: Rows handed to Python code at once; with whole documents this bounds a worker's memory.
 SLICE_ROWS = 256
 
@@ -41,6 +43,16 @@ def map_slices(df: DataFrame, schema: T.StructType, fn: Callable[[pa.Table | pa.
     return df.mapInArrow(run, schema)
 
 
+#: Most rows of numbers that are broadcast (about 40 bytes each).
+SMALL_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A narrow table, cut from its lineage and marked for a broadcast if it was counted to be small."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+
+
 def own_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, or the first of ``wanted_1``, ``wanted_2`` … that no column in ``taken`` has (case-insensitive)."""
     low, name, k = {t.lower() for t in taken}, wanted, 0

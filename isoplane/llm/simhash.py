@@ -6,9 +6,9 @@
    ``s`` segments; two fingerprints within radius ``r`` agree on at least ``s - r`` of them, so joining on every choice of
    ``s - r`` segments loses no link.  ``s`` grows with the number of fingerprints and changes the cost, not the result.
    Blocks over ``BLOCK`` rows are dealt to chunk pairs, so no task holds an unbounded group.
-3. *Bit-sliced comparison*: a task stores its rows as 64 vertical bit planes and compares each row with the one ``d``
-   places on, 64 pairs in each machine word.  Differences are counted with carry-save bitwise counters, plane after
-   plane, and words are dropped as soon as all of their pairs exceed the radius.
+3. *Bit-sliced comparison*: a task stores the rows of its blocks once as vertical bit planes and compares each row with
+   the one ``d`` places on by shifting the planes, 64 pairs in each machine word.  Differences are counted with
+   carry-save bitwise counters, plane after plane, and words are dropped as soon as all of their pairs exceed the radius.
 4. *Components*: each task reduces its links to a spanning forest; star contraction joins the forests.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a shingle make
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from isoplane.checkpoints import cut
 from isoplane.operators.components import connected_components
 
-from .common import map_slices, quoted
+from .common import map_slices, own_name, quoted, small
 
 #: Most rows of a candidate block that are compared in one task.
 BLOCK = 4096
@@ -62,14 +62,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the unsigned value's bits in a long."""
+    """``(doc_id, row, fp)`` for every row; ``fp`` holds the unsigned value's bits in a long, ``row`` is the row's key."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "row", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return map_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), schema, one)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row", "fp")])
+    return map_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")), schema, one)
 
 
 def plan_segments(rows: int, radius: int) -> int:
@@ -81,54 +81,70 @@ def plan_segments(rows: int, radius: int) -> int:
 
 
 def linked_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``(i, j)`` of all rows of one block key within ``radius`` bits; ``keys`` must be sorted.
+    """Positions ``(i, j)`` of all rows of one block key within ``radius`` bits; see ``pair_batches``."""
+    found = list(pair_batches(keys, fps, radius))
+    none = np.empty(0, np.int64)
+    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (none, none)
 
-    The planes hold row ``i`` in bit ``i mod 64`` of word ``i div 64``; for a distance ``d`` between rows the second
-    operand is the same plane shifted by ``d`` rows.
+
+def pair_batches(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one block key within ``radius`` bits, in batches; ``keys`` must be sorted.
+
+    ``fps`` has one 64-bit word for each row, or several (a matrix).  The planes are built once, with the rows of larger
+    blocks first: row ``i`` is bit ``i mod 64`` of word ``i div 64``, and the rows that have a partner ``d`` places on
+    are a prefix.  The partners' planes are the same planes shifted by ``d`` rows.  Up to 64 distances are worked on at
+    once.  Planes are added two at a time by a carry-save adder to vertical counters that start at ``2 ** k - radius - 1``
+    and so overflow exactly when the radius is passed; words all of whose pairs have overflowed are dropped.
     """
-    n = len(fps)
-    if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(fps) < 2:
+        return
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    size_of, place = np.repeat(sizes, sizes), np.arange(n) - np.repeat(starts, sizes)
-    left, right = [], []
-    rows = np.flatnonzero(size_of > 1)
-    for d in range(1, int(sizes.max())):
-        rows = rows[size_of[rows] > d]
-        first = rows[place[rows] < size_of[rows] - d]
-        if not len(first):
-            break
-        words = -(-len(first) // 64)
-        lanes = np.zeros(words * 64, np.uint64)
-        other = np.zeros(words * 64, np.uint64)
-        lanes[: len(first)], other[: len(first)] = fps[first], fps[first + d]
-        planes = _planes(lanes ^ other)
-        live = np.arange(words)
-        alive = np.full(words, ~np.uint64(0))
-        if len(first) % 64:
-            alive[-1] = np.uint64((1 << (len(first) % 64)) - 1)
-        # one-hot carry-save ladder: step[k] has the lanes with at least k + 1 differing bits so far
-        step = np.zeros((radius + 1, words), np.uint64)
-        for b in range(64):
-            carry = planes[b, live]
-            for k in range(radius + 1):
-                step[k], carry = step[k] | carry, step[k] & carry
-            if b % 8 == 7:
-                keep = (alive & ~step[radius]) != 0
-                if not keep.all():
-                    live, alive, step = live[keep], alive[keep], step[:, keep]
-                    if not len(live):
+    sizes = np.diff(np.r_[starts, len(keys)])
+    by_size = np.argsort(-sizes, kind="stable")
+    by_size = by_size[sizes[by_size] > 1]
+    if not len(by_size):
+        return
+    sizes = sizes[by_size]
+    size_of = np.repeat(sizes, sizes)
+    place = np.arange(len(size_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows = np.repeat(starts[by_size], sizes) + place
+    words = -(-len(rows) // 64)
+    values = np.zeros((words * 64, fps.size // len(fps)), np.uint64)
+    values[: len(rows)] = fps.reshape(len(fps), -1)[rows]
+    # a row of zero words behind the last one, so that shifted reads need no test
+    planes = np.concatenate([np.pad(_planes(np.ascontiguousarray(v)), ((0, 0), (0, int(sizes[0]) // 64 + 2))) for v in values.T])
+    after = np.zeros(words * 64, np.int64)
+    after[: len(rows)] = size_of - place
+    high = max(1, radius.bit_length())
+    d = 1
+    while d < sizes[0]:
+        ds = np.arange(d, min(d + max(1, min(64, d // 4)), int(sizes[0])))
+        used = -(-int(np.searchsorted(-size_of, -d, "left")) // 64)
+        alive = np.packbits(after[None, : used * 64] > ds[:, None], axis=1, bitorder="little").view(np.uint64)
+        at, word = np.nonzero(alive)
+        alive, shift, other = alive[at, word], (ds % 64).astype(np.uint64)[at], word + (ds // 64)[at]
+        counter = [np.full(len(alive), ~np.uint64(0) if (2**high - radius - 1) >> k & 1 else np.uint64(0)) for k in range(high)]
+        for b in range(0, len(planes), 2):
+            x, y = (p[word] ^ (p[other] >> shift | p[other + 1] << np.uint64(1) << (np.uint64(63) - shift)) for p in planes[b : b + 2])
+            half = counter[0] ^ x
+            carry = counter[0] & x | half & y
+            counter[0] = half ^ y
+            for k in range(1, high):
+                counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            alive = alive & ~carry
+            if b % 8 == 6:
+                keep = alive != 0
+                if 4 * np.count_nonzero(keep) < 3 * len(keep):
+                    at, word, other, shift, alive = at[keep], word[keep], other[keep], shift[keep], alive[keep]
+                    counter = [c[keep] for c in counter]
+                    if not len(alive):
                         break
-        if len(live):
-            ok = alive & ~step[radius]
-            bits = np.unpackbits(ok.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            at = (live[:, None] * 64 + np.arange(64))[bits]
-            left.append(first[at])
-            right.append(first[at] + d)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        if alive.any():
+            bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+            lane, bit = np.nonzero(bits)
+            first = word[lane] * 64 + bit
+            yield rows[first], rows[first + ds[at[lane]]]
+        d = int(ds[-1]) + 1
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -137,7 +153,7 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links, as (value, root) pairs."""
     up: dict[int, int] = {}
 
@@ -165,41 +181,67 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         mask -= (1 << 64) * (mask >> 63)
         keys.append(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")))
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.t", "key.v", "fp")
-    sizes = dealt.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int")
-    placed = (
-        dealt.join(sizes, ["t", "v"])
-        .withColumn("c", chunks)
-        .withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
-        .select("t", "v", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
-        .select(F.xxhash64("t", "v", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "t", "fp")
-    )
-    # one task holds many small blocks; rows of a block arrive together, and links are checked on the whole fingerprint,
-    # so two blocks that share a hash can only repeat work, never make a wrong link
+    placed = deal(dealt, ["t", "v"], "fp")
+    # one task holds many small blocks; links are checked on the whole fingerprint, so two blocks that share a hash can
+    # only repeat work, never make a wrong link
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None:
-                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if rest is None or not len(rest):
-                continue
-            block, fp = rest["block"].to_numpy(), rest["fp"].to_numpy()
-            done = len(block) if pdf is None else int(np.searchsorted(block, block[-1]))
-            if not done:
-                continue
-            i, j = linked_pairs(block[:done], fp[:done].view(np.uint64), radius)
-            rest = rest.iloc[done:].reset_index(drop=True)
+        for pdf in whole_blocks(batches):
+            fp = pdf["fp"].to_numpy()
+            i, j = linked_pairs(pdf["block"].to_numpy(), fp.view(np.uint64), radius)
             if len(i):
-                found = _forest(fp[i], fp[j])
+                found = spanning_forest(fp[i], fp[j])
                 yield pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "block").sortWithinPartitions("block").select("block", "fp").mapInPandas(compare, "a long, b long")
+    return sorted_blocks(placed.select("block", "fp")).mapInPandas(compare, "a long, b long")
+
+
+def deal(rows: DataFrame, key: list[str], by: str, weight: Column | None = None, most: int | None = None) -> DataFrame:
+    """The rows of all keys that have several, dealt to ``block``s; a block holds a whole key or two chunks of a large one.
+
+    Chunks have about ``most`` rows, or a total ``weight`` of ``most``.  ``chunk`` is the row's own chunk and ``same`` is
+    true in the block of a chunk with itself.
+    """
+    weight, most = F.lit(1) if weight is None else weight, most or BLOCK // 2
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(weight).alias("weight")).where("rows > 1")
+    chunks = F.least("rows", F.ceil(F.col("weight") / F.lit(most))).cast("int")
+    return (
+        rows.join(sizes.select(*key, chunks.alias("chunks")), key)
+        .withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
+        .withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("same", F.col("chunk") == F.col("meets"))
+        .withColumn("block", F.xxhash64(*key, F.least("chunk", "meets"), F.greatest("chunk", "meets")))
+        .drop("chunks", "meets")
+    )
+
+
+def sorted_blocks(placed: DataFrame) -> DataFrame:
+    """Rows of a block in one task, one after the other."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "block").sortWithinPartitions("block")
+
+
+def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut anew, so that each holds whole blocks."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        block = pdf["block"].to_numpy()
+        done = int(np.searchsorted(block, block[-1]))
+        if rest and block[0] != rest[-1]["block"].iloc[-1]:
+            yield pd.concat(rest, ignore_index=True)
+            rest = []
+        if done:
+            yield pd.concat([*rest, pdf.iloc[:done]], ignore_index=True)
+            rest = []
+        rest.append(pdf.iloc[done:])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``."""
+    """``(doc_id, fp, component_id, row)`` for every row of ``docs``."""
     fps = cut(fingerprints(docs, id_col, text_col, width))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     roots = connected_components(links(groups.select("fp"), radius))
@@ -208,7 +250,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inner = cut(named.join(many, "root", "left_semi").select("fp", "root", "low"))
     lowest = inner.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = inner.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), "row")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -218,19 +260,29 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one row for each component: the one with the smallest ``doc_id``; see ``only``."""
-    ids = cut(components(docs, width=width, radius=radius))
-    return only(docs, ids.where("doc_id = component_id").select("doc_id").distinct(), ids)
+    found = cut(components(docs, width=width, radius=radius))
+    first = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row"))
+    return only(docs, first.select(F.col("component_id").alias("doc_id"), "row"))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's own key: rows that share an id are told apart by their text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def only(docs: DataFrame, keep: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``doc_id`` of ``keep``; ``ids`` has the ids of all rows.
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``(doc_id, row)`` of ``keep``.
 
-    Of several rows with that id the smallest in column order stays.  Rows without an id cannot be named by any result
-    and stay as they are.
+    Of several rows with that id and text the one that comes first as JSON stays.  Rows without an id cannot be named by
+    any result and stay as they are.
     """
-    kept = docs.join(keep, "doc_id", "left_semi")
-    repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    row, cols = own_name("row", docs.columns), quoted(docs.columns)
+    wanted = small(keep.select(F.col("doc_id").alias(row + "_id"), F.col("row").alias(row + "_key")))
+    keyed = docs.where("doc_id is not null").withColumn(row, row_key())
+    kept = keyed.join(wanted, (F.col("doc_id") == F.col(row + "_id")) & (F.col(row) == F.col(row + "_key")), "left_semi")
+    repeated = cut(kept.groupBy(row).count().where("count > 1").select(row))
     if not repeated.isEmpty():
-        several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*quoted(docs.columns))).alias("row"))
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*quoted(docs.columns)).unionByName(several.select("row.*"))
-    return kept.select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
+        repeated = small(repeated)
+        several = kept.join(repeated, row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*cols), F.to_json(F.struct(*cols))).alias("kept"))
+        kept = kept.join(repeated, row, "left_anti").select(*cols).unionByName(several.select("kept.*"))
+    return kept.select(*cols).unionByName(docs.where("doc_id is null"))

@@ -56,3 +56,41 @@ def test_one_large_group(spark):
         rows.append((k, " ".join(near)))
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_unique_text_under_a_repeated_id_stays(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    copy, unique = text(), text()
+    rows = [(1, copy, "a"), (5, copy + " end", "b"), (5, unique, "c"), (5, unique, "d"), (None, copy, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, copy, "a"), (5, unique, "c"), (None, copy, "e")], key=str)
+
+
+@pytest.mark.parametrize("block, shingles", [(4096, 1_000_000), (16, 2000)])
+def test_pairs_below_the_similarity_in_one_group(spark, monkeypatch, block, shingles):
+    """Many texts that share much but not enough, and links between a few of them, in blocks of any size."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", shingles)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = []
+    for k in range(120):
+        near = list(base)
+        for _ in range(rng.choice([1, 3, 6, 9, 12])):
+            near[rng.randrange(150)] = f"x{rng.randrange(9000)}"
+        docs.append((k, " ".join(near)))
+    docs += [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 7, 20])))) for k in range(200, 230)]
+    sets = [shingles_of for _, t in docs for shingles_of in [globals()["shingles"](t)]]
+    low = {i: i for i, _ in docs}
+    for _ in range(20):
+        for a in range(len(docs)):
+            for b in range(a):
+                if low[docs[a][0]] != low[docs[b][0]] and jaccard(sets[a], sets[b]) >= 0.8:
+                    low[docs[a][0]] = low[docs[b][0]] = min(low[docs[a][0]], low[docs[b][0]])
+    want = sorted(i for i in low if low[i] == i)
+    assert 20 < len(want) < 140
+    kept = neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == want

@@ -84,6 +84,40 @@ def test_components_match_brute_force(spark, monkeypatch, block):
     assert sorted(i for i in ids if i is not None) == sorted(set(low.values())) and ids.count(None) == 2
 
 
+def test_wide_fingerprints_and_large_radius():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 5, 400)]
+    for row in fps:
+        for b in rng.integers(0, 256, rng.integers(0, 60)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    keys = np.sort(rng.integers(0, 6, 400))
+    apart = np.unpackbits((fps[:, None] ^ fps[None]).view(np.uint8), axis=-1).sum(axis=-1, dtype=int)
+    for radius in (1, 20, 72):
+        i, j = simhash.linked_pairs(keys, fps, radius)
+        want = {(a, b) for a, b in itertools.combinations(range(400), 2) if keys[a] == keys[b] and apart[a, b] <= radius}
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+
+
+def test_blocks_are_cut_whole():
+    import pandas as pd
+
+    parts = [[1, 1], [1], [1, 2], [2, 2, 3], [], [4], [4, 5, 6, 6], [7]]
+    got = [p["block"].tolist() for p in simhash.whole_blocks(pd.DataFrame({"block": np.array(p, np.int64)}) for p in parts)]
+    assert sum(got, []) == sum(parts, [])
+    assert sum(len(set(p)) for p in got) == 7
+
+
+def test_unique_text_under_a_repeated_id_stays(spark):
+    unique = "here is a text that no other row of the table has in it at all"
+    copy = "some words that stand in this very order in two rows of the table"
+    rows = [(1, copy, {"k": 1}), (5, copy, {"k": 2}), (5, unique, {"k": 3}), (5, unique, {"k": 3}), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row map<string,int>")
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, copy), (5, unique), (7, "")])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.components(docs).collect() == []
