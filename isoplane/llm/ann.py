@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoplane.checkpoints import cut
+
 
 @dataclass(frozen=True)
 class Collisions:
@@ -145,13 +147,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, how: Collisions =
         .groupBy("id", "v").agg(F.max("asks").alias("asks"))
         .withColumn("dim", F.size("v"))
     )
+    good = cut(good)
     rows = good.count()
     blocks = max(1, -(-rows // how.block))
     data = good.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "id", "v")
     asking = good.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     queries = asking.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"), "id", "v")
     parts = min(blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = data.unionByName(queries).repartition(parts, "dim", "b").sortWithinPartitions("dim", "b", "asks")
+    met = data.unionByName(queries).repartitionById(parts, F.pmod("b", F.lit(parts))).sortWithinPartitions("dim", "b", "asks")
     found = met.mapInPandas(lambda batches: _searched(batches, k, how), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
