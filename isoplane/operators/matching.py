@@ -9,6 +9,16 @@ from isoplane.functions.text import organ_key
 
 #: Largest box, in voxels, that a comparison may have.
 VOXEL_CAP = 25_000_000
+# Why a pair is not measured.
+NO_TRUTH = "no ground-truth structure in this group"
+NO_HANDLE = "structure handle missing"
+NO_IMAGE = "ground-truth set has no image to rasterize on"
+OTHER_FRAME = "ground truth and AI are in different frames of reference"
+NO_SEGMENT = "empty structure (no segment)"
+NO_BOUNDS = "no mesh geometry / bounds unavailable"
+DEGENERATE = "degenerate bounding box"
+TOO_LARGE = "structure too large (%s voxels)"
+NO_VOXELS = "empty structure (no voxels)"
 
 
 def ordinal(*names: str) -> list[Column]:
@@ -51,7 +61,7 @@ def auto_match(structures: DataFrame) -> DataFrame:
     ai = members.where("role = 'AI'").select(
         "patient_id", "match_key", "group_no", F.col("set_id").alias("ai_set"), F.col("structure_id").alias("ai_structure"), F.col("is_empty").alias("ai_empty")
     )
-    return ai.join(first, ["patient_id", "match_key"], "left").withColumn("note", F.when(F.col("gt_set").isNull(), "no ground truth in this group"))
+    return ai.join(first, ["patient_id", "match_key"], "left").withColumn("note", F.when(F.col("gt_set").isNull(), NO_TRUTH))
 
 
 def ground_truth_warning(structures: DataFrame) -> DataFrame:
@@ -79,15 +89,15 @@ def pair_match(structures: DataFrame, reference: str, compared: str, skip_body:
     return side(reference, "gt").join(side(compared, "cmp"), ["patient_id", "match_key"])
 
 
-def eligibility_note(has_handle: Column, has_image: Column, gt_frame: Column, ai_frame: Column, has_segment: Column, has_bounds: Column, voxels: Column, filled: Column) -> Column:
+def eligibility_note(has_handle: Column, has_image: Column, gt_frame: Column, ai_frame: Column, has_segment: Column, has_bounds: Column, voxels: Column, filled: Column, cap: int = VOXEL_CAP) -> Column:
     """The first reason, in order of testing, why a pair is not measured; null if it can be."""
     return (
-        F.when(~has_handle, "structure not found")
-        .when(~has_image, "no image")
-        .when(~(gt_frame == ai_frame) | gt_frame.isNull() | ai_frame.isNull(), "different frame of reference")
-        .when(~has_segment, "no segment")
-        .when(~has_bounds, "no bounds")
-        .when(voxels <= 0, "degenerate box")
-        .when(voxels > VOXEL_CAP, "box too large")
-        .when(~filled, "empty structure (no voxels)")
+        F.when(~has_handle, NO_HANDLE)
+        .when(~has_image, NO_IMAGE)
+        .when(~(gt_frame == ai_frame) | gt_frame.isNull() | ai_frame.isNull(), OTHER_FRAME)
+        .when(~has_segment, NO_SEGMENT)
+        .when(~has_bounds, NO_BOUNDS)
+        .when(voxels <= 0, DEGENERATE)
+        .when(voxels > cap, F.format_string(TOO_LARGE, F.format_number(voxels.cast("long"), 0)))
+        .when(~filled, NO_VOXELS)
     )

@@ -74,15 +74,37 @@ def number_new_plans(wanted: DataFrame, plans: DataFrame) -> DataFrame:
 def free_copy_number(plans: DataFrame, base: Column, most: int = 999) -> DataFrame:
     """The smallest number from 1 on for which ``<base> kopi <n>`` is not taken in the course."""
     wanted = plans.select("course", base.alias("base")).distinct()
-    n = F.regexp_extract("plan_id", r"^(.*) kopi ([0-9]{1,3})$", 2).try_cast("int")
-    taken = plans.withColumn("base", F.regexp_extract("plan_id", r"^(.*) kopi ([0-9]{1,3})$", 1)).withColumn("n", n).where("n between 1 and 999").select("course", "base", "n").distinct()
+    # only the spelling that would be made is taken, in any case: "kopi 01" is not "kopi 1"
+    copy = r"(?i)^(.*) kopi ([1-9][0-9]{0,2})$"
+    n = F.regexp_extract("plan_id", copy, 2).try_cast("int")
+    taken = plans.select("course", F.upper(F.regexp_extract("plan_id", copy, 1)).alias("k"), n.alias("n")).where("n is not null").distinct()
     # the first gap: the smallest n whose rank among the taken numbers is not itself
-    rank = F.row_number().over(Window.partitionBy("course", "base").orderBy("n"))
-    run = taken.withColumn("r", rank).groupBy("course", "base").agg(F.coalesce(F.max(F.when(F.col("n") == F.col("r"), F.col("n"))), F.lit(0)).alias("used"))
-    met = wanted.join(run, ["course", "base"], "left").withColumn("number", F.coalesce("used", F.lit(0)) + 1)
+    rank = F.row_number().over(Window.partitionBy("course", "k").orderBy("n"))
+    run = taken.withColumn("r", rank).groupBy("course", "k").agg(F.coalesce(F.max(F.when(F.col("n") == F.col("r"), F.col("n"))), F.lit(0)).alias("used"))
+    met = wanted.withColumn("k", F.upper("base")).join(run, ["course", "k"], "left").withColumn("number", F.coalesce("used", F.lit(0)) + 1)
     return met.where(F.col("number") <= most).select("course", "base", "number")
 
 
+def plan_ids(wanted: DataFrame, plans: DataFrame) -> DataFrame:
+    """The id of each wanted plan ``(course, mv, name, target_id)``: the first plan of a target is named after it, the next
+    ones are the next free copies of the lowest running number among the plans of that target (``mv`` where none has one)."""
+    own = plans.select("course", F.upper("target_id").alias("t"), mv_number("plan_id").alias("n"))
+    lowest = own.groupBy("course", "t").agg(F.min(F.when(F.col("n") > 0, F.col("n"))).alias("n"), F.count("*").alias("existing"))
+    met = wanted.withColumn("t", F.upper("target_id")).join(lowest, ["course", "t"], "left")
+    met = met.withColumn("base", F.concat(F.lit("MV"), F.coalesce("n", "mv").cast("string")))
+    everything = plans.select("course", "plan_id", F.lit(None).cast("string").alias("base")).unionByName(met.select("course", F.lit(None).cast("string").alias("plan_id"), "base"))
+    free = free_copy_number(everything, F.col("base")).where("base is not null")
+    first = plan_name(F.col("mv"), F.col("name"))
+    copy = F.concat("base", F.lit(" kopi "), F.col("number").cast("string"))
+    found = met.join(free, ["course", "base"], "left").withColumn("plan_id", F.when(F.col("existing").isNull() | F.col("number").isNull(), first).otherwise(copy))
+    return found.select(*wanted.columns, "plan_id")
+
+
+def run_problem(reuse: Column, open_set: Column, open_image: Column, image: Column) -> Column:
+    """Why a run cannot start on the structures already there; null if it can."""
+    return F.when(reuse & open_set.isNull(), "no open structure set").when(reuse & ~open_image.eqNullSafe(image), "open structure set belongs to another image")
+
+
 def newest_image(images: DataFrame, word: str = "kVCBCT") -> DataFrame:
     """Of each patient the newest image whose id holds ``word``; undated ones last, then the first scanned."""
     found = images.where(F.upper("image_id").contains(word.upper()))

@@ -21,21 +21,28 @@ def goals(df: DataFrame) -> DataFrame:
     return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS g(goal_no, goal_id, is_target, metric, limit_gy, priority)")
 
 
-def plan_score(dose: DataFrame) -> DataFrame:
-    """Weighted squared violations of each plan; target goals bind to its PTV, goals without a structure are left out."""
+def _bound(is_ptv: Column | None) -> Column:
+    """Whether a goal belongs to a structure: target goals to the chosen PTV, others by id."""
+    chosen = F.col("structure_id").startswith("PTV") if is_ptv is None else is_ptv
+    return (F.col("is_target") & chosen) | (~F.col("is_target") & (F.col("structure_id") == F.col("goal_id")))
+
+
+def plan_score(dose: DataFrame, is_ptv: Column | None = None) -> DataFrame:
+    """Weighted squared violations of each plan; target goals bind to its PTV (``is_ptv`` picks it, else every id that
+    starts so), goals without a structure are left out, and a plan without any goal scores 0."""
     gy = dose.withColumn("gy", dose_gy(F.col("dose"), F.col("unit"))).where("gy is not null and not isnan(gy)")
     sums = gy.groupBy("plan_no", "structure_id").agg(F.max("gy").alias("max"), F.min("gy").alias("min"), F.avg("gy").alias("mean"))
-    target = F.col("is_target") & F.col("structure_id").startswith("PTV")
-    met = sums.join(F.broadcast(goals(dose)), target | (~F.col("is_target") & (F.col("structure_id") == F.col("goal_id"))))
+    met = sums.join(F.broadcast(goals(dose)), _bound(is_ptv))
     value = F.when(F.col("metric") == "max", F.col("max")).when(F.col("metric") == "min", F.col("min")).otherwise(F.col("mean"))
     violation = F.when(F.col("metric") == "min", F.col("limit_gy") - value).otherwise(value - F.col("limit_gy"))
-    return met.groupBy("plan_no").agg(F.sum(F.col("priority") * F.pow(F.greatest(violation, F.lit(0.0)), F.lit(2))).alias("score"), F.count("*").alias("n_goals"))
+    scores = met.groupBy("plan_no").agg(F.sum(F.col("priority") * F.pow(F.greatest(violation, F.lit(0.0)), F.lit(2))).alias("score"), F.count("*").alias("n_goals"))
+    every = dose.select("plan_no").distinct().join(scores, "plan_no", "left")
+    return every.select("plan_no", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_goals", F.lit(0)).alias("n_goals"))
 
 
-def objectives(structures: DataFrame) -> DataFrame:
+def objectives(structures: DataFrame, is_ptv: Column | None = None) -> DataFrame:
     """One optimisation objective for each goal whose structure a plan has."""
-    target = F.col("is_target") & F.col("structure_id").startswith("PTV")
-    met = structures.join(F.broadcast(goals(structures)), target | (~F.col("is_target") & (F.col("structure_id") == F.col("goal_id"))))
+    met = structures.join(F.broadcast(goals(structures)), _bound(is_ptv))
     kind = F.when(F.col("metric") == "max", "upper").when(F.col("metric") == "min", "lower").otherwise("mean")
     return met.select("plan_no", "structure_id", "goal_no", kind.alias("objective"), "limit_gy", "priority")
 

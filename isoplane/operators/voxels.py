@@ -123,43 +123,71 @@ def ellipse(radius: int) -> list[tuple[int, int]]:
     return found
 
 
+def runs(mask: DataFrame, key: Key) -> DataFrame:
+    """The mask's runs ``(key, z, y, a, b)`` along x, from ``a`` to ``b`` inclusive."""
+    row = [*key, "z", "y"]
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*row).orderBy("x"))
+    found = mask.select(*row, "x").distinct().withColumn("island", island)
+    return found.groupBy(*row, "island").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("island")
+
+
+def _shifted(lines: DataFrame, key: Key, kernel: list[tuple], wider: int) -> DataFrame:
+    """Each run at every row ``(dy, dz, half)`` of the kernel, longer (or shorter, ``wider`` = -1) by ``half`` at both ends."""
+    met = lines.select("*", offsets(kernel, "dy, dz, half"))
+    a, b = F.col("a") - wider * F.col("half"), F.col("b") + wider * F.col("half")
+    return met.select(*key, (F.col("z") + F.col("dz")).alias("z"), (F.col("y") + F.col("dy")).alias("y"), a.alias("a"), b.alias("b")).where("a <= b")
+
+
+def dilate(lines: DataFrame, key: Key, kernel: list[tuple]) -> DataFrame:
+    """The runs of a dilation: one row for each run and kernel row, not for each voxel and kernel voxel."""
+    row = [*key, "z", "y"]
+    order = Window.partitionBy(*row).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    moved = _shifted(lines, key, kernel, 1).withColumn("opens", F.coalesce(F.col("a") > reach + 1, F.lit(True)).cast("int"))
+    joined = moved.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(*row, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+
+
+def erode(lines: DataFrame, key: Key, kernel: list[tuple]) -> DataFrame:
+    """The voxels of an erosion with a point-symmetric kernel: those that a shortened run of every kernel row covers."""
+    row = [*key, "z", "y"]
+    ends = F.inline(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("v")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("v"))))
+    turns = _shifted(lines, key, kernel, -1).select(*row, ends).groupBy(*row, "x").agg(F.sum("v").alias("v"))
+    order = Window.partitionBy(*row).orderBy("x")
+    covered = turns.withColumn("n", F.sum("v").over(order)).withColumn("next", F.lead("x").over(order)).where(F.col("n") == len(kernel))
+    return covered.select(*row, F.explode(F.sequence(F.col("x"), F.col("next") - 1)).alias("x"))
+
+
+def voxels_of(lines: DataFrame) -> DataFrame:
+    return lines.select("*", F.explode(F.sequence("a", "b")).alias("x")).drop("a", "b")
+
+
+def ball(margin_mm: float, spacing: tuple[float, float, float]) -> list[tuple[int, int, int]]:
+    """The rows ``(dy, dz, half)`` of a Euclidean ball."""
+    sx, sy, sz = spacing
+    found = []
+    for dz in range(-int(margin_mm / sz), int(margin_mm / sz) + 1):
+        for dy in range(-int(margin_mm / sy), int(margin_mm / sy) + 1):
+            left = margin_mm**2 + 1e-9 - (dy * sy) ** 2 - (dz * sz) ** 2
+            if left >= 0:
+                found.append((dy, dz, int(left**0.5 / sx)))
+    return found
+
+
 def close_2d(mask: DataFrame, key: Key, radius: int) -> DataFrame:
     """Two-dimensional closing of each slice with the elliptical kernel."""
-    kernel = ellipse(radius)
-    steps = offsets(kernel, "dx, dy")
-    moved = lambda sign: [(F.col("x") + sign * F.col("dx")).alias("x"), (F.col("y") + sign * F.col("dy")).alias("y")]
-    grown = mask.select("*", steps).select(*key, "z", *moved(1)).distinct()
-    # a voxel survives the erosion when the whole kernel around it lies in the grown mask
-    return grown.select("*", steps).select(*key, "z", *moved(-1)).groupBy(*key, "z", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") == len(kernel)).drop("n")
+    kernel = [(dy, 0, max(x for x, y in ellipse(radius) if y == dy)) for dy in range(-radius, radius + 1)]
+    return erode(dilate(runs(mask, key), key, kernel), key, kernel)
 
 
 def grow(mask: DataFrame, key: Key, margin_mm: float, spacing: tuple[float, float, float]) -> DataFrame:
     """Euclidean dilation by a margin in mm."""
-    sx, sy, sz = spacing
-    reach = [int(margin_mm / s) for s in spacing]
-    ball = [
-        (dx, dy, dz)
-        for dx in range(-reach[0], reach[0] + 1) for dy in range(-reach[1], reach[1] + 1) for dz in range(-reach[2], reach[2] + 1)
-        if (dx * sx) ** 2 + (dy * sy) ** 2 + (dz * sz) ** 2 <= margin_mm**2 + 1e-9
-    ]
-    steps = offsets(ball, "dx, dy, dz")
-    return mask.select("*", steps).select(*key, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z")).distinct()
+    return voxels_of(dilate(runs(mask, key), key, ball(margin_mm, spacing)))
 
 
 def shrink(mask: DataFrame, key: Key, margin_mm: float, spacing: tuple[float, float, float]) -> DataFrame:
     """Euclidean erosion: voxels whose whole ball lies in the mask."""
-    one = mask.sparkSession.range(1).select(*[F.lit(0).alias(c) for c in "xyz"])
-    size = grow(one, [], margin_mm, spacing).count()
-    sx, sy, sz = spacing
-    reach = [int(margin_mm / s) for s in spacing]
-    ball = [
-        (dx, dy, dz)
-        for dx in range(-reach[0], reach[0] + 1) for dy in range(-reach[1], reach[1] + 1) for dz in range(-reach[2], reach[2] + 1)
-        if (dx * sx) ** 2 + (dy * sy) ** 2 + (dz * sz) ** 2 <= margin_mm**2 + 1e-9
-    ]
-    steps = offsets(ball, "dx, dy, dz")
-    told = mask.select("*", steps).select(*key, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
-    return told.groupBy(*key, "x", "y", "z").agg(F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+    return erode(runs(mask, key), key, ball(margin_mm, spacing))
 
 
 def keep_below(mask: DataFrame, reference: DataFrame, key: Key, width: int) -> DataFrame:
@@ -220,29 +248,52 @@ def to_index(px: Column, py: Column, pz: Column, origin: tuple, directions: tupl
     return [F.bround(sum(((p - F.lit(o)) * (directions[k][i] / spacing[k]) for i, (p, o) in enumerate(zip((px, py, pz), origin))), F.lit(0.0)), 0).cast("int") for k in range(3)]
 
 
+# Radii of the closing in pixels, of the one that fills gaps, and of the latter along z in slices.
+CLOSE_RADIUS, FILL_RADIUS, FILL_RADIUS_Z = 2, 12, 1
+
+
+def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column, erase: DataFrame, below: DataFrame | None = None, least: int = 0,
+            fill_gaps: bool = False, span: DataFrame | None = None, negative_slope: Column | None = None) -> DataFrame:
+    """Dense voxels as a cleaned mask.
+
+    In this order: voxels on the dense side of the raw ``limit`` in the slices ``z0`` to ``z1`` of ``span``, less
+    ``erase``; closed in each slice; ``erase`` taken away again where the closing ran into it; only what is below
+    ``below``; closed along z (``fill_gaps`` only, which also takes the larger radius); components of ``least`` voxels.
+    """
+    width, height, depth = shape
+    spots = [*key, "x", "y", "z"]
+    found = threshold(hu, limit, F.lit(False) if negative_slope is None else negative_slope)
+    if span is not None:
+        found = found.join(span, list(key)).where("z between z0 and z1")
+    found = close_2d(subtract(found.select(*spots), erase, key), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS).select(*spots)
+    found = subtract(found.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)), erase, key).select(*spots)
+    if below is not None:
+        found = keep_below(found, below, key, width).select(*spots)
+    if fill_gaps:
+        found = close_z(found, key, FILL_RADIUS_Z, 0, depth - 1).select(*spots)
+    if least > 0:
+        found = drop_small(label_components(found, key, width, height, depth), key, least)
+    return found.select(*spots)
+
+
 def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape: tuple[int, int, int], spacing: tuple[float, float, float],
-             coarse: int, refined: int, least: int = 4, z_reach: int = 10, body_margin: float = 10.0, keep_bulge: bool = False) -> DataFrame:
-    """The two-pass segmentation of fixation gear; returns the final body mask.
+             coarse: Column, refined: Column, least: int = 4, z_reach: int = 10, body_margin: float = 10.0, keep_bulge: bool = False,
+             negative_slope: Column | None = None) -> DataFrame:
+    """The two-pass segmentation of fixation gear; returns the final body mask.  ``coarse`` and ``refined`` are raw limits.
 
-    Coarse pass: dense voxels outside of the body, small components dropped, joined to the body within ``z_reach`` slices
-    of it.  Refined pass: dense voxels below the original body, outside of it and of the couch, closed with gap filling,
-    less the body grown by ``body_margin``.  The result starts from the original body unless ``keep_bulge``.
+    The body is reduced to its largest component first.  Refined pass: what is dense and below that body, less body and
+    couch, gaps filled, less the body grown by ``body_margin``.  The coarse pass (dense voxels outside of the body within
+    ``z_reach`` slices of it) only serves to place the couch, so it is made and joined with ``keep_bulge`` only.
     """
     width, height, depth = shape
     spots = [*key, "x", "y", "z"]
-    span = body.groupBy(*key).agg((F.min("z") - z_reach).alias("z0"), (F.max("z") + z_reach).alias("z1"))
-
-    def dense(limit: int) -> DataFrame:
-        return hu.where(F.col("raw") >= limit).select(*spots)
-
-    first = subtract(dense(coarse), body, key).join(span, list(key)).where("z between z0 and z1").select(*spots)
-    first = drop_small(label_components(first, key, width, height, depth), key, least).select(*spots)
-    bulged = union(body.select(*spots), first)
-    second = keep_below(subtract(subtract(dense(refined), body, key), couch, key), body, key, width).select(*spots)
-    second = close_z(close_2d(second, key, 2), key, 1, 0, depth - 1).select(*spots)
-    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    second = subtract(second.where(inside), grow(body.select(*spots), key, body_margin, spacing), key)
-    return union(bulged if keep_bulge else body.select(*spots), second)
+    clean = keep_largest(label_components(body, key, width, height, depth), key).select(*spots)
+    gear = segment(hu, key, shape, refined, union(clean, couch.select(*spots)), clean, fill_gaps=True, negative_slope=negative_slope)
+    result = union(clean, subtract(gear, grow(clean, key, body_margin, spacing), key).select(*spots))
+    if not keep_bulge:
+        return result
+    span = clean.groupBy(*key).agg((F.min("z") - z_reach).alias("z0"), (F.max("z") + z_reach).alias("z1"))
+    return union(result, segment(hu, key, shape, coarse, clean, least=least, span=span, negative_slope=negative_slope))
 
 
 def fill_polygons(points: DataFrame, key: Key) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoplane.functions import text as T
-from isoplane.operators import links, matching, planning, rules, search, voxels
+from isoplane.operators import comparison, links, matching, planning, rules, search, voxels
 from isoplane.sources import exports, volumes
 from isoplane.sources.views import view, view_sql
 
@@ -82,7 +82,7 @@ def auto_match_members(spark, sf_dir):
 
 _PAIRS = _MEMBERS + """,
 pairs AS (SELECT a.patient_id, a.group_no, a.match_key, g.set_id AS gt_set, g.structure_id AS gt_structure, a.set_id AS ai_set, a.structure_id AS ai_structure,
-  CASE WHEN g.set_id IS NULL THEN 'no ground truth in this group' END AS note
+  CASE WHEN g.set_id IS NULL THEN 'no ground-truth structure in this group' END AS note
   FROM (SELECT * FROM members WHERE role = 'AI') a
   LEFT JOIN (SELECT * FROM members WHERE role = 'GroundTruth' AND member_no = 1) g ON a.patient_id = g.patient_id AND a.match_key = g.match_key)"""
 
@@ -126,9 +126,9 @@ def pair_match_nobody(spark, sf_dir):
     return matching.pair_match(view(spark, sf_dir, "structure"), "Manual", "TotalSegAuto", skip_body=True)
 
 
-@query(view_sql("structure") + """ SELECT a.seq, CASE WHEN b.seq IS NULL THEN 'structure not found' WHEN a.nx % 13 = 0 THEN 'no image'
-  WHEN a.frame IS NULL OR b.frame IS NULL OR a.frame <> b.frame THEN 'different frame of reference' WHEN a.nx % 7 = 0 THEN 'no segment' WHEN a.nx % 11 = 0 THEN 'no bounds'
-  WHEN a.nx - 2 <= 0 THEN 'degenerate box' WHEN a.nx * a.nx * 20000 > 25000000 THEN 'box too large' WHEN a.is_empty OR b.is_empty THEN 'empty structure (no voxels)' END AS note
+@query(view_sql("structure") + """ SELECT a.seq, CASE WHEN b.seq IS NULL THEN 'structure handle missing' WHEN a.nx % 13 = 0 THEN 'ground-truth set has no image to rasterize on'
+  WHEN a.frame IS NULL OR b.frame IS NULL OR a.frame <> b.frame THEN 'ground truth and AI are in different frames of reference' WHEN a.nx % 7 = 0 THEN 'empty structure (no segment)' WHEN a.nx % 11 = 0 THEN 'no mesh geometry / bounds unavailable'
+  WHEN a.nx - 2 <= 0 THEN 'degenerate bounding box' WHEN a.nx * a.nx * 20000 > 25000000 THEN 'structure too large (' || format('{:,}', a.nx * a.nx * 20000) || ' voxels)' WHEN a.is_empty OR b.is_empty THEN 'empty structure (no voxels)' END AS note
   FROM v_structure a LEFT JOIN v_structure b ON b.seq = a.seq + 3""")
 def eligibility_notes(spark, sf_dir):
     a = view(spark, sf_dir, "structure")
@@ -220,6 +220,57 @@ def surface_metrics(spark, sf_dir):
     return voxels.surface_metrics(view(spark, sf_dir, "mask"), ["pair_id"], SPACING).select("pair_id", *_round("hausdorff_mm", "hd95_mm", "assd_mm"))
 
 
+def _compare_sql(pairs: str, columns: str) -> str:
+    """SQL that ends in the comparison of the rows of ``pairs``, stated with the parts of the queries above."""
+    length = lambda c, n: f"(least({n - 1}, greatest(g.{c}1, a.{c}1) + 1) - greatest(0, least(g.{c}0, a.{c}0) - 1) + 1)"
+    box = " * ".join(length(c, n) for c, n in zip("xyz", SHAPE))
+    overlap = _overlap_sql("mask").removeprefix(view_sql("mask"))
+    ctes, last = overlap.split("\nSELECT pair_id, cg", 1)
+    return f"""{pairs},{view_sql("structure_mask").removeprefix("WITH")},
+hand AS (SELECT patient_id, set_id, structure_id, seq, frame, nx, seq % 3 AS x0, seq % 3 + 1 + nx % 3 AS x1, seq % 2 AS y0, seq % 2 + 1 + nx % 2 AS y1, 0 AS z0, nx % 3 AS z1 FROM gathered),
+why AS (SELECT p.* EXCLUDE (note), g.seq * 1000000000 + a.seq AS pair_id, g.seq AS gs, a.seq AS s2, CASE WHEN p.note IS NOT NULL THEN p.note WHEN g.nx % 13 = 0 THEN 'ground-truth set has no image to rasterize on'
+  WHEN g.frame IS NULL OR a.frame IS NULL OR g.frame <> a.frame THEN 'ground truth and AI are in different frames of reference' WHEN g.nx % 7 = 0 OR a.nx % 7 = 0 THEN 'empty structure (no segment)'
+  WHEN g.nx % 11 = 0 OR a.nx % 11 = 0 THEN 'no mesh geometry / bounds unavailable' WHEN {box} > {_CAP} THEN 'structure too large (' || {box} || ' voxels)' END AS note
+  FROM pairs p LEFT JOIN hand g ON g.patient_id = p.patient_id AND g.set_id = p.gt_set AND g.structure_id = p.gt_structure
+  LEFT JOIN hand a ON a.patient_id = p.patient_id AND a.set_id = p.ai_set AND a.structure_id = p.ai_structure),
+v_mask AS (SELECT DISTINCT pair_id, 'GT' AS role, x, y, z FROM why JOIN v_structure_mask ON handle = gs WHERE note IS NULL
+  UNION ALL SELECT DISTINCT pair_id, 'AI', x, y, z FROM why JOIN v_structure_mask ON handle = s2 WHERE note IS NULL)
+{ctes}, measured AS (SELECT pair_id, cg{last}){_DIRECTED.removeprefix(view_sql("mask"))},
+surface AS (SELECT pair_id, round(max(d), 6) AS hausdorff_mm, round(quantile_cont(d, 0.95), 6) AS hd95_mm, round((avg(d) FILTER (role = 'GT') + avg(d) FILTER (role = 'AI')) / 2, 6) AS assd_mm FROM dist GROUP BY pair_id)
+SELECT {columns}, dice, jaccard, hausdorff_mm, hd95_mm, assd_mm, volume_gt_cc, volume_ai_cc, volume_diff_cc, com_diff_mm,
+  CASE WHEN w.note IS NOT NULL THEN w.note WHEN dice IS NULL THEN 'empty structure (no voxels)' END AS note FROM why w LEFT JOIN measured USING (pair_id) LEFT JOIN surface USING (pair_id)"""
+
+
+#: A cap small enough for the views to meet it.
+_CAP = 150
+
+
+def _compared(spark, sf_dir, rows):
+    own = matching.gather(view(spark, sf_dir, "structure"))
+    nx, seq = F.col("nx"), F.col("seq")
+    low = {"x": seq % 3, "y": seq % 2, "z": F.lit(0)}
+    high = {"x": seq % 3 + 1 + nx % 3, "y": seq % 2 + 1 + nx % 2, "z": nx % 3}
+    bounds = [F.when(nx % 11 != 0, e[c]).alias(f"{c}{k}") for c in "xyz" for k, e in ((0, low), (1, high))]
+    structures = own.select("patient_id", "set_id", "structure_id", seq.alias("handle"), "frame", (nx % 13 != 0).alias("has_image"), (nx % 7 != 0).alias("has_segment"), *bounds)
+    return comparison.compare(rows, structures, view(spark, sf_dir, "structure_mask"), SPACING, SHAPE, _CAP)
+
+
+@query(_compare_sql(_PAIRS, "patient_id, group_no, match_key, gt_set, gt_structure, ai_set, ai_structure"))
+def comparison_rows(spark, sf_dir):
+    found = _compared(spark, sf_dir, matching.auto_match(view(spark, sf_dir, "structure")).drop("gt_empty", "ai_empty"))
+    return found.select("patient_id", *_long("group_no"), "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *_round(*comparison.METRICS), "note")
+
+
+_PICKED = _pair_sql("").replace("SELECT g.patient_id", ", pairs AS (SELECT 'Manual' AS gt_set, 'TotalSegAuto' AS ai_set, NULL AS note, g.patient_id").replace("AS cmp_structure", "AS ai_structure") + ")"
+
+
+@query(_compare_sql(_PICKED, "patient_id, match_key, gt_structure, ai_structure"))
+def pair_comparison(spark, sf_dir):
+    rows = matching.pair_match(view(spark, sf_dir, "structure"), "Manual", "TotalSegAuto").withColumnRenamed("cmp_structure", "ai_structure")
+    rows = rows.withColumns({"gt_set": F.lit("Manual"), "ai_set": F.lit("TotalSegAuto"), "note": F.lit(None).cast("string")})
+    return _compared(spark, sf_dir, rows).select("patient_id", "match_key", "gt_structure", "ai_structure", *_round(*comparison.METRICS), "note")
+
+
 _BOX = [("x", 9), ("y", 9), ("z", 4)]
 
 
@@ -332,7 +383,7 @@ def fixation(spark, sf_dir):
     hu = _hu(spark, sf_dir)
     body = hu.where("x between 5 and 9 and y between 3 and 6 and z between 2 and 5")
     couch = hu.where("y >= 14")
-    found = voxels.fixation(hu, body, couch, ["image"], SHAPE, SPACING, coarse=1950, refined=1850, body_margin=1.5)
+    found = voxels.fixation(hu, body, couch, ["image"], SHAPE, SPACING, coarse=F.lit(1950), refined=F.lit(1850), body_margin=1.5)
     return found.groupBy("image").agg(F.count("*").alias("voxels"), *[f(c).cast("long").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
 
 
@@ -578,6 +629,22 @@ def free_copy_number(spark, sf_dir):
     return planning.free_copy_number(view(spark, sf_dir, "plan_id"), F.regexp_replace("plan_id", " kopi [0-9]+$", "")).select("course", "base", *_long("number"))
 
 
+# two wanted plans for each course: one whose target has plans already, and one whose target has none
+_WANTED = "w AS (SELECT DISTINCT course, 50 AS mv, 'Th9' AS name, t AS target_id FROM v_plan_id CROSS JOIN (VALUES ('PTV_1'), ('PTV_9')) x(t))"
+
+
+@query(view_sql("plan_id") + f""", p AS (SELECT course, plan_id, 'ptv_' || seq % 3 AS target_id FROM v_plan_id), {_WANTED},
+e AS (SELECT w.*, (SELECT count(*) FROM p WHERE p.course = w.course AND upper(p.target_id) = w.target_id) AS existing,
+  coalesce((SELECT min({_MV}) FROM p WHERE p.course = w.course AND upper(p.target_id) = w.target_id AND {_MV} > 0), mv) AS x FROM w),
+f AS (SELECT course, target_id, min(y) AS y FROM e CROSS JOIN (SELECT unnest(range(1, 60)) AS y) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.course = e.course AND upper(p.plan_id) = 'MV' || x || ' KOPI ' || y) GROUP BY ALL)
+SELECT course, target_id, CASE WHEN existing = 0 THEN 'MV50_Th9_8' ELSE 'MV' || x || ' kopi ' || y END AS plan_id FROM e JOIN f USING (course, target_id)""")
+def plan_id_choice(spark, sf_dir):
+    own = view(spark, sf_dir, "plan_id")
+    plans = own.select("course", "plan_id", F.concat(F.lit("ptv_"), (F.col("seq") % 3).cast("string")).alias("target_id"))
+    wanted = own.select("course").distinct().select("course", F.lit(50).alias("mv"), F.lit("Th9").alias("name"), F.explode(F.array(F.lit("PTV_1"), F.lit("PTV_9"))).alias("target_id"))
+    return planning.plan_ids(wanted, plans).select("course", "target_id", "plan_id")
+
+
 @query(view_sql("image") + " SELECT patient_id, image_id FROM v_image WHERE contains(upper(image_id), 'KVCBCT') QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY created DESC NULLS LAST, seq) = 1")
 def newest_image(spark, sf_dir):
     return planning.newest_image(view(spark, sf_dir, "image")).select("patient_id", "image_id")

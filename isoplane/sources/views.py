@@ -93,6 +93,11 @@ VIEWS = {
         FROM {{part}} JOIN {_values([(0, 'GT'), (1, 'AI')], 'r(k, role)')} ON NOT (r.k = 1 AND p_size = 1)
         JOIN {_DIGITS.format('x')} ON x.v < 2 + p_size % 3 + r.k JOIN {_DIGITS.format('y')} ON y.v < 2 + p_size % 2
         JOIN {_DIGITS.format('z')} ON z.v < 1 + p_size % 3""",
+    # the voxels of each row of the view "structure", by its seq
+    "structure_mask": f"""
+        SELECT CAST(p_partkey AS BIGINT) AS handle, CAST(x.v + p_partkey % 3 AS INTEGER) AS x, CAST(y.v + p_partkey % 2 AS INTEGER) AS y, CAST(z.v AS INTEGER) AS z
+        FROM {{part}} JOIN {_DIGITS.format('x')} ON x.v < 2 + p_size % 3 JOIN {_DIGITS.format('y')} ON y.v < 2 + p_size % 2
+        JOIN {_DIGITS.format('z')} ON z.v < 1 + p_size % 3 WHERE p_size <> 1""",
     "mask_noise": """
         SELECT DISTINCT CAST(l_suppkey AS BIGINT) % 20 AS pair_id, CASE WHEN l_linenumber % 2 = 0 THEN 'GT' ELSE 'AI' END AS role, CAST(l_partkey % 16 AS INTEGER) AS x,
           CAST(l_orderkey % 16 AS INTEGER) AS y, CAST(CAST(l_quantity AS BIGINT) % 8 AS INTEGER) AS z

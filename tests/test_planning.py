@@ -54,6 +54,15 @@ def test_copy_numbers(spark):
     assert values(got, "course", "base", "number") == [(1, "A", 2), (1, "B", 1), (2, "A", 1)]
 
 
+def test_copy_numbers_compare_without_case_and_by_spelling(spark):
+    plans = spark.createDataFrame([(1, "mv3 KOPI 1"), (1, "MV3 kopi 02"), (1, "MV3_Th9_8"), (1, "MV5_Th9_8")], "course int, plan_id string").withColumn("target_id", F.lit("ptv_th9"))
+    wanted = spark.createDataFrame([(1, 7, "Th9", "PTV_Th9"), (1, 8, "L1", "PTV_L1")], "course int, mv int, name string, target_id string")
+    assert values(P.plan_ids(wanted, plans), "target_id", "plan_id") == [("PTV_L1", "MV8_L1_8"), ("PTV_Th9", "MV3 kopi 2")]
+    rows = spark.createDataFrame([(True, None, None), (True, "s", "a"), (True, "s", "b"), (False, None, None)], "r boolean, s string, i string")
+    got = rows.select(P.run_problem(F.col("r"), F.col("s"), F.col("i"), F.lit("a"))).collect()
+    assert [r[0] for r in got] == ["no open structure set", None, "open structure set belongs to another image", None]
+
+
 def test_directions_table(spark):
     rows = [(7.0, "HeadFirstSupine", "RIGHT"), (-9.0, "HeadFirstSupine", "LEFT"), (7.0, "HeadFirstProne", "LEFT"), (7.0, "FeetFirstSupine", "LEFT"), (7.0, "FeetFirstProne", "RIGHT")]
     df = spark.createDataFrame(rows, "lat double, o string, side string")

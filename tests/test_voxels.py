@@ -115,15 +115,47 @@ def test_score_and_search(spark):
     assert [(r.best_value, r.n_tried) for r in best] == [(85.0, 12), (30.0, 11)]
 
 
+def _closed(spots, radius):
+    kernel = voxels.ellipse(radius)
+    grown = {(x + dx, y + dy, z) for x, y, z in spots for dx, dy in kernel}
+    return {(x, y, z) for x, y, z in grown if all((x + dx, y + dy, z) in grown for dx, dy in kernel)}
+
+
+def test_large_closing_matches_whole_kernel(spark):
+    spots = {tuple(v) for v in np.argwhere(np.random.default_rng(8).random((16, 16, 2)) < 0.1).tolist()}
+    mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
+    for radius in (0, 1, 5, 12):
+        got = voxels.close_2d(mask, ["k"], radius)
+        assert {(r.x, r.y, r.z) for r in got.collect()} == _closed(spots, radius)
+
+
+def test_margins_match_whole_ball(spark):
+    spots = {tuple(v) for v in np.argwhere(np.random.default_rng(9).random((9, 9, 5)) < 0.7).tolist()}
+    mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
+    reach = [v for v in itertools.product(range(-3, 4), repeat=3) if (v[0] * 1.0) ** 2 + (v[1] * 1.5) ** 2 + (v[2] * 3.0) ** 2 <= 9]
+    rows = lambda df: {(r.x, r.y, r.z) for r in df.collect()}
+    assert rows(voxels.grow(mask, ["k"], 3.0, (1.0, 1.5, 3.0))) == {tuple(a + b for a, b in zip(v, d)) for v in spots for d in reach}
+    small = [v for v in reach if (v[0] * 1.0) ** 2 + (v[1] * 1.5) ** 2 + (v[2] * 3.0) ** 2 <= 2.25]
+    assert rows(voxels.shrink(mask, ["k"], 1.5, (1.0, 1.5, 3.0))) == {v for v in spots if all(tuple(a + b for a, b in zip(v, d)) in spots for d in small)}
+
+
 def test_fixation_pipeline(spark):
-    body = [(1, x, y, z, 100) for x in range(4, 8) for y in range(2, 6) for z in range(2, 5)]
-    gear = [(1, x, 9, z, 1900) for x in range(3, 10) for z in range(2, 5)]  # a plate below the body
-    dust = [(1, 14, 0, 0, 1900), (1, 5, 0, 3, 1900)]  # too small, and above the body
-    couch = [(1, x, 14, 3, 1900) for x in range(16)]
-    hu = spark.createDataFrame(body + gear + dust + couch, "k int, x int, y int, z int, raw int")
-    only = lambda rows: spark.createDataFrame([r[:4] for r in rows], "k int, x int, y int, z int")
-    run = lambda **more: {tuple(r)[1:] for r in voxels.fixation(hu, only(body), only(couch), ["k"], (16, 16, 8), ONE, coarse=1950, refined=1850, body_margin=1.0, **more).select("k", "x", "y", "z").collect()}
-    want = {r[1:4] for r in body + gear}
+    body = {(x, y, z) for x in range(4, 8) for y in range(2, 6) for z in range(2, 5)}
+    stray = {(14, 1, 2)}  # drawn as body, but not part of its largest component
+    ring = {(x, y) for x in range(2, 12) for y in range(9, 13) if x in (2, 11) or y in (9, 12)} - {(6, 12)}
+    gear = {(*v, z) for v in ring for z in (2, 4)}  # the broken outline of a board below the body, missing in slice 3
+    dust, couch = {(14, 0, 0), (5, 0, 3)}, {(x, 14, 3) for x in range(16)}
+    hu = spark.createDataFrame([(1, *v, 100) for v in body] + [(1, *v, 1900) for v in gear | dust | couch], "k int, x int, y int, z int, raw int")
+    only = lambda rows: spark.createDataFrame([(1, *v) for v in rows], "k int, x int, y int, z int")
+    run = lambda **more: {tuple(r) for r in voxels.fixation(hu, only(body | stray), only(couch), ["k"], (16, 16, 8), ONE, coarse=F.lit(1950), refined=F.lit(1850), body_margin=1.0, **more).select("x", "y", "z").collect()}
+    erase = body | couch
+    found = {v for v in _closed((gear | dust | couch) - erase, 12) if 0 <= v[0] < 16 and 0 <= v[1] < 16} - erase
+    found = {v for v in found if 2 <= v[2] <= 4 and v[1] > 5}
+    wide = {(x, y, z + d) for x, y, z in found for d in (-1, 0, 1)}
+    found |= {v for v in wide if all(not 0 <= v[2] + d < 8 or (v[0], v[1], v[2] + d) in wide for d in (-1, 0, 1))}
+    near = {tuple(a + b for a, b in zip(v, d)) for v in body for d in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, d)) <= 1}
+    want = body | (found - near)
+    assert (6, 10, 2) in want and (5, 10, 3) in want
     assert run() == want and run(keep_bulge=True) == want
 
 
