@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isoplane.checkpoints import fresh_path
 
-from . import ann, decontaminate, langid, licences, mixing, resample, secret_scan, simhash, surrogates, toxicity, warc
+from . import ann, decontaminate, langid, licences, mixing, pigeonhole, resample, secret_scan, simhash, surrogates, toxicity, warc
 from .common import held_out, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op11_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.components(spread(table(spark, sf_dir, "embeddings")), 0.93)
+
+
 def op12_tournament_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxic_crf": op8_toxic_crf,
     "op9_template_decontam": op9_template_decontam,
     "op10_bitsliced_simhash": op10_bitsliced_simhash,
+    "op11_pigeonhole_join": op11_pigeonhole_join,
     "op12_tournament_resample": op12_tournament_resample,
 }
 
@@ -101,5 +106,6 @@ ORACLES: dict[str, str] = {
     "op4_warc_dictionary": OP4_SQL,
     "op6_hierarchical_mix": mixing.oracle(),
     "op9_template_decontam": decontaminate.oracle(),
+    "op11_pigeonhole_join": pigeonhole.oracle(),
     "op12_tournament_resample": resample.oracle(),
 }
