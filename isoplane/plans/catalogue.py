@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isoplane.functions import text as T
 from isoplane.operators import comparison, links, matching, planning, rules, search, voxels
 from isoplane.sources import exports, volumes
-from isoplane.sources.views import view, view_sql
+from isoplane.sources.views import handles, view, view_sql
 
 SPACING = (1.0, 1.5, 3.0)
 SHAPE = (16, 16, 8)
@@ -245,14 +245,13 @@ SELECT {columns}, dice, jaccard, hausdorff_mm, hd95_mm, assd_mm, volume_gt_cc, v
 _CAP = 150
 
 
+def comparison_sql(columns: str) -> str:
+    """SQL of the measured comparison of all automatic structures."""
+    return _compare_sql(_PAIRS, columns)
+
+
 def _compared(spark, sf_dir, rows):
-    own = matching.gather(view(spark, sf_dir, "structure"))
-    nx, seq = F.col("nx"), F.col("seq")
-    low = {"x": seq % 3, "y": seq % 2, "z": F.lit(0)}
-    high = {"x": seq % 3 + 1 + nx % 3, "y": seq % 2 + 1 + nx % 2, "z": nx % 3}
-    bounds = [F.when(nx % 11 != 0, e[c]).alias(f"{c}{k}") for c in "xyz" for k, e in ((0, low), (1, high))]
-    structures = own.select("patient_id", "set_id", "structure_id", seq.alias("handle"), "frame", (nx % 13 != 0).alias("has_image"), (nx % 7 != 0).alias("has_segment"), *bounds)
-    return comparison.compare(rows, structures, view(spark, sf_dir, "structure_mask"), SPACING, SHAPE, _CAP)
+    return comparison.compare(rows, handles(spark, sf_dir), view(spark, sf_dir, "structure_mask"), SPACING, SHAPE, _CAP)
 
 
 @query(_compare_sql(_PAIRS, "patient_id, group_no, match_key, gt_set, gt_structure, ai_set, ai_structure"))
@@ -487,7 +486,8 @@ def _expanded(words: list[str], digit: bool) -> str:
     return "(" + "|".join(found) + ")"
 
 
-def _side_sql(text: str, digit: bool) -> str:
+def side_sql(text: str, digit: bool = False) -> str:
+    """SQL of the side that a text names."""
     left, right = (f"regexp_matches({text}, '{_expanded(w, digit)}')" for w in (T.LEFT_WORDS, T.RIGHT_WORDS))
     return f"CASE WHEN {left} AND {right} THEN 'AMBIGUOUS' WHEN {left} THEN 'LEFT' WHEN {right} THEN 'RIGHT' ELSE 'NONE' END"
 
@@ -500,7 +500,7 @@ def _labels(spark, sf_dir):
     return plan.select(F.col("plan_id").alias("label")).unionByName(plan.select(F.coalesce("site", F.lit("")).alias("label"))).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(_LABELS + f" SELECT label, n, {_side_sql('label', False)} AS side FROM (SELECT label, count(*) AS n FROM labels GROUP BY label)")
+@query(_LABELS + f" SELECT label, n, {side_sql('label', False)} AS side FROM (SELECT label, count(*) AS n FROM labels GROUP BY label)")
 def laterality_a(spark, sf_dir):
     return _labels(spark, sf_dir).select("label", "n", T.laterality("label").alias("side"))
 
@@ -511,7 +511,7 @@ _STRIPPED = f"regexp_replace({_STRIPPED}, '^(?i:br)([0-9])', ' \\1')"
 _BREAST = "(regexp_matches(label, '(?i)(breast|bryst|mamma)') OR regexp_matches(label, '(^|[ _-])(?i:br|mam)($|[ _-]|[0-9])'))"
 
 
-@query(_LABELS + f" SELECT label, n, {_side_sql('x', True)} AS side, breast FROM (SELECT label, count(*) AS n, {_STRIPPED} AS x, {_BREAST} AS breast FROM labels GROUP BY label)")
+@query(_LABELS + f" SELECT label, n, {side_sql('x', True)} AS side, breast FROM (SELECT label, count(*) AS n, {_STRIPPED} AS x, {_BREAST} AS breast FROM labels GROUP BY label)")
 def laterality_b(spark, sf_dir):
     return _labels(spark, sf_dir).select("label", "n", T.site_laterality("label").alias("side"), T.breast_site("label").alias("breast"))
 
@@ -520,7 +520,7 @@ _VERDICT = """CASE WHEN p = 'AMBIGUOUS' OR r = 'AMBIGUOUS' THEN 'WARNING' WHEN p
 
 
 @query(view_sql("plan") + f""" SELECT plan_no, p AS plan_side, r AS rx_side, {_VERDICT} AS verdict
-  FROM (SELECT *, {_side_sql('plan_id', False)} AS p, {_side_sql("coalesce(site, '')", False)} AS r FROM v_plan)""")
+  FROM (SELECT *, {side_sql('plan_id', False)} AS p, {side_sql("coalesce(site, '')", False)} AS r FROM v_plan)""")
 def laterality_verdict(spark, sf_dir):
     found = view(spark, sf_dir, "plan").select("plan_no", T.laterality("plan_id").alias("plan_side"), T.laterality("site").alias("rx_side"))
     return found.withColumn("verdict", rules.side_verdict(F.col("plan_side"), F.col("rx_side")))
@@ -543,8 +543,8 @@ def note_shift(spark, sf_dir):
     return found.select("note_id", *_round("lng", "lat", "vrt"), T.site_laterality("a").alias("annotation"))
 
 
-@query(_SHIFTS + _ANNOTATED + f""", sided AS (SELECT plan_no, orientation, lat, vrt, annotation, {_side_sql(_STRIPPED.replace('label', 'plan_id'), True)} AS p,
-  {_side_sql(_STRIPPED.replace('label', "coalesce(site, '')"), True)} AS r, {_BREAST.replace('label', 'plan_id')} OR {_BREAST.replace('label', "coalesce(site, '')")} AS breast
+@query(_SHIFTS + _ANNOTATED + f""", sided AS (SELECT plan_no, orientation, lat, vrt, annotation, {side_sql(_STRIPPED.replace('label', 'plan_id'), True)} AS p,
+  {side_sql(_STRIPPED.replace('label', "coalesce(site, '')"), True)} AS r, {_BREAST.replace('label', 'plan_id')} OR {_BREAST.replace('label', "coalesce(site, '')")} AS breast
   FROM v_plan JOIN annotated ON note_id = plan_no),
 t AS (SELECT *, CASE WHEN p <> 'NONE' THEN p ELSE r END AS treated, CASE WHEN (lat > 0) = ((contains(orientation, 'Prone')) = (starts_with(orientation, 'FeetFirst'))) THEN 'RIGHT' ELSE 'LEFT' END AS implied FROM sided)
 SELECT plan_no, treated, CASE WHEN treated = 'NONE' THEN 'OK' WHEN treated = 'AMBIGUOUS' OR lat IS NULL OR orientation IS NULL OR contains(orientation, 'Decubitus') OR orientation IN ('Sitting', 'NoOrientation') THEN 'INCONCLUSIVE'

@@ -8,6 +8,9 @@ rows.  ``{part}`` and the like stand for the source tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoplane.operators.matching import gather
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -130,6 +133,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``comparison.compare`` knows of each structure: handle, frame, image, segment and index box, some of them missing."""
+    own = gather(view(spark, sf_dir, "structure"))
+    nx, seq = F.col("nx"), F.col("seq")
+    low = {"x": seq % 3, "y": seq % 2, "z": F.lit(0)}
+    high = {"x": seq % 3 + 1 + nx % 3, "y": seq % 2 + 1 + nx % 2, "z": nx % 3}
+    bounds = [F.when(nx % 11 != 0, e[c]).alias(f"{c}{k}") for c in "xyz" for k, e in ((0, low), (1, high))]
+    return own.select("patient_id", "set_id", "structure_id", seq.alias("handle"), "frame", (nx % 13 != 0).alias("has_image"), (nx % 7 != 0).alias("has_segment"), *bounds)
+
+
 def view_sql(*names: str) -> str:
     """The same views as DuckDB common table expressions ``v_<name>``."""
     tables = {t: t for t in ("part", "orders", "lineitem", "events")}
