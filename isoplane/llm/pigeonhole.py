@@ -40,7 +40,7 @@ from .ann import usable
 from .simhash import deal, sorted_blocks, spanning_forest, whole_blocks
 
 #: Rows of a cell that one task compares, and candidates that it verifies at once.
-CHUNK, PIECE = 2048, 1 << 15
+CHUNK, PIECE = 8192, 1 << 15
 
 
 @dataclass(frozen=True)
