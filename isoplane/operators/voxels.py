@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .distance import nearest
 
 Key = Sequence[str]
 
@@ -69,17 +70,9 @@ def overlap(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> D
 
 
 def directed_distances(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
-    """For each border voxel of a role its exact distance to the other role's border, in mm: ``(key, role, x, y, z, d)``.
-
-    Both borders of a key meet in one join on the key; a border is a surface, capped with the box, so the pairs of a key
-    are bounded.  The minimum is taken on the map side before the shuffle.
-    """
-    sx, sy, sz = spacing
+    """For each border voxel of a role its exact distance to the other role's border, in mm: ``(key, role, x, y, z, d)``."""
     edge = border(mask, [*key, "role"])
-    other = edge.select(*key, F.when(F.col("role") == "GT", "AI").otherwise("GT").alias("role"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    square = ((F.col("x") - F.col("ox")) * sx) ** 2 + ((F.col("y") - F.col("oy")) * sy) ** 2 + ((F.col("z") - F.col("oz")) * sz) ** 2
-    met = edge.join(other, [*key, "role"])
-    return met.groupBy(*key, "role", "x", "y", "z").agg(F.sqrt(F.min(square)).alias("d"))
+    return nearest(edge, key, "role", spacing, lambda role: F.when(role == "GT", "AI").otherwise("GT"))
 
 
 def surface_metrics(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
