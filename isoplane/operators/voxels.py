@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .distance import nearest
+from .labelling import label
 
 Key = Sequence[str]
 
@@ -198,24 +198,9 @@ def keep_below(mask: DataFrame, reference: DataFrame, key: Key, width: int) -> D
     return mask.join(cut, [*slice_, "x"]).where("y > cut").drop("cut")
 
 
-def label_components(mask: DataFrame, key: Key, width: int, height: int, depth: int) -> DataFrame:
-    """26-connected components: ``label`` is the smallest scan index (x fastest) of the component's voxels.
-
-    ``key`` must be one integer column; voxels of different keys never touch.
-    """
-    (one,) = key
-    cells = width * height * depth
-    node = lambda x, y, z: F.col(one).cast("long") * cells + x + width * (y + F.lit(height) * z)
-    half = [(dx, dy, dz) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) > (0, 0, 0)]
-    steps = offsets(half, "dx, dy, dz")
-    spots = mask.select(one, "x", "y", "z")
-    moved = spots.select("*", steps).select(
-        one, node(F.col("x"), F.col("y"), F.col("z")).alias("a"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z")
-    )
-    edges = moved.join(spots, [one, "x", "y", "z"]).select("a", node(F.col("x"), F.col("y"), F.col("z")).alias("b"))
-    roots = connected_components(edges)
-    own = spots.withColumn("node", node(F.col("x"), F.col("y"), F.col("z")))
-    return own.join(roots, "node", "left").select(one, "x", "y", "z", (F.coalesce("root", "node") % cells).alias("label"))
+def label_components(mask: DataFrame, key: Key, width: int, height: int) -> DataFrame:
+    """26-connected components: ``label`` is the smallest scan index (x fastest) of the component's voxels."""
+    return label(mask, list(key), width, height)
 
 
 def drop_small(labelled: DataFrame, key: Key, least: int) -> DataFrame:
@@ -265,7 +250,7 @@ def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column,
     if fill_gaps:
         found = close_z(found, key, FILL_RADIUS_Z, 0, depth - 1).select(*spots)
     if least > 0:
-        found = drop_small(label_components(found, key, width, height, depth), key, least)
+        found = drop_small(label_components(found, key, width, height), key, least)
     return found.select(*spots)
 
 
@@ -280,7 +265,7 @@ def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape:
     """
     width, height, depth = shape
     spots = [*key, "x", "y", "z"]
-    clean = keep_largest(label_components(body, key, width, height, depth), key).select(*spots)
+    clean = keep_largest(label_components(body, key, width, height), key).select(*spots)
     gear = segment(hu, key, shape, refined, union(clean, couch.select(*spots)), clean, fill_gaps=True, negative_slope=negative_slope)
     result = union(clean, subtract(gear, grow(clean, key, body_margin, spacing), key).select(*spots))
     if not keep_bulge:

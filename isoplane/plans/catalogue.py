@@ -362,7 +362,7 @@ n AS (SELECT image, label, count(*) AS size FROM c GROUP BY ALL)"""
 
 
 def _labelled(spark, sf_dir):
-    return voxels.label_components(_hu(spark, sf_dir, 1900), ["image"], *SHAPE)
+    return voxels.label_components(_hu(spark, sf_dir, 1900), ["image"], *SHAPE[:2])
 
 
 @query(_COMPONENTS + f" SELECT {_XYZ}, label FROM c JOIN n USING (image, label) WHERE size >= 3")

@@ -81,7 +81,7 @@ def test_components_match_flood_fill(spark):
                     todo.append(n)
         want |= {v: min(map(index, part)) for v in part}
     mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
-    got = voxels.label_components(mask, ["k"], 9, 8, 7)
+    got = voxels.label_components(mask, ["k"], 9, 8)
     assert {(r.x, r.y, r.z): r.label for r in got.collect()} == want
     sizes = {}
     for label in want.values():
