@@ -576,13 +576,15 @@ def beam_order(spark, sf_dir):
 # --- planning ----------------------------------------------------------------------------------------------------
 
 _SPINE = "[" + ", ".join(f"'{v}'" for v in T.SPINE) + "]"
-_RX_PART = "regexp_extract(trim(coalesce(label, '')), '^(?i)(C|Th|T|L|S)([0-9]{1,2})(?:\\s*-\\s*(?:(C|Th|T|L|S))?([0-9]{1,2}))?', @)"
-_NAMED = "CASE WHEN lower({0}) IN ('t', 'th') THEN 'Th' ELSE upper({0}) END"
-_RX = view_sql("rx") + f""", p1 AS (SELECT *, {_RX_PART.replace('@', '1')} AS r1, {_RX_PART.replace('@', '2')} AS n1, {_RX_PART.replace('@', '3')} AS r2, {_RX_PART.replace('@', '4')} AS n2 FROM v_rx),
-p2 AS (SELECT *, {_NAMED.format('r1')} || n1 AS a, CASE WHEN n2 <> '' THEN {_NAMED.format("(CASE WHEN r2 = '' THEN r1 ELSE r2 END)")} || n2 END AS b FROM p1),
-p3 AS (SELECT *, list_position({_SPINE}, a) AS ia, list_position({_SPINE}, coalesce(b, a)) AS ib FROM p2),
-rx AS (SELECT course, rx_id, a || coalesce('-' || b, '') AS name, list_slice({_SPINE}, least(ia, ib), greatest(ia, ib)) AS tokens FROM p3
-  WHERE ia > 0 AND ib > 0 QUALIFY row_number() OVER (PARTITION BY course, a || coalesce('-' || b, '') ORDER BY rx_id) = 1)"""
+# the spine as a table of (region, number as written, place, token); a label's head and what follows it are read apart
+_LEVELS = "(VALUES " + ", ".join(f"('{v.rstrip('0123456789').upper()}', '{v.lstrip('CThLS')}', {k + 1}, '{v}')" for k, v in enumerate(T.SPINE)) + ")"
+_RX = view_sql("rx") + f""", heads AS (SELECT *, regexp_extract(label, '^\\s*([A-Za-z]+)\\s*([0-9]+)((?s).*)$', ['r', 'n', 'rest']) AS h FROM v_rx WHERE label IS NOT NULL),
+tails AS (SELECT *, regexp_extract(h.rest, '^\\s*-\\s*([A-Za-z]*)\\s*([0-9]+)', ['r', 'n']) AS t FROM heads),
+ends AS (SELECT *, t.n <> '' AND (t.r = '' OR upper(t.r) IN (SELECT r FROM {_LEVELS} v(r, n, k, v))) AS ranged FROM tails),
+found AS (SELECT course, rx_id, CASE WHEN b.v <> a.v THEN a.v || '-' || b.v ELSE a.v END AS name, list_slice({_SPINE}, least(a.k, coalesce(b.k, a.k)), greatest(a.k, coalesce(b.k, a.k))) AS tokens
+  FROM ends e JOIN {_LEVELS} a(r, n, k, v) ON a.r = upper(e.h.r) AND a.n = e.h.n
+  LEFT JOIN {_LEVELS} b(r, n, k, v) ON e.ranged AND b.r = upper(CASE WHEN e.t.r = '' THEN e.h.r ELSE e.t.r END) AND b.n = e.t.n WHERE NOT e.ranged OR b.k IS NOT NULL),
+rx AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY course, name ORDER BY rx_id) = 1)"""
 
 
 @query(_RX + " SELECT course, rx_id, name, array_to_string(tokens, ',') AS tokens, array_to_string(list_transform(tokens, lambda t: 'vertebrae_' || regexp_replace(t, '^Th', 'T')), ',') AS segments FROM rx")

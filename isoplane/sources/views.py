@@ -37,7 +37,7 @@ SPELLINGS = [
 PLAN_IDS = ["Lung_S", "PTV-D", "BreastL", "IMNd", "OARs", "Rectum", "Br", "Br3", "Br_L", "Br R"]
 RX_SITES = ["Cord", "Lung_L", "Breast R", "Lungs", "mamma sin", "L1_S1", None]
 ORIENTATIONS = ["HeadFirstSupine", "HeadFirstProne", "FeetFirstSupine", "FeetFirstProne", "HeadFirstDecubitusLeft", "Sitting", "NoOrientation", None]
-RX_LABELS = ["Th9", "L1-L4", "L1 - L4", "C1-7", "L4-L1", "Th9 8Gy x1", "S2", "Lung", "Th9-8Gy", "L01", "t12-l2", None]
+RX_REGIONS = ["C", "Th", "L", "S", "T", "TH", "l", "Lumbar"]
 STRUCTURE_IDS = ["PTV_Th9", "spinal_cord", "heart", "kidney_left", "kidney_right", "lung_left", "lung_right", "liver"]
 
 _DIGITS = _values([(k,) for k in range(8)], "{0}(v)")
@@ -76,9 +76,15 @@ VIEWS = {
         SELECT CAST(l_orderkey AS BIGINT) % 500 AS plan_no, s.structure_id, CAST(l_quantity AS DOUBLE) * 9 / 50 * CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END AS dose,
           CASE WHEN l_linenumber % 2 = 0 THEN 'cGy' ELSE 'Gy' END AS unit
         FROM {{lineitem}} JOIN {_values(list(enumerate(STRUCTURE_IDS)), 's(k, structure_id)')} ON s.k = l_suppkey % 8""",
+    # labels from every mix of two regions (some of them none), numbers (some past the region's end or padded) and spacing
     "rx": f"""
-        SELECT CAST(o_custkey AS BIGINT) % 100 AS course, CAST(o_orderkey AS BIGINT) AS rx_id, l.label
-        FROM {{orders}} JOIN {_values(list(enumerate(RX_LABELS)), 'l(k, label)')} ON l.k = o_orderkey % 12""",
+        SELECT CAST(o_custkey AS BIGINT) AS course, CAST(o_orderkey AS BIGINT) AS rx_id, CASE o_orderkey % 11
+          WHEN 0 THEN r.w || m WHEN 1 THEN r.w || ' ' || m WHEN 2 THEN r.w || m || '-' || s.w || n WHEN 3 THEN r.w || m || ' - ' || s.w || ' ' || n WHEN 4 THEN r.w || ' ' || m || ' -' || n
+          WHEN 5 THEN r.w || m || '-' || r.w || n || ' 8Gy x1' WHEN 6 THEN ' ' || r.w || m || ' 8Gy' WHEN 7 THEN r.w || m || '-8Gy' WHEN 8 THEN r.w || m || '_' || s.w || n
+          WHEN 9 THEN r.w || m || ' - ' || r.w || m END AS label
+        FROM (SELECT *, CAST(o_custkey % 14 AS VARCHAR(9)) AS m, CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE '' END || CAST(CAST(floor(o_orderkey / 7) AS BIGINT) % 13 AS VARCHAR(9)) AS n FROM {{orders}}) o
+        JOIN {_values(list(enumerate(RX_REGIONS)), 'r(k, w)')} ON r.k = CAST(floor(o_orderkey / 3) AS BIGINT) % 8
+        JOIN {_values(list(enumerate(RX_REGIONS)), 's(k, w)')} ON s.k = CAST(floor(o_orderkey / 5) AS BIGINT) % 8""",
     "plan_id": """
         SELECT CAST(o_custkey AS BIGINT) AS course, CAST(o_orderkey AS BIGINT) AS seq, CASE o_orderkey % 5
           WHEN 0 THEN 'MV' || CAST(o_orderkey % 37 AS VARCHAR(9)) || '_Th9_8' WHEN 1 THEN 'mv' || CAST(o_orderkey % 23 AS VARCHAR(9)) || '_L1_8'
