@@ -7,10 +7,13 @@ the grid.  Dense steps (closing) work on the columns that hold a voxel only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoplane.checkpoints import cut
+
 from .distance import nearest
 from .labelling import label
 
@@ -71,7 +74,7 @@ def overlap(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> D
 
 def directed_distances(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
     """For each border voxel of a role its exact distance to the other role's border, in mm: ``(key, role, x, y, z, d)``."""
-    edge = border(mask, [*key, "role"])
+    edge = cut(border(mask, [*key, "role"]))  # for the boxes, the slices and the queries
     return nearest(edge, key, "role", spacing, lambda role: F.when(role == "GT", "AI").otherwise("GT"))
 
 
@@ -82,6 +85,38 @@ def surface_metrics(mask: DataFrame, key: Key, spacing: tuple[float, float, floa
     return d.groupBy(*key).agg(F.max("d").alias("hausdorff_mm"), F.percentile("d", F.lit(0.95)).alias("hd95_mm"), ((own("GT") + own("AI")) / 2).alias("assd_mm"))
 
 
+@dataclass(frozen=True)
+class Grid:
+    """An image grid: origin in mm, direction cosines of its three axes, spacing in mm, and size in voxels."""
+
+    origin: tuple[float, float, float]
+    directions: tuple[tuple[float, float, float], ...]
+    spacing: tuple[float, float, float]
+    size: tuple[int, int, int]
+
+
+def oriented_box(low: Sequence[Column], extent: Sequence[Column], grid: Grid) -> tuple[dict[str, Column], Column]:
+    """The index box ``x0`` to ``z1`` of a box in mm, and whether there is one: it has bounds and reaches into the image.
+
+    It is that of all eight corners through the direction cosines, so it holds for turned images, clamped to the image.  A
+    place is a sum with one term for each axis of the patient, so the outermost corners take the outermost terms.
+    """
+    sides = {}
+    for axis, name in enumerate("xyz"):
+        ends = [F.lit(0.0), F.lit(0.0)]
+        for c in range(3):
+            terms = [(at - F.lit(grid.origin[c])) * F.lit(grid.directions[axis][c]) for at in (low[c], low[c] + extent[c])]
+            ends = [ends[0] + F.least(*terms), ends[1] + F.greatest(*terms)]
+        sides[f"{name}0"] = F.greatest(F.floor(ends[0] / F.lit(grid.spacing[axis])), F.lit(0)).cast("long")
+        sides[f"{name}1"] = F.least(F.ceil(ends[1] / F.lit(grid.spacing[axis])), F.lit(grid.size[axis] - 1)).cast("long")
+    known = F.lit(True)
+    for c in (*low, *extent):
+        known = known & c.isNotNull()
+    for name in "xyz":
+        known = known & (sides[f"{name}1"] >= sides[f"{name}0"])
+    return sides, F.coalesce(known, F.lit(False))
+
+
 def index_box(corners: DataFrame, key: Key, size: tuple[int, int, int], pad: int = 1) -> DataFrame:
     """The padded index box of the points ``px, py, pz`` (in voxels) of each key, clamped to the image."""
     aggregates = []
@@ -167,10 +202,26 @@ def ball(margin_mm: float, spacing: tuple[float, float, float]) -> list[tuple[in
     return found
 
 
-def close_2d(mask: DataFrame, key: Key, radius: int) -> DataFrame:
-    """Two-dimensional closing of each slice with the elliptical kernel."""
+def close_2d(mask: DataFrame, key: Key, radius: int, width: int, height: int) -> DataFrame:
+    """Two-dimensional closing of each slice with the elliptical kernel, on the image's grid.
+
+    What is outside of the image takes no part: a pixel stays if all of its kernel that lies inside was reached, so gaps at
+    the image's border close as others do.  That is an erosion with everything outside set.
+    """
     kernel = [(dy, 0, max(x for x, y in ellipse(radius) if y == dy)) for dy in range(-radius, radius + 1)]
-    return erode(dilate(runs(mask, key), key, kernel), key, kernel)
+    grown = dilate(runs(mask, key), key, kernel).where(F.col("y").between(0, height - 1) & (F.col("b") >= 0) & (F.col("a") < width))
+    far = width + 2 * radius
+    inner = grown.withColumn("a", F.when(F.col("a") <= 0, -far).otherwise(F.col("a"))).withColumn("b", F.when(F.col("b") >= width - 1, far).otherwise(F.col("b")))
+    # an island that does not reach the border leaves what is beyond it to a run of its own
+    slices = grown.select(*key, "z").distinct()
+    rows = slices.select(*key, "z", F.explode(F.sequence(F.lit(-radius), F.lit(height - 1 + radius))).alias("y"))
+    beyond = F.when((F.col("y") < 0) | (F.col("y") >= height), F.array(F.struct(F.lit(-far).alias("a"), F.lit(far).alias("b")))).otherwise(
+        F.array(F.struct(F.lit(-far).alias("a"), F.lit(-1).alias("b")), F.struct(F.lit(width).alias("a"), F.lit(far).alias("b")))
+    )
+    outside = rows.select(*key, "z", "y", F.inline(beyond))
+    whole = dilate(inner.select(*key, "z", "y", "a", "b").unionByName(outside), key, [(0, 0, 0)])  # runs that meet become one
+    found = erode(whole, key, kernel)
+    return found.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
 
 
 def grow(mask: DataFrame, key: Key, margin_mm: float, spacing: tuple[float, float, float]) -> DataFrame:
@@ -243,8 +294,8 @@ def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column,
     found = threshold(hu, limit, F.lit(False) if negative_slope is None else negative_slope)
     if span is not None:
         found = found.join(span, list(key)).where("z between z0 and z1")
-    found = close_2d(subtract(found.select(*spots), erase, key), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS).select(*spots)
-    found = subtract(found.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)), erase, key).select(*spots)
+    found = close_2d(subtract(found.select(*spots), erase, key), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS, width, height).select(*spots)
+    found = subtract(found, erase, key).select(*spots)
     if below is not None:
         found = keep_below(found, below, key, width).select(*spots)
     if fill_gaps:
@@ -274,33 +325,6 @@ def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape:
     return union(result, segment(hu, key, shape, coarse, clean, least=least, span=span, negative_slope=negative_slope))
 
 
-def fill_polygons(points: DataFrame, key: Key) -> DataFrame:
-    """Pixels of the contours ``(key, contour_no, vertex_no, px, py)``, by the even-odd rule over all of a key's contours.
-
-    Pixels on an edge's crossing with their row, and the vertices themselves, belong to the fill.  Contours of fewer than
-    three vertices have no area and are left out.  Each edge finds its own crossings, so only crossings are shuffled.
-    """
-    contour = [*key, "contour_no"]
-    order = Window.partitionBy(*contour).orderBy("vertex_no")
-    around = Window.partitionBy(*contour)
-    edges = (
-        points.withColumn("n", F.count("*").over(around)).where("n >= 3")
-        .withColumn("first", F.first(F.struct("px", "py")).over(order))
-        .withColumn("next", F.coalesce(F.lead(F.struct("px", "py")).over(order), F.col("first")))
-        .select(*key, F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("next.px").alias("x2"), F.col("next.py").alias("y2"))
-    )
-    # a row is crossed by an edge that starts on or above it and ends below it
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = F.sequence(F.ceil(low).cast("int"), (F.ceil(high) - 1).cast("int"))
-    crossed = edges.where(F.ceil(low) < F.ceil(high)).withColumn("y", F.explode(rows))
-    crossed = crossed.withColumn("cx", F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    spans = crossed.groupBy(*key, "y").agg(F.array_sort(F.collect_list("cx")).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("xs", 2 * i) - 1e-9).alias("a"), F.floor(F.get("xs", 2 * i + 1) + 1e-9).alias("b")))
-    filled = spans.select(*key, "y", F.explode(F.filter(pairs, lambda p: p["a"] <= p["b"])).alias("p")).select(*key, F.explode(F.sequence(F.col("p.a").cast("int"), F.col("p.b").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"))
-    corners = edges.select(*key, F.bround("x1", 0).cast("int").alias("x"), F.bround("y1", 0).cast("int").alias("y"))
-    return union(filled, corners)
-
-
 def outline(mask: DataFrame, key: Key) -> DataFrame:
     """The outer pixels of each slice: those with a background neighbour among their four."""
     steps = offsets([(1, 0), (-1, 0), (0, 1), (0, -1)], "dx, dy")

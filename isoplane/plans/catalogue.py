@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoplane.functions import text as T
-from isoplane.operators import comparison, links, matching, planning, rules, search, voxels
+from isoplane.operators import comparison, contours, links, matching, planning, rules, search, voxels
 from isoplane.sources import exports, volumes
-from isoplane.sources.views import handles, view, view_sql
+from isoplane.sources.views import GRID, handles, view, view_sql
 
-SPACING = (1.0, 1.5, 3.0)
-SHAPE = (16, 16, 8)
+SPACING, SHAPE = GRID.spacing, GRID.size
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -93,13 +92,6 @@ def auto_match(spark, sf_dir):
     return found.select("patient_id", *_long("group_no"), "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", "note")
 
 
-@query(_PAIRS + """ SELECT patient_id, group_no, '[' || group_no || '] ' || match_key || chr(10) || string_agg(
-  rtrim('   ' || coalesce(gt_structure, '-') || '  vs  ' || ai_structure || '  ' || coalesce(note, '')), chr(10) ORDER BY ai_set, ai_structure) AS report
-  FROM pairs GROUP BY patient_id, group_no, match_key""")
-def match_report(spark, sf_dir):
-    return exports.report(matching.auto_match(view(spark, sf_dir, "structure")), []).select("patient_id", *_long("group_no"), "report")
-
-
 @query(view_sql("structure") + f""" SELECT patient_id, count(DISTINCT CASE WHEN r = 'GroundTruth' THEN set_id END) AS n_sets,
   coalesce(string_agg(DISTINCT CASE WHEN r = 'GroundTruth' THEN set_id END, ', ' ORDER BY CASE WHEN r = 'GroundTruth' THEN set_id END), '') AS sets,
   CASE count(DISTINCT CASE WHEN r = 'GroundTruth' THEN set_id END) WHEN 0 THEN 'none' WHEN 1 THEN '' ELSE 'several' END AS warning
@@ -177,16 +169,30 @@ def overlap_noise(spark, sf_dir):
     return found.select("pair_id", *_long("cg", "ca"), *_round("dice", "jaccard", "volume_gt_cc", "volume_ai_cc", "volume_diff_cc", "com_diff_mm"), "note")
 
 
-@query(view_sql("contour") + """, e AS (SELECT pair_id, px AS x1, py AS y1, lead(px, 1, first_px) OVER w AS x2, lead(py, 1, first_py) OVER w AS y2 FROM (
-    SELECT *, first_value(px) OVER v AS first_px, first_value(py) OVER v AS first_py, count(*) OVER (PARTITION BY pair_id, contour_no) AS n FROM v_contour WINDOW v AS (PARTITION BY pair_id, contour_no ORDER BY vertex_no))
-  WHERE n >= 3 WINDOW w AS (PARTITION BY pair_id, contour_no ORDER BY vertex_no)),
-p AS (SELECT pair_id, x, y FROM (SELECT DISTINCT pair_id FROM e) CROSS JOIN (SELECT unnest(range(0, 18)) AS x) CROSS JOIN (SELECT unnest(range(0, 30)) AS y)),
-h AS (SELECT p.*, count(*) FILTER (c > p.x + 1e-9) AS beyond, count(*) FILTER (abs(c - p.x) <= 1e-9) AS touch FROM (
-    SELECT *, x1 + (y - y1) * (x2 - x1) / (y2 - y1) AS c FROM p JOIN e USING (pair_id) WHERE least(y1, y2) <= y AND y < greatest(y1, y2)) p GROUP BY ALL)
-SELECT DISTINCT pair_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT pair_id, x, y FROM (SELECT pair_id, x, y, max(beyond) AS beyond, max(touch) AS touch FROM h GROUP BY ALL) WHERE beyond % 2 = 1 OR touch > 0
-  UNION ALL SELECT pair_id, CAST(x1 AS BIGINT), CAST(y1 AS BIGINT) FROM e)""".replace("SELECT p.*, count(*)", "SELECT pair_id, x, y, count(*)").replace("c > p.x", "c > x").replace("c - p.x", "c - x"))
+def _fill_sql(source: str, key: str) -> str:
+    """Tables up to ``filled``: the pixels of the contours in ``source``, rows sampled half a pixel below their own line."""
+    near = lambda x: f"CAST(floor(({x} + 32768) / 65536.0) AS BIGINT)"
+    return f"""corner AS (SELECT {key}, contour_no, vertex_no, CAST(round_even(px, 0) AS BIGINT) AS x, CAST(round_even(py, 0) AS BIGINT) AS y, count(*) OVER (PARTITION BY {key}, contour_no) AS n FROM {source}),
+edge2 AS (SELECT {key}, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM corner WHERE n >= 3 WINDOW w AS (PARTITION BY {key}, contour_no ORDER BY vertex_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+east AS (SELECT {key}, least(x1, x2) AS x, CASE WHEN x1 <= x2 THEN y1 ELSE y2 END AS y, abs(x2 - x1) AS dx, CASE WHEN x1 <= x2 THEN y2 - y1 ELSE y1 - y2 END AS rise FROM edge2),
+drawn AS (SELECT {key}, CASE WHEN dx >= abs(rise) THEN x + k ELSE x + CAST(ceil(k * dx / CAST(abs(rise) AS DOUBLE) - 0.5) AS BIGINT) END AS x,
+  CASE WHEN dx < abs(rise) THEN y + k * sign(rise) WHEN dx = 0 THEN y ELSE y + sign(rise) * CAST(ceil(k * abs(rise) / CAST(dx AS DOUBLE) - 0.5) AS BIGINT) END AS y FROM (SELECT *, unnest(range(greatest(dx, abs(rise)) + 1)) AS k FROM east)),
+line AS (SELECT unnest(range(-5, 60)) AS y), sloped AS (SELECT {key}, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS xa, least(y1, y2) AS ya, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS xb, greatest(y1, y2) AS yb FROM edge2 WHERE y1 <> y2),
+crossing AS (SELECT {key}, line.y, xa * 65536 + CAST(trunc((xb - xa) * 65536 / CAST(yb - ya AS DOUBLE)) AS BIGINT) * (line.y - ya) AS x FROM sloped JOIN line ON line.y + 0.5 BETWEEN ya AND yb),
+span AS (SELECT {key}, y, x, lead(x) OVER w AS to_x, row_number() OVER w AS no FROM crossing WINDOW w AS (PARTITION BY {key}, y ORDER BY x)),
+filled AS (SELECT {key}, x, CAST(y AS BIGINT) AS y FROM drawn UNION SELECT {key}, unnest(range({near('x')}, {near('to_x')} + 1)), y FROM span WHERE no % 2 = 1)"""
+
+
+@query(view_sql("contour") + "," + _fill_sql("v_contour", "pair_id") + " SELECT pair_id, CAST(x AS BIGINT) AS x, y FROM filled")
 def polygon_fill(spark, sf_dir):
-    return voxels.fill_polygons(view(spark, sf_dir, "contour"), ["pair_id"]).select("pair_id", *_long("x", "y"))
+    return contours.fill(view(spark, sf_dir, "contour"), ["pair_id"]).select("pair_id", *_long("x", "y"))
+
+
+@query(view_sql("contour", "mask") + ", drawn_on AS (SELECT *, contour_no AS z FROM v_contour)," + _fill_sql("drawn_on", "pair_id, z") + """
+SELECT pair_id, role, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM v_mask m WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.pair_id = m.pair_id AND f.z = m.z AND f.x = m.x AND f.y = m.y)""")
+def polygon_erase(spark, sf_dir):
+    points = view(spark, sf_dir, "contour").withColumn("z", F.col("contour_no").cast("int"))
+    return contours.erase(view(spark, sf_dir, "mask"), points, ["pair_id"]).select("pair_id", "role", *_long("x", "y", "z"))
 
 
 @query(view_sql("mask") + """ SELECT pair_id, role, """ + ", ".join(f"CAST({f}({c}) AS BIGINT) AS {c}{k}" for c in "xyz" for k, f in ((0, "min"), (1, "max"))) + """, count(*) AS voxels,
@@ -204,6 +210,29 @@ def outline(spark, sf_dir):
     return voxels.outline(_hu(spark, sf_dir, 400), ["image"]).select("image", *_long("x", "y", "z"))
 
 
+@query()
+def contours_nested(spark, sf_dir):
+    found = contours.trace(_hu(spark, sf_dir, 400), ["image"], nested=True)
+    return found.select("image", *_long("z", "contour_no", "parent"), "is_hole", F.to_json("vertices").alias("vertices"))
+
+
+@query(view_sql("hu") + f" SELECT {_XYZ} FROM v_hu WHERE raw >= 400")
+def contours_filled(spark, sf_dir):
+    """Contours with their holes, filled again: the mask itself."""
+    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 400), ["image"], nested=True), ["image"])
+    return contours.fill(traced, ["image", "z"], least=1).select("image", *_long("x", "y", "z"))
+
+
+@query(view_sql("hu").replace("WITH", "WITH RECURSIVE", 1) + f""", m AS (SELECT * FROM v_hu WHERE raw >= 1200), slice AS (SELECT DISTINCT image, z FROM m),
+free AS (SELECT image, z, x, y FROM slice CROSS JOIN (SELECT unnest(range(-1, 17)) AS x) CROSS JOIN (SELECT unnest(range(-1, 17)) AS y) ANTI JOIN m USING (image, z, x, y)),
+air AS (SELECT image, z, x, y FROM free WHERE x = -1 AND y = -1 UNION SELECT f.image, f.z, f.x, f.y FROM air a JOIN free f ON f.image = a.image AND f.z = a.z AND abs(f.x - a.x) + abs(f.y - a.y) = 1)
+SELECT {_XYZ} FROM (SELECT image, z, x, y FROM slice CROSS JOIN (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y)) ANTI JOIN air USING (image, z, x, y)""")
+def contours_solid(spark, sf_dir):
+    """Outermost contours, filled: the mask without its holes."""
+    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 1200), ["image"]), ["image"])
+    return contours.fill(traced, ["image", "z"], least=1).select("image", *_long("x", "y", "z"))
+
+
 @query(_BORDER + " SELECT pair_id, role, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM edge")
 def border(spark, sf_dir):
     return voxels.border(view(spark, sf_dir, "mask"), ["pair_id", "role"]).select("pair_id", "role", *_long("x", "y", "z"))
@@ -230,7 +259,7 @@ def _compare_sql(pairs: str, columns: str) -> str:
 hand AS (SELECT patient_id, set_id, structure_id, seq, frame, nx, seq % 3 AS x0, seq % 3 + 1 + nx % 3 AS x1, seq % 2 AS y0, seq % 2 + 1 + nx % 2 AS y1, 0 AS z0, nx % 3 AS z1 FROM gathered),
 why AS (SELECT p.* EXCLUDE (note), g.seq * 1000000000 + a.seq AS pair_id, g.seq AS gs, a.seq AS s2, CASE WHEN p.note IS NOT NULL THEN p.note WHEN g.nx % 13 = 0 THEN 'ground-truth set has no image to rasterize on'
   WHEN g.frame IS NULL OR a.frame IS NULL OR g.frame <> a.frame THEN 'ground truth and AI are in different frames of reference' WHEN g.nx % 7 = 0 OR a.nx % 7 = 0 THEN 'empty structure (no segment)'
-  WHEN g.nx % 11 = 0 OR a.nx % 11 = 0 THEN 'no mesh geometry / bounds unavailable' WHEN {box} > {_CAP} THEN 'structure too large (' || {box} || ' voxels)' END AS note
+  WHEN g.nx % 11 = 0 OR a.nx % 11 = 0 OR g.nx % 17 = 0 OR a.nx % 17 = 0 THEN 'no mesh geometry / bounds unavailable' WHEN {box} > {_CAP} THEN 'structure too large (' || {box} || ' voxels)' END AS note
   FROM pairs p LEFT JOIN hand g ON g.patient_id = p.patient_id AND g.set_id = p.gt_set AND g.structure_id = p.gt_structure
   LEFT JOIN hand a ON a.patient_id = p.patient_id AND a.set_id = p.ai_set AND a.structure_id = p.ai_structure),
 v_mask AS (SELECT DISTINCT pair_id, 'GT' AS role, x, y, z FROM why JOIN v_structure_mask ON handle = gs WHERE note IS NULL
@@ -251,7 +280,7 @@ def comparison_sql(columns: str) -> str:
 
 
 def _compared(spark, sf_dir, rows):
-    return comparison.compare(rows, handles(spark, sf_dir), view(spark, sf_dir, "structure_mask"), SPACING, SHAPE, _CAP)
+    return comparison.compare(rows, handles(spark, sf_dir), view(spark, sf_dir, "structure_mask"), GRID, _CAP)
 
 
 @query(_compare_sql(_PAIRS, "patient_id, group_no, match_key, gt_set, gt_structure, ai_set, ai_structure"))
@@ -260,6 +289,20 @@ def comparison_rows(spark, sf_dir):
     return found.select("patient_id", *_long("group_no"), "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *_round(*comparison.METRICS), "note")
 
 
+_SHOWN = lambda c: f"CASE WHEN {c} IS NULL THEN 'n/a' ELSE regexp_replace(regexp_replace(printf('%.3f', {c}), '0+$', ''), '\\.$', '') END"
+
+
+@query(f"""WITH c AS ({comparison_sql("patient_id, group_no, match_key, gt_set, gt_structure, ai_set, ai_structure")})
+SELECT patient_id, group_no, '[' || group_no || '] ' || match_key || chr(10) || string_agg('     GT ' || CASE WHEN coalesce(gt_structure, '') = '' THEN '(no GT)' ELSE gt_set || ':' || gt_structure END || '   vs   AI ' || ai_set || ':' || ai_structure || chr(10) ||
+  CASE WHEN note IS NULL THEN '        DICE ' || {_SHOWN('dice')} || '  Jaccard ' || {_SHOWN('jaccard')} || '  HD ' || {_SHOWN('hausdorff_mm')} || 'mm  HD95 ' || {_SHOWN('hd95_mm')} || 'mm  ASSD ' || {_SHOWN('assd_mm')} || 'mm' || chr(10) ||
+    '        Vol GT/AI ' || {_SHOWN('volume_gt_cc')} || '/' || {_SHOWN('volume_ai_cc')} || ' cc  (diff ' || {_SHOWN('volume_diff_cc')} || ' cc)  COM diff ' || {_SHOWN('com_diff_mm')} || ' mm'
+  ELSE '        — ' || note END, chr(10) ORDER BY upper(ai_set), ai_set, upper(ai_structure), ai_structure) AS report FROM c GROUP BY patient_id, group_no, match_key""")
+def match_report(spark, sf_dir):
+    rows = matching.auto_match(view(spark, sf_dir, "structure")).drop("gt_empty", "ai_empty")
+    measured = _compared(spark, sf_dir, rows).withColumns({m: F.round(m, 6) for m in comparison.METRICS})
+    return exports.report(measured).select("patient_id", *_long("group_no"), "report")
+
+
 _PICKED = _pair_sql("").replace("SELECT g.patient_id", ", pairs AS (SELECT 'Manual' AS gt_set, 'TotalSegAuto' AS ai_set, NULL AS note, g.patient_id").replace("AS cmp_structure", "AS ai_structure") + ")"
 
 
@@ -282,6 +325,29 @@ def index_box(spark, sf_dir):
     return found.select("pair_id", *_long(*[f"{c}{k}" for c in "xyz" for k in (0, 1)]))
 
 
+#: A grid turned in its plane.
+_TURNED = voxels.Grid((-3.5, 2.25, -10.0), ((0.8, 0.6, 0.0), (-0.6, 0.8, 0.0), (0.0, 0.0, 1.0)), (1.0, 1.5, 3.0), (40, 30, 20))
+_MM = {"lx": "p_size * 1.25 - 20", "ly": "p_partkey % 60 - 15.5", "lz": "p_partkey % 90 - 30", "sx": "p_size % 7 + 0.3", "sy": "p_partkey % 11", "sz": "p_size % 5 * 2.5"}
+
+
+def _turned_sql() -> str:
+    place = lambda d: " + ".join(f"({v} - CAST({o} AS DOUBLE)) * CAST({c} AS DOUBLE)" for v, o, c in zip("XYZ", _TURNED.origin, d))
+    at = ", ".join(f"(CAST(0.0 AS DOUBLE) + {place(d)}) / CAST({s} AS DOUBLE) AS p{n}" for n, d, s in zip("xyz", _TURNED.directions, _TURNED.spacing))
+    sides = ", ".join(f"greatest(0, CAST(floor(min(p{n})) AS BIGINT)) AS {n}0, least({k - 1}, CAST(ceil(max(p{n})) AS BIGINT)) AS {n}1" for n, k in zip("xyz", _TURNED.size))
+    inside = " AND ".join(f"{n}1 >= {n}0" for n in "xyz")
+    return f"""WITH box AS (SELECT p_partkey, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _MM.items())} FROM part),
+c AS (SELECT p_partkey, lx + i * sx AS X, ly + j * sy AS Y, lz + k * sz AS Z FROM box CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) CROSS JOIN (VALUES (0), (1)) d(k)),
+p AS (SELECT p_partkey, {at} FROM c), s AS (SELECT p_partkey, {sides} FROM p GROUP BY p_partkey)
+SELECT CAST(p_partkey AS BIGINT) AS structure, {", ".join(f"CASE WHEN {inside} THEN {n}{k} END AS {n}{k}" for n in "xyz" for k in (0, 1))} FROM s"""
+
+
+@query(_turned_sql())
+def oriented_box(spark, sf_dir):
+    boxes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *[F.expr(e).cast("double").alias(n) for n, e in _MM.items()])
+    sides, inside = voxels.oriented_box([F.col(c) for c in ("lx", "ly", "lz")], [F.col(c) for c in ("sx", "sy", "sz")], _TURNED)
+    return boxes.select(F.col("p_partkey").cast("long").alias("structure"), *[F.when(inside, v).alias(n) for n, v in sides.items()])
+
+
 @query(view_sql("mask") + """ SELECT pair_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z,
   CASE WHEN count(DISTINCT role) = 2 THEN 'both' ELSE max(role) END AS part FROM v_mask GROUP BY pair_id, x, y, z""")
 def mask_set_operations(spark, sf_dir):
@@ -323,11 +389,14 @@ def close_z(spark, sf_dir):
 _KERNEL = "(VALUES " + ", ".join(f"({dx}, {dy})" for dy, half in ((-2, 0), (-1, 2), (0, 2), (1, 2), (2, 0)) for dx in range(-half, half + 1)) + ") k(dx, dy)"
 
 
-@query(view_sql("hu") + f""", m AS (SELECT * FROM v_hu WHERE raw >= 1500), g AS (SELECT DISTINCT image, z, x + dx AS x, y + dy AS y FROM m CROSS JOIN {_KERNEL})
-SELECT {_XYZ} FROM (SELECT c.image, c.z, c.x, c.y FROM (SELECT DISTINCT image, z, x + a AS x, y + b AS y FROM g CROSS JOIN (VALUES (0, 0), (1, 0), (-1, 0), (2, 0), (-2, 0)) t(a, b)) c
-  CROSS JOIN {_KERNEL} JOIN g ON g.image = c.image AND g.z = c.z AND g.x = c.x + dx AND g.y = c.y + dy GROUP BY ALL HAVING count(*) = 17)""")
+_CLOSED = f"""g AS (SELECT DISTINCT image, z, x + dx AS x, y + dy AS y FROM m CROSS JOIN {_KERNEL} WHERE x + dx BETWEEN 0 AND 15 AND y + dy BETWEEN 0 AND 15),
+closed AS (SELECT c.image, c.z, c.x, c.y FROM g c CROSS JOIN {_KERNEL} LEFT JOIN g n ON n.image = c.image AND n.z = c.z AND n.x = c.x + dx AND n.y = c.y + dy
+  WHERE c.x + dx BETWEEN 0 AND 15 AND c.y + dy BETWEEN 0 AND 15 GROUP BY ALL HAVING count(*) = count(n.x))"""
+
+
+@query(view_sql("hu") + f""", m AS (SELECT * FROM v_hu WHERE raw >= 1500), {_CLOSED} SELECT {_XYZ} FROM closed""")
 def close_2d(spark, sf_dir):
-    return voxels.close_2d(_hu(spark, sf_dir, 1500), ["image"], 2).select("image", *_long("x", "y", "z"))
+    return voxels.close_2d(_hu(spark, sf_dir, 1500), ["image"], 2, *SHAPE[:2]).select("image", *_long("x", "y", "z"))
 
 
 @query(view_sql("hu") + f""", s AS (SELECT v FROM (VALUES (-2), (-1), (0), (1), (2)) s(v))

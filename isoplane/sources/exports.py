@@ -52,10 +52,19 @@ def write_link_csv(groups: DataFrame, path: str) -> None:
     write_csv(groups, path, LINK_HEADER, ["group_no", "role", "set_id", "structure_id"], [F.col("group_no"), F.col("member_no")])
 
 
-def report(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """One text per group: a title line and a line for each row, metrics with up to three decimals."""
-    shown = [F.concat(F.lit(f"{m}="), number_text(m, 3, "n/a")) for m in metrics]
-    line = F.concat_ws("  ", F.lit(" "), F.coalesce("gt_structure", F.lit("-")), F.lit("vs"), F.col("ai_structure"), *shown, F.coalesce("note", F.lit("")))
-    found = rows.groupBy("patient_id", "group_no", "match_key").agg(F.array_sort(F.collect_list(F.struct("ai_set", "ai_structure", F.rtrim(line).alias("line")))).alias("rows"))
-    title = F.concat(F.lit("["), F.col("group_no").cast("string"), F.lit("] "), F.col("match_key"))
-    return found.select("patient_id", "group_no", F.array_join(F.concat(F.array(title), F.transform("rows", lambda r: r["line"])), "\n").alias("report"))
+def report(rows: DataFrame) -> DataFrame:
+    """One text for each group of compared rows: a title, and for each row the pair with its metrics or its note.
+
+    Numbers have up to three decimals; rows come in the order of the automatic structure, whatever its case.
+    """
+    shown = lambda m: number_text(m, 3, "n/a")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    truth = F.when(F.coalesce("gt_structure", F.lit("")) == "", "(no GT)").otherwise(join(F.col("gt_set"), ":", F.col("gt_structure")))
+    pair = join("     GT ", truth, "   vs   AI ", F.col("ai_set"), ":", F.col("ai_structure"))
+    agreement = join("        DICE ", shown("dice"), "  Jaccard ", shown("jaccard"), "  HD ", shown("hausdorff_mm"), "mm  HD95 ", shown("hd95_mm"), "mm  ASSD ", shown("assd_mm"), "mm")
+    volumes = join("        Vol GT/AI ", shown("volume_gt_cc"), "/", shown("volume_ai_cc"), " cc  (diff ", shown("volume_diff_cc"), " cc)  COM diff ", shown("com_diff_mm"), " mm")
+    text = F.concat_ws("\n", pair, F.when(F.col("note").isNull(), F.concat_ws("\n", agreement, volumes)).otherwise(join("        — ", F.col("note"))))
+    order = [F.upper("ai_set").alias("a"), F.col("ai_set").alias("b"), F.upper("ai_structure").alias("c"), F.col("ai_structure").alias("d")]
+    found = rows.groupBy("patient_id", "group_no", "match_key").agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("text")))).alias("rows"))
+    title = join("[", F.col("group_no").cast("string"), "] ", F.col("match_key"))
+    return found.select("patient_id", "group_no", F.array_join(F.concat(F.array(title), F.transform("rows", lambda r: r["text"])), "\n").alias("report"))

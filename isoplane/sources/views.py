@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoplane.operators.matching import gather
+from isoplane.operators.voxels import Grid
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -113,7 +114,7 @@ VIEWS = {
         FROM {lineitem}""",
     # a triangle and, inside of or beside it, a rectangle for each part
     "contour": """
-        SELECT CAST(p_partkey AS BIGINT) AS pair_id, c.contour_no, c.vertex_no, CAST(c.px AS DOUBLE) + p_size % 4 AS px, CAST(c.py AS DOUBLE) * (1 + p_size % 3) AS py
+        SELECT CAST(p_partkey AS BIGINT) AS pair_id, c.contour_no, c.vertex_no, CAST(c.px AS DOUBLE) + p_size % 4 + p_partkey % 10 / CAST(10 AS DOUBLE) AS px, CAST(c.py AS DOUBLE) * (1 + p_size % 3) + p_partkey % 4 / CAST(4 AS DOUBLE) AS py
         FROM {part} CROSS JOIN (VALUES (0, 0, 0, 0), (0, 1, 12, 1), (0, 2, 5, 9), (1, 0, 4, 2), (1, 1, 7, 2), (1, 2, 7, 4), (1, 3, 4, 4), (2, 0, 1, 1), (2, 1, 3, 3)) AS c(contour_no, vertex_no, px, py)""",
     "hu": """
         SELECT CAST(l_suppkey AS BIGINT) % 20 AS image, CAST(l_partkey % 16 AS INTEGER) AS x, CAST(l_orderkey % 16 AS INTEGER) AS y,
@@ -139,13 +140,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+#: The grid of the views' images: turned by a right angle, so that no axis is that of the patient.
+GRID = Grid((10.0, -20.0, 5.0), ((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (1.0, 1.5, 3.0), (16, 16, 8))
+
+
 def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What ``comparison.compare`` knows of each structure: handle, frame, image, segment and index box, some of them missing."""
+    """What ``comparison.compare`` knows of each structure: handle, frame, image, segment and the mesh's box in mm.
+
+    Some have no box, and some lie outside of the image.
+    """
     own = gather(view(spark, sf_dir, "structure"))
     nx, seq = F.col("nx"), F.col("seq")
-    low = {"x": seq % 3, "y": seq % 2, "z": F.lit(0)}
-    high = {"x": seq % 3 + 1 + nx % 3, "y": seq % 2 + 1 + nx % 2, "z": nx % 3}
-    bounds = [F.when(nx % 11 != 0, e[c]).alias(f"{c}{k}") for c in "xyz" for k, e in ((0, low), (1, high))]
+    away = F.when(nx % 17 == 0, 1000).otherwise(0)
+    x0, y0 = seq % 3 + 0.25, seq % 2 + 0.25
+    x1, y1 = seq % 3 + 0.75 + nx % 3, seq % 2 + 0.75 + nx % 2
+    box = {"bx": 10 - y1 * 1.5, "by": x0 - 20 + away, "bz": F.lit(5.0), "sx": (y1 - y0) * 1.5, "sy": x1 - x0, "sz": nx % 3 * 3.0}
+    bounds = [F.when(nx % 11 != 0, e).cast("double").alias(c) for c, e in box.items()]
     return own.select("patient_id", "set_id", "structure_id", seq.alias("handle"), "frame", (nx % 13 != 0).alias("has_image"), (nx % 7 != 0).alias("has_segment"), *bounds)
 
 

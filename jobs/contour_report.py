@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoplane.operators import comparison, matching
-from isoplane.sources.views import handles, view
+from isoplane.operators.voxels import Grid
+from isoplane.sources.views import GRID, handles, view
 from jobs.settings import load, log_to_stderr
 
 LOG = logging.getLogger("contour_report")
-DEFAULTS = {"block": 100, "least_dice": 0.7, "most_hd95_mm": 3.0, "cap": 150, "spacing": [1.0, 1.5, 3.0], "size": [16, 16, 8]}
+DEFAULTS = {"block": 100, "least_dice": 0.7, "most_hd95_mm": 3.0, "cap": 150, "origin": list(GRID.origin), "directions": [list(d) for d in GRID.directions], "spacing": list(GRID.spacing), "size": list(GRID.size)}
 
 
 def pairs(structures: DataFrame, known: DataFrame, masks: DataFrame, config: dict) -> DataFrame:
     """The comparison of all matched pairs with their ``status``."""
     rows = matching.auto_match(structures).drop("gt_empty", "ai_empty")
-    found = comparison.compare(rows, known, masks, tuple(config["spacing"]), tuple(config["size"]), config["cap"])
+    grid = Grid(tuple(config["origin"]), tuple(map(tuple, config["directions"])), tuple(config["spacing"]), tuple(config["size"]))
+    found = comparison.compare(rows, known, masks, grid, config["cap"])
     poor = (F.col("dice") < config["least_dice"]) | F.coalesce(F.col("hd95_mm") > config["most_hd95_mm"], F.lit(False))
     return found.withColumn("status", F.when(F.col("note").isNotNull(), "not measured").when(poor, "review").otherwise("measured"))
 

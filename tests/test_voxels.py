@@ -94,8 +94,8 @@ def test_closing_is_extensive_and_idempotent(spark):
     rng = np.random.default_rng(5)
     mask = spark.createDataFrame([(1, *v) for v in np.argwhere(rng.random((12, 12, 2)) < 0.3).tolist()], "k int, x int, y int, z int")
     rows = lambda df: {tuple(r) for r in df.select("x", "y", "z").collect()}
-    once = voxels.close_2d(mask, ["k"], 2)
-    assert rows(mask) <= rows(once) and rows(voxels.close_2d(once, ["k"], 2)) == rows(once)
+    once = voxels.close_2d(mask, ["k"], 2, 12, 12)
+    assert rows(mask) <= rows(once) and rows(voxels.close_2d(once, ["k"], 2, 12, 12)) == rows(once)
     assert rows(voxels.shrink(voxels.grow(mask, ["k"], 2.0, ONE), ["k"], 2.0, ONE)) >= rows(mask)
 
 
@@ -115,20 +115,30 @@ def test_score_and_search(spark):
     assert [(r.best_value, r.n_tried) for r in best] == [(85.0, 12), (30.0, 11)]
 
 
-def _closed(spots, radius):
+def _closed(spots, radius, n=16):
     kernel = voxels.ellipse(radius)
-    grown = {(x + dx, y + dy, z) for x, y, z in spots for dx, dy in kernel}
-    return {(x, y, z) for x, y, z in grown if all((x + dx, y + dy, z) in grown for dx, dy in kernel)}
+    inside = lambda x, y: 0 <= x < n and 0 <= y < n
+    grown = {(x + dx, y + dy, z) for x, y, z in spots for dx, dy in kernel if inside(x + dx, y + dy)}
+    return {(x, y, z) for x, y, z in grown if all((x + dx, y + dy, z) in grown for dx, dy in kernel if inside(x + dx, y + dy))}
 
 
-def test_large_closing_matches_whole_kernel(spark):
-    spots = {tuple(v) for v in np.argwhere(np.random.default_rng(8).random((16, 16, 2)) < 0.1).tolist()}
+@pytest.mark.parametrize("density", [0.1, 0.02])
+def test_large_closing_matches_whole_kernel(spark, density):
+    spots = {tuple(v) for v in np.argwhere(np.random.default_rng(8).random((16, 16, 2)) < density).tolist()}
     mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
     for radius in (0, 1, 5, 12):
-        got = voxels.close_2d(mask, ["k"], radius)
+        got = voxels.close_2d(mask, ["k"], radius, 16, 16)
         assert {(r.x, r.y, r.z) for r in got.collect()} == _closed(spots, radius)
 
 
+def test_gaps_at_the_border_of_the_image_close(spark):
+    """Two pixels at the border, one in the corner: outside takes no part in the erosion."""
+    spots = {(0, 15, 1), (0, 12, 1), (9, 9, 1)}
+    mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
+    got = {(r.x, r.y, r.z) for r in voxels.close_2d(mask, ["k"], 3, 16, 16).collect()}
+    assert got == _closed(spots, 3) and {(0, 13, 1), (0, 14, 1)} <= got
+
+
 def test_margins_match_whole_ball(spark):
     spots = {tuple(v) for v in np.argwhere(np.random.default_rng(9).random((9, 9, 5)) < 0.7).tolist()}
     mask = spark.createDataFrame([(1, *v) for v in spots], "k int, x int, y int, z int")
@@ -159,12 +169,7 @@ def test_fixation_pipeline(spark):
     assert run() == want and run(keep_bulge=True) == want
 
 
-def test_polygons_and_rays(spark):
-    square = [(1, 0, 0, 1.0, 1.0), (1, 0, 1, 4.0, 1.0), (1, 0, 2, 4.0, 3.0), (1, 0, 3, 1.0, 3.0)]
-    line = [(1, 1, 0, 8.0, 8.0), (1, 1, 1, 9.0, 9.0)]
-    points = spark.createDataFrame(square + line, "k int, contour_no int, vertex_no int, px double, py double")
-    got = {(r.x, r.y) for r in voxels.fill_polygons(points, ["k"]).collect()}
-    assert got == {(x, y) for x in range(1, 5) for y in (1, 2)} | {(1, 3), (4, 3)}
+def test_rays(spark):
     mask = spark.createDataFrame([(1, 2, y, 0) for y in (3, 5, 90)], "k int, x int, y int, z int")
     assert [tuple(r) for r in voxels.surface_on_ray(mask, ["k"], 2, 0, 20).collect()] == [(1, 5)]
     assert voxels.surface_on_ray(mask, ["k"], 3, 0, 20).collect() == []
