@@ -54,10 +54,35 @@ def link_groups(nodes: DataFrame, links: DataFrame, ground_truth: str | None = N
     is_truth = F.coalesce(F.col("set_id") == F.lit(ground_truth), F.lit(False))
     inner = Window.partitionBy("patient_id", "root").orderBy((~is_truth).cast("int"), *ordinal("set_id"), *ordinal("structure_id"), "node")
     return numbered.select(
-        "patient_id", "group_no", F.row_number().over(inner).alias("member_no"), F.when(is_truth, "GroundTruth").otherwise("AI").alias("role"), "set_id", "structure_id", "node", "size"
+        "patient_id", "group_no", F.row_number().over(inner).alias("member_no"), F.when(is_truth, "GroundTruth").otherwise("Compare").alias("role"), "set_id", "structure_id", "node", "size"
     )
 
 
+def replay(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links ``(patient_id, a, b, manual)`` and ground truths ``(patient_id, ground_truth)`` that a log of edits leaves.
+
+    ``edits`` has ``(patient_id, seq, op, a, b, set_id)``: *add* links two nodes by hand, *auto* links all equal names,
+    *remove* takes a link away, *clear* all of a patient's, *truth* chooses a set; other ops, and links that are refused (see
+    ``valid_edges``), change nothing.  A link that is there already stays what it was, so its first addition after it last went
+    decides whether it is manual.  That makes the replay a comparison of sequence numbers instead of a loop: a link is there
+    if it was added after its last removal and its patient's last clearing.  ``seq`` is unique in a patient.
+    """
+    own = nodes.select("patient_id", F.col("node").alias("a"))
+    by_hand = edits.where("op = 'add'").select("patient_id", "seq", "a", "b")
+    valid = valid_edges(nodes, by_hand.select("a", "b").distinct())
+    ordered = by_hand.select("patient_id", "seq", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(valid, ["a", "b"], "left_semi").join(own, ["patient_id", "a"], "left_semi")
+    chains = auto_links(nodes).join(own, "a")
+    named = edits.where("op = 'auto'").select("patient_id", "seq").join(chains, "patient_id").select("patient_id", "seq", "a", "b")
+    added = ordered.withColumn("manual", F.lit(True)).unionByName(named.withColumn("manual", F.lit(False)))
+    gone = edits.where("op = 'remove'").groupBy("patient_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("seq").alias("gone"))
+    cleared = edits.where("op = 'clear'").groupBy("patient_id").agg(F.max("seq").alias("cleared"))
+    met = added.join(gone, ["patient_id", "a", "b"], "left").join(cleared, "patient_id", "left")
+    standing = met.where("(gone is null or seq > gone) and (cleared is null or seq > cleared)")
+    kept = standing.groupBy("patient_id", "a", "b").agg(F.min_by("manual", "seq").alias("manual"))
+    truths = edits.where("op = 'truth'").groupBy("patient_id").agg(F.max_by("set_id", "seq").alias("ground_truth"))
+    return kept, truths
+
+
 def link_counts(manual: DataFrame, automatic: DataFrame) -> DataFrame:
     """Numbers of manual and of automatic links; a link that is both counts as manual."""
     every = manual.select("a", "b", F.lit(True).alias("manual")).unionByName(new_links(manual, automatic).select("a", "b", F.lit(False).alias("manual")))

@@ -76,6 +76,36 @@ def coarse_to_fine(plans: DataFrame, cost: Callable[[Column], Column], coarse: t
     return second.select(*plans.columns, F.col("best.value").alias("best_value"), F.col("best.cost").alias("best_cost"), F.size("tried").alias("n_tried"))
 
 
+def table_search(plans: DataFrame, evaluated: DataFrame, coarse: tuple[float, float, float], reach: float, fine: float, limits: tuple[float, float], decimals: int) -> DataFrame:
+    """As ``coarse_to_fine``, with costs looked up among candidates ``(plan_no, value, cost)`` that were evaluated elsewhere.
+
+    Two rounds of joins: the coarse grid, then the fine one about its best less what the first round has tried.  A candidate
+    that is missing, null or NaN counts as infinite; of several costs for a candidate the least counts.  The first tried wins
+    ties; a plan of whose coarse candidates none has a finite cost gets no best, no second round and a null ``best_value``.
+    """
+    low, high, step = coarse
+    scale = 10**decimals
+    key = lambda v: F.round(v * scale).cast("long")
+    known = evaluated.where("cost is not null and not isnan(cost)").groupBy("plan_no", key(F.col("value")).alias("key")).agg(F.min("cost").alias("cost"))
+    infinite = F.lit(float("inf"))
+
+    def looked_up(tried: DataFrame) -> DataFrame:
+        return tried.join(known, ["plan_no", "key"], "left").withColumn("cost", F.coalesce("cost", infinite))
+
+    def least(tried: DataFrame) -> DataFrame:
+        best = F.min_by(F.struct("cost", "key"), F.struct("cost", "place"))
+        return tried.groupBy("plan_no").agg(best.alias("best"), F.count("*").alias("n_tried")).withColumn("best", F.when(F.col("best.cost") < infinite, F.col("best")))
+
+    grid = F.array(*[F.lit(round(low + i * step, decimals)) for i in range(int((high - low) / step + 1e-6) + 1)])
+    first = looked_up(plans.select("plan_no").distinct().select("plan_no", F.posexplode(grid).alias("place", "value")).withColumn("key", key(F.col("value"))).drop("value"))
+    at = F.col("best.key") / scale
+    near = steps(F.greatest(at - reach, F.lit(limits[0])), F.least(at + reach, F.lit(limits[1])), fine, decimals)
+    wanted = least(first).where("best is not null").select("plan_no", F.posexplode(near).alias("place", "value")).withColumn("key", key(F.col("value")))
+    new = wanted.join(first.select("plan_no", "key"), ["plan_no", "key"], "left_anti").select("plan_no", "key", (F.col("place") + 1_000_000).alias("place"))
+    both = least(first.unionByName(looked_up(new)))
+    return both.select("plan_no", (F.col("best.key") / scale).alias("best_value"), F.col("best.cost").alias("best_cost"), "n_tried")
+
+
 def hinge_search(plans: DataFrame, cost: Callable[[Column], Column]) -> DataFrame:
     """Hinge angle: 30 to 130 by 20, then the best +- 20 by 5 within 20 to 160."""
     return coarse_to_fine(plans, cost, (30.0, 140.0, 20.0), 20.0, 5.0, (20.0, 160.0), 1)

@@ -16,6 +16,7 @@ from isoplane.checkpoints import cut
 
 from .distance import nearest
 from .labelling import label
+from .quantile import MOST, quantile
 
 Key = Sequence[str]
 
@@ -78,11 +79,21 @@ def directed_distances(mask: DataFrame, key: Key, spacing: tuple[float, float, f
     return nearest(edge, key, "role", spacing, lambda role: F.when(role == "GT", "AI").otherwise("GT"))
 
 
-def surface_metrics(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
-    """Hausdorff, its 95th percentile over both directed sets together, and the mean of the two mean distances."""
-    d = directed_distances(mask, key, spacing)
-    own = lambda r: F.avg(F.when(F.col("role") == r, F.col("d")))
-    return d.groupBy(*key).agg(F.max("d").alias("hausdorff_mm"), F.percentile("d", F.lit(0.95)).alias("hd95_mm"), ((own("GT") + own("AI")) / 2).alias("assd_mm"))
+def surface_metrics(mask: DataFrame, key: Key, spacing: tuple[float, float, float], most: int | None = None) -> DataFrame:
+    """Hausdorff, its 95th percentile over both directed sets together, and the mean of the two mean distances.
+
+    Equal distances are counted before they are shuffled; keys of more than ``most`` different ones take the quantile that
+    narrows its range first, so no task holds them all.
+    """
+    most = MOST if most is None else most
+    counted = cut(directed_distances(mask, key, spacing).groupBy(*key, "role", "d").agg(F.count("*").alias("n")))
+    largest = counted.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    own = lambda r: F.sum(F.when(F.col("role") == r, F.col("d") * F.col("n"))) / F.sum(F.when(F.col("role") == r, F.col("n")))
+    others = [F.max("d").alias("hausdorff_mm"), ((own("GT") + own("AI")) / 2).alias("assd_mm")]
+    if largest <= most:
+        return counted.groupBy(*key).agg(*others, F.percentile("d", F.lit(0.95), F.col("n")).alias("hd95_mm"))
+    both = counted.groupBy(*key, "d").agg(F.sum("n").alias("n"))
+    return counted.groupBy(*key).agg(*others).join(quantile(both, key, "d", 0.95, most).withColumnRenamed("d", "hd95_mm"), list(key))
 
 
 @dataclass(frozen=True)

@@ -517,13 +517,37 @@ g AS (SELECT n.*, root, count(*) OVER (PARTITION BY root) AS size, set_id = 'Man
   first_value(row(upper(set_id), set_id, upper(structure_id), structure_id)) OVER (PARTITION BY root ORDER BY upper(set_id), set_id, upper(structure_id), structure_id, n.node) AS f FROM v_node n JOIN c USING (node))
 SELECT patient_id, dense_rank() OVER (PARTITION BY patient_id ORDER BY size DESC, f, root) AS group_no,
   row_number() OVER (PARTITION BY root ORDER BY CASE WHEN truth THEN 0 ELSE 1 END, upper(set_id), set_id, upper(structure_id), structure_id, node) AS member_no,
-  CASE WHEN truth THEN 'GroundTruth' ELSE 'AI' END AS role, set_id, structure_id, node, size FROM g""")
+  CASE WHEN truth THEN 'GroundTruth' ELSE 'Compare' END AS role, set_id, structure_id, node, size FROM g""")
 def link_groups(spark, sf_dir):
     nodes, manual, auto = _links(spark, sf_dir)
     found = links.link_groups(nodes, manual.unionByName(auto).distinct(), "Manual")
     return found.select("patient_id", *_long("group_no", "member_no"), "role", "set_id", "structure_id", "node", *_long("size"))
 
 
+# one edit after the other, on the list of a patient's links as it stands
+_REPLAYED = view_sql("node", "link_edit").replace("WITH", "WITH RECURSIVE", 1) + """,
+named AS (SELECT * FROM v_node WHERE lower(trim(structure_id)) <> '' QUALIFY row_number() OVER (PARTITION BY patient_id, lower(trim(structure_id)), set_id ORDER BY node) = 1),
+chained AS (SELECT patient_id, lag(node) OVER (PARTITION BY patient_id, lower(trim(structure_id)) ORDER BY upper(set_id), set_id, node) AS p, node FROM named),
+auto AS (SELECT patient_id, list({'a': least(p, node), 'b': greatest(p, node)}) AS every FROM chained WHERE p IS NOT NULL GROUP BY patient_id),
+edit AS (SELECT e.patient_id, op, e.set_id, least(e.a, e.b) AS a, greatest(e.a, e.b) AS b, coalesce(x.set_id <> y.set_id AND x.patient_id = y.patient_id AND x.patient_id = e.patient_id, false) AS valid,
+    coalesce(every, []) AS every, row_number() OVER (PARTITION BY e.patient_id ORDER BY seq) AS k
+  FROM v_link_edit e LEFT JOIN v_node x ON x.node = e.a LEFT JOIN v_node y ON y.node = e.b LEFT JOIN auto ON auto.patient_id = e.patient_id),
+state AS (SELECT patient_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT, manual BOOLEAN)[]) AS links, CAST(NULL AS VARCHAR) AS truth FROM edit GROUP BY patient_id
+  UNION ALL SELECT s.patient_id, e.k, CASE op
+      WHEN 'add' THEN CASE WHEN NOT valid OR len(list_filter(links, lambda l: l.a = e.a AND l.b = e.b)) > 0 THEN links ELSE list_append(links, {'a': e.a, 'b': e.b, 'manual': true}) END
+      WHEN 'remove' THEN list_filter(links, lambda l: l.a <> e.a OR l.b <> e.b) WHEN 'clear' THEN CAST([] AS STRUCT(a BIGINT, b BIGINT, manual BOOLEAN)[])
+      WHEN 'auto' THEN list_concat(links, list_transform(list_filter(every, lambda n: len(list_filter(links, lambda l: l.a = n.a AND l.b = n.b)) = 0), lambda n: {'a': n.a, 'b': n.b, 'manual': false}))
+      ELSE links END, CASE WHEN op = 'truth' THEN e.set_id ELSE truth END
+  FROM state s JOIN edit e ON e.patient_id = s.patient_id AND e.k = s.k + 1),
+final AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY k DESC) = 1)"""
+
+
+@query(_REPLAYED + " SELECT patient_id, l.a AS a, l.b AS b, l.manual AS manual, truth AS ground_truth FROM (SELECT patient_id, truth, unnest(links) AS l FROM final)")
+def link_edits(spark, sf_dir):
+    kept, truths = links.replay(view(spark, sf_dir, "node"), view(spark, sf_dir, "link_edit"))
+    return kept.join(truths, "patient_id", "left").select("patient_id", "a", "b", "manual", "ground_truth")
+
+
 # --- labels, notes and checks ------------------------------------------------------------------------------------
 
 
@@ -778,6 +802,17 @@ def hinge_search(spark, sf_dir):
     return found.select("plan_no", "best_value", *_round("best_cost"), *_long("n_tried"))
 
 
+@query(view_sql("plan", "candidate") + """, grid AS (SELECT DISTINCT plan_no, 30.0 + 20 * o AS v, o FROM v_plan CROSS JOIN (SELECT unnest(range(6)) AS o)),
+cost AS (SELECT plan_no, value AS v, min(cost) AS cost FROM v_candidate WHERE cost IS NOT NULL GROUP BY ALL), c AS (SELECT plan_no, v, o, coalesce(cost, 'inf'::DOUBLE) AS cost FROM grid LEFT JOIN cost USING (plan_no, v)),
+b AS (SELECT plan_no, v FROM c WHERE cost < 'inf'::DOUBLE QUALIFY row_number() OVER (PARTITION BY plan_no ORDER BY cost, o) = 1),
+f AS (SELECT b.plan_no, s.v, coalesce(cost, 'inf'::DOUBLE) AS cost FROM b JOIN (SELECT 20.0 + 5 * unnest(range(29)) AS v) s ON s.v BETWEEN greatest(20, b.v - 20) AND least(160, b.v + 20) LEFT JOIN cost ON cost.plan_no = b.plan_no AND cost.v = s.v
+  WHERE s.v NOT IN (30, 50, 70, 90, 110, 130)), u AS (SELECT plan_no, v, cost, 0 AS late, o FROM c UNION ALL SELECT plan_no, v, cost, 1, CAST(v AS BIGINT) FROM f)
+SELECT plan_no, CASE WHEN min(cost) < 'inf'::DOUBLE THEN CAST(first(v ORDER BY cost, late, o) AS DOUBLE) END AS best_value, CASE WHEN min(cost) < 'inf'::DOUBLE THEN round(min(cost), 6) END AS best_cost, count(*) AS n_tried FROM u GROUP BY plan_no""")
+def table_search(spark, sf_dir):
+    found = search.table_search(view(spark, sf_dir, "plan").select("plan_no"), view(spark, sf_dir, "candidate"), (30.0, 140.0, 20.0), 20.0, 5.0, (20.0, 160.0), 1)
+    return found.select("plan_no", "best_value", *_round("best_cost"), *_long("n_tried"))
+
+
 @query(_search_sql("[0.5::DOUBLE, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85]", 0.5, 0.85, 0.05, 0.025, 3, "abs(v - (0.45 + (plan_no % 50) * 0.01003))"))
 def pa_search(spark, sf_dir):
     plans = view(spark, sf_dir, "plan").select("plan_no")

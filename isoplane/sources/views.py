@@ -126,6 +126,17 @@ VIEWS = {
         JOIN {_values(list(enumerate(SETS)), 's(k, set_id)')} ON s.k = p_partkey % 4
         JOIN {_values([(o, k, n) for o, row in enumerate(SPELLINGS) for k, n in enumerate(row)], 'n(o, k, structure_id)')}
           ON n.k = s.k AND n.o = CAST(floor(p_partkey / 4) AS BIGINT) % 10""",
+    # a log of edits of each patient's links, among nine of its structures; some are refused or find nothing
+    "link_edit": """
+        SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS patient_id, CAST(p_partkey AS BIGINT) AS seq,
+          CASE WHEN p_size % 10 < 5 THEN 'add' WHEN p_size % 10 < 7 THEN 'remove' WHEN p_size % 10 = 7 THEN 'auto' WHEN p_size % 10 = 8 THEN 'truth' WHEN p_partkey % 3 = 0 THEN 'clear' ELSE 'zoom' END AS op,
+          CAST(p_partkey - p_partkey % 40 + p_partkey % 5 AS BIGINT) AS a, CAST(p_partkey - p_partkey % 40 + CAST(floor(p_size / 3) AS BIGINT) % 9 AS BIGINT) AS b,
+          CASE p_size % 4 WHEN 0 THEN 'Manual' WHEN 1 THEN 'AutoContour1' WHEN 2 THEN 'TotalSegAuto' ELSE 'Replan' END AS set_id
+        FROM {part}""",
+    # candidates of a search that were evaluated, some of them twice
+    "candidate": """
+        SELECT CAST(l_orderkey AS BIGINT) AS plan_no, CAST(30 + 5 * (l_partkey % 27) AS DOUBLE) AS value, CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS cost
+        FROM {lineitem}""",
     # the user's own links, some of them useless (unknown end, same set, to itself)
     "manual_edge": """
         SELECT CAST(p_partkey AS BIGINT) AS a, CAST(p_partkey AS BIGINT) + CASE p_size % 4 WHEN 0 THEN 9 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 11 END AS b

@@ -173,3 +173,11 @@ def test_rays(spark):
     mask = spark.createDataFrame([(1, 2, y, 0) for y in (3, 5, 90)], "k int, x int, y int, z int")
     assert [tuple(r) for r in voxels.surface_on_ray(mask, ["k"], 2, 0, 20).collect()] == [(1, 5)]
     assert voxels.surface_on_ray(mask, ["k"], 3, 0, 20).collect() == []
+
+
+def test_surface_metrics_of_keys_with_many_distances(spark):
+    rng = np.random.default_rng(3)
+    spots = [(k, r, *map(int, v)) for k in range(3) for r in ("GT", "AI") for v in rng.integers(0, 9, (60, 3))]
+    mask = spark.createDataFrame(sorted(set(spots)), "k int, role string, x int, y int, z int")
+    rows = lambda most: sorted(tuple(round(r[c], 9) for c in ("k", "hausdorff_mm", "hd95_mm", "assd_mm")) for r in voxels.surface_metrics(mask, ["k"], (1.0, 1.5, 3.0), most).collect())
+    assert rows(None) == rows(3) and len(rows(None)) == 3
