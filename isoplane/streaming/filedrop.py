@@ -25,6 +25,7 @@ def is_alive(folder: str, timeout_s: float = 10, poll_s: float = 0.25) -> bool:
     try:
         _wait(place / "pong.txt", timeout_s, poll_s)
     except TimeoutError:
+        (place / "ping.txt").unlink(missing_ok=True)  # no stale ping for the next check
         return False
     return True
 
