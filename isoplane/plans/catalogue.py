@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoplane.checkpoints import fresh_path
 from isoplane.functions import text as T
 from isoplane.operators import comparison, contours, links, matching, planning, rules, search, voxels
-from isoplane.sources import exports, volumes
+from isoplane.sources import exports, nifti, volumes
 from isoplane.sources.views import GRID, handles, view, view_sql
 
 SPACING, SHAPE = GRID.spacing, GRID.size
@@ -468,6 +469,18 @@ def nifti_volumes(spark, sf_dir):
     return packed.select("image", F.length("content").cast("long").alias("bytes"), F.sha1("content").alias("digest"))
 
 
+@query(view_sql("hu") + """ SELECT CAST(image AS VARCHAR) AS structure_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z, CAST(round_even(raw * 0.5 - 1000.0, 0) AS BIGINT) AS value
+  FROM v_hu WHERE round_even(raw * 0.5 - 1000.0, 0) <> 0""")
+def nifti_round_trip(spark, sf_dir):
+    """Volumes written by the data source and read back; the mirrored axes are mirrored again."""
+    values = volumes.export_voxels(_hu(spark, sf_dir), F.lit(0.5), F.lit(-1000.0), 16, 16)
+    packed = volumes.encode_volumes(values, "image", SHAPE, (0.0, 0.0, 0.0), ((1, 0, 0), (0, 1, 0), (0, 0, 1)), SPACING)
+    nifti.register(spark)
+    path = fresh_path(spark, "nifti")
+    packed.select(F.col("image").cast("string").alias("name"), "content").write.format("nifti").mode("append").save(path)
+    return spark.read.format("nifti").load(path).select("structure_id", *_long("x", "y", "z", "value"))
+
+
 _ROUND_TRIP_DIRS = ((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import re
 import struct
 from collections.abc import Iterator
 
@@ -107,17 +106,3 @@ def encode_volumes(voxels: DataFrame, key: str, shape: tuple[int, int, int], ori
         return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [encode(grid, matrix, spacing)]})
 
     return voxels.select(key, "x", "y", "z", "value").groupBy(key).applyInPandas(pack, f"{key} {dict(voxels.dtypes)[key]}, content binary")
-
-
-def save(volumes: DataFrame, key: str, folder: str) -> list[str]:
-    """Write ``<key>.nii`` files through Spark's file system of the folder, one volume at a time."""
-    jvm = volumes.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = target.getFileSystem(volumes.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    names = []
-    for row in volumes.toLocalIterator():
-        names.append(re.sub(r"[^\w-]", "_", str(row[key])) + ".nii")
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(target, names[-1]), True)
-        out.write(bytearray(row["content"]))
-        out.close()
-    return names

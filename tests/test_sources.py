@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoplane.operators import matching
-from isoplane.sources import exports, volumes
+from isoplane.sources import exports, nifti, volumes
 from isoplane.streaming import filedrop
 
 
@@ -36,14 +36,40 @@ def test_volume_round_trip(spark, tmp_path):
     rows = [(9, x, y, z, int(grid[z, y, x])) for z in range(2) for y in range(3) for x in range(4)]
     df = spark.createDataFrame(rows, "image long, x int, y int, z int, value int")
     packed = volumes.encode_volumes(df, "image", (4, 3, 2), (1.0, 2.0, 3.0), ((1, 0, 0), (0, 1, 0), (0, 0, 1)), (0.5, 0.5, 2.0))
-    (tmp_path / "out").mkdir()
-    assert volumes.save(packed, "image", str(tmp_path / "out")) == ["9.nii"]
+    nifti.register(spark)
+    packed.withColumnRenamed("image", "name").write.format("nifti").mode("append").save(str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["9.nii"]
     head, back = volumes.decode((tmp_path / "out" / "9.nii").read_bytes())
     assert head["dims"] == (4, 3, 2) and head["spacing"] == (0.5, 0.5, 2.0) and (back == grid).all()
     half = spark.createDataFrame([(0, 0, 0, 5), (1, 0, 0, 7)], "x int, y int, z int, raw int")
     assert sorted((r.x, r.value) for r in volumes.export_voxels(half, F.lit(0.5), F.lit(0.0), 2, 1).collect()) == [(0, 4), (1, 2)]
 
 
+def test_nifti_source(spark, tmp_path):
+    nifti.register(spark)
+    labels = np.zeros((3, 4, 5), "u1")
+    labels[2, 1, 0] = 7
+    (tmp_path / "in" / "deeper").mkdir(parents=True)
+    (tmp_path / "in" / "heart.nii.gz").write_bytes(gzip.compress(label_file(labels)))
+    (tmp_path / "in" / "deeper" / "liver.v2.nii").write_bytes(label_file(labels * 2))
+    read = spark.read.format("nifti").option("taskBytes", 1)
+    got = read.load("file://" + str(tmp_path / "in"))
+    assert got.rdd.getNumPartitions() == 2 and sorted(tuple(r) for r in got.collect()) == [("heart", 4, 2, 2, 7), ("liver", 4, 2, 2, 14)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in volumes.read_labels(spark, str(tmp_path / "in" / "*")).unionByName(volumes.read_labels(spark, str(tmp_path / "in"))).distinct().collect())
+    assert [tuple(r) for r in read.option("flip", "false").option("structures", "liver, spleen").load(str(tmp_path / "in")).collect()] == [("liver", 0, 1, 2, 14)]
+    out = str(tmp_path / "out")
+    volume = lambda *names: spark.createDataFrame([(n, label_file(labels)) for n in names], "name string, content binary").repartition(3)
+    volume("a", "b/c").write.format("nifti").mode("append").save(out)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.nii", "b_c.nii"]
+    with pytest.raises(Exception, match="several volumes"):
+        volume("a", "d").write.format("nifti").mode("append").save(out)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.nii", "b_c.nii"]
+    volume("d").write.format("nifti").mode("overwrite").save(out)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d.nii"] and spark.read.format("nifti").load(out).count() == 1
+    with pytest.raises(ValueError):
+        nifti.mounted("hdfs://store/x")
+
+
 def test_csv_export(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b;x", 0.25, float("nan")), (1, None, 1.0, 2.0)], "g int, k string, d double, e double")
     path = str(tmp_path / "csv")
