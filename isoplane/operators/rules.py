@@ -126,6 +126,20 @@ def beam_table(technique: Column) -> Column:
     return found
 
 
+# The beams of each planning technique; any other technique is a single arc.
+TECHNIQUES = {"VmatDualArc": "DualArc", "ApPaPair": "ApPa"}
+
+
+def plan_beams(technique: Column, hinge: Column) -> Column:
+    """Array of the beams that a technique is built with: a static pair stands about the back at its hinge angle."""
+    angles = pair_angles(hinge)
+    static = F.array(*[F.struct(angles[k].alias("start"), angles[k].alias("stop"), F.lit("NONE").alias("direction"), F.lit(0.0).alias("collimator")) for k in ("first", "second")])
+    table = F.lit("SingleArc")
+    for name, beams in TECHNIQUES.items():
+        table = F.when(technique == name, beams).otherwise(table)
+    return F.when(technique == "StaticPair", static).otherwise(beam_table(table))
+
+
 def reference_point_decision(current: Column, wanted: Column, taken: Column, primary: Column, plan_named: Column, only: Column) -> Column:
     """Which reference point a plan's dose point is named after: already right, refused, or the first candidate there is."""
     return (

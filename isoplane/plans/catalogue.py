@@ -280,13 +280,14 @@ def comparison_sql(columns: str) -> str:
     return _compare_sql(_PAIRS, columns)
 
 
-def _compared(spark, sf_dir, rows):
+def compared(spark, sf_dir, rows):
+    """The measured comparison of the views' structures."""
     return comparison.compare(rows, handles(spark, sf_dir), view(spark, sf_dir, "structure_mask"), GRID, _CAP)
 
 
 @query(_compare_sql(_PAIRS, "patient_id, group_no, match_key, gt_set, gt_structure, ai_set, ai_structure"))
 def comparison_rows(spark, sf_dir):
-    found = _compared(spark, sf_dir, matching.auto_match(view(spark, sf_dir, "structure")).drop("gt_empty", "ai_empty"))
+    found = compared(spark, sf_dir, matching.auto_match(view(spark, sf_dir, "structure")).drop("gt_empty", "ai_empty"))
     return found.select("patient_id", *_long("group_no"), "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *_round(*comparison.METRICS), "note")
 
 
@@ -300,7 +301,7 @@ SELECT patient_id, group_no, '[' || group_no || '] ' || match_key || chr(10) ||
   ELSE '        — ' || note END, chr(10) ORDER BY upper(ai_set), ai_set, upper(ai_structure), ai_structure) AS report FROM c GROUP BY patient_id, group_no, match_key""")
 def match_report(spark, sf_dir):
     rows = matching.auto_match(view(spark, sf_dir, "structure")).drop("gt_empty", "ai_empty")
-    measured = _compared(spark, sf_dir, rows).withColumns({m: F.round(m, 6) for m in comparison.METRICS})
+    measured = compared(spark, sf_dir, rows).withColumns({m: F.round(m, 6) for m in comparison.METRICS})
     return exports.report(measured).select("patient_id", *_long("group_no"), "report")
 
 
@@ -311,7 +312,7 @@ _PICKED = _pair_sql("").replace("SELECT g.patient_id", ", pairs AS (SELECT 'Manu
 def pair_comparison(spark, sf_dir):
     rows = matching.pair_match(view(spark, sf_dir, "structure"), "Manual", "TotalSegAuto").withColumnRenamed("cmp_structure", "ai_structure")
     rows = rows.withColumns({"gt_set": F.lit("Manual"), "ai_set": F.lit("TotalSegAuto"), "note": F.lit(None).cast("string")})
-    return _compared(spark, sf_dir, rows).select("patient_id", "match_key", "gt_structure", "ai_structure", *_round(*comparison.METRICS), "note")
+    return compared(spark, sf_dir, rows).select("patient_id", "match_key", "gt_structure", "ai_structure", *_round(*comparison.METRICS), "note")
 
 
 _BOX = [("x", 9), ("y", 9), ("z", 4)]

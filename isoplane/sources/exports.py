@@ -33,12 +33,16 @@ def write_csv(df: DataFrame, path: str, header: str, columns: list[str], order:
     head.coalesce(1).unionByName(body).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
+LINK_COLUMNS = ["group_no", "role", "set_id", "structure_id"]
 METRIC_COLUMNS = ["dice", "jaccard", "hausdorff_mm", "hd95_mm", "assd_mm", "volume_gt_cc", "volume_ai_cc", "volume_diff_cc", "com_diff_mm", "note"]
 
 
+AUTO_COLUMNS = ["group_no", "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *METRIC_COLUMNS]
+
+
 def write_auto_csv(rows: DataFrame, path: str) -> None:
     """Rows of ``auto_match`` with metrics, 16 columns, in group order."""
-    write_csv(rows, path, AUTO_HEADER, ["group_no", "match_key", "gt_set", "gt_structure", "ai_set", "ai_structure", *METRIC_COLUMNS], [F.col("group_no"), *ordinal("ai_set", "ai_structure")])
+    write_csv(rows, path, AUTO_HEADER, AUTO_COLUMNS, [F.col("group_no"), *ordinal("ai_set", "ai_structure")])
 
 
 def write_pair_csv(rows: DataFrame, path: str, gt_set: str, cmp_set: str) -> None:
@@ -49,7 +53,7 @@ def write_pair_csv(rows: DataFrame, path: str, gt_set: str, cmp_set: str) -> Non
 
 def write_link_csv(groups: DataFrame, path: str) -> None:
     """Rows of ``link_groups``, ground truth first in each group."""
-    write_csv(groups, path, LINK_HEADER, ["group_no", "role", "set_id", "structure_id"], [F.col("group_no"), F.col("member_no")])
+    write_csv(groups, path, LINK_HEADER, LINK_COLUMNS, [F.col("group_no"), F.col("member_no")])
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def outcomes(commands: DataFrame, results: DataFrame, limit_s: float = 1800, del
     (``job, ended, exit_code``), once it is decided.
 
     * *done*, *failed*: the first result, within ``limit_s`` seconds of the first command; an exit code other than 0, or none
-      that could be read, is a failure;
+      that could be read, is a failure (of several at one time the smallest code counts);
     * *timed out*: no result within the limit, as soon as the watermark (``delay`` behind the latest time seen) is past it; a
       result that comes later than that changes nothing;
     * *unknown*: a result without a command within the limit.
@@ -48,8 +48,10 @@ def outcomes(commands: DataFrame, results: DataFrame, limit_s: float = 1800, del
             for row in pdf.sort_values("ms", kind="stable").itertuples():
                 if row.asks:
                     issued = row.ms if issued is None else min(issued, row.ms)
-                elif ended is None or row.ms < ended:
-                    ended, code = row.ms, None if pd.isna(row.exit_code) else int(row.exit_code)
+                    continue
+                other = None if pd.isna(row.exit_code) else int(row.exit_code)
+                if ended is None or (row.ms, other is None, other or 0) < (ended, code is None, code or 0):
+                    ended, code = row.ms, other
         now = state.getCurrentWatermarkMs()
         found = None
         if not closed:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from isoplane.plans import catalogue
+from isoplane.plans import catalogue, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,18 +16,21 @@ def rows_of(df):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events"):
+    for t in ("part", "orders", "lineitem", "events", "supplier", "nation", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+ORACLES, QUERIES = {**catalogue.ORACLES, **records.ORACLES}, {**catalogue.QUERIES, **records.QUERIES}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    got = duck.execute(catalogue.ORACLES[name])
+    got = duck.execute(ORACLES[name])
     columns = [c[0] for c in got.description]
     order = [columns.index(n) for n in sorted(columns)]
     want = sorted(repr(tuple(r[i] for i in order)) for r in got.fetchall())
-    df = catalogue.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df) == want
 
