@@ -448,13 +448,56 @@ def largest_component(spark, sf_dir):
     return found.groupBy("image", "label").agg(F.count("*").alias("n"), F.min("z").cast("long").alias("z0"), F.max("z").cast("long").alias("z1"))
 
 
-@query()
+def _labels_sql(mask: str, name: str) -> str:
+    """Tables up to ``{name}``: the voxels of ``mask`` with their component's label and size, by spreading from each voxel."""
+    return f"""{name}_i AS (SELECT image, x, y, z, x + 16 * (y + 16 * z) AS i FROM {mask}),
+{name}_e AS (SELECT a.image, a.i AS a, b.i AS b FROM {name}_i a JOIN {name}_i b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+{name}_r AS (SELECT image, a, b FROM {name}_e UNION SELECT r.image, r.a, e.b FROM {name}_r r JOIN {name}_e e ON e.image = r.image AND e.a = r.b),
+{name} AS (SELECT i.image, x, y, z, label, count(*) OVER (PARTITION BY i.image, label) AS size FROM {name}_i i JOIN (SELECT image, a, min(b) AS label FROM {name}_r GROUP BY ALL) l ON l.image = i.image AND l.a = i.i)"""
+
+
+def _closing_sql(mask: str, radius: int, name: str) -> str:
+    """Tables up to ``{name}``: the closing of ``mask``, by counting set pixels in each row of the kernel with running sums."""
+    rows = ", ".join(f"({dy}, {max(x for x, y in voxels.ellipse(radius) if y == dy)})" for dy in range(-radius, radius + 1))
+
+    def within(sums: str, out: str, test: str) -> str:
+        count = "coalesce(hi.c, 0) - coalesce(lo.c, 0)"
+        return f"""{out} AS (SELECT p.image, p.z, p.x, p.y FROM {name}_p p CROSS JOIN (VALUES {rows}) k(dy, half)
+  LEFT JOIN {sums} hi ON hi.image = p.image AND hi.z = p.z AND hi.y = p.y + dy AND hi.x = least(15, p.x + half) LEFT JOIN {sums} lo ON lo.image = p.image AND lo.z = p.z AND lo.y = p.y + dy AND lo.x = greatest(0, p.x - half) - 1
+  WHERE p.y + dy BETWEEN 0 AND 15 GROUP BY ALL HAVING {test.replace('@', count)})"""
+
+    sums = lambda of: f"SELECT p.image, p.z, p.x, p.y, sum(CASE WHEN m.x IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.image, p.z, p.y ORDER BY p.x) AS c FROM {name}_p p LEFT JOIN {of} m ON m.image = p.image AND m.z = p.z AND m.x = p.x AND m.y = p.y"
+    return f"""{name}_p AS (SELECT image, z, x, y FROM (SELECT DISTINCT image, z FROM {mask}) CROSS JOIN (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y)),
+{name}_s AS ({sums(mask)}), {within(f"{name}_s", f"{name}_g", "max(@) > 0")},
+{name}_t AS ({sums(f"{name}_g")}), {within(f"{name}_t", name, "bool_and(@ = least(15, p.x + half) - greatest(0, p.x - half) + 1)")}"""
+
+
+_BODY, _COUCH, _COARSE, _REFINED, _LEAST = "x BETWEEN 5 AND 9 AND y BETWEEN 3 AND 6 AND z BETWEEN 2 AND 5", "y >= 14", 1950, 1850, 3
+_FIXATION = view_sql("hu").replace("WITH", "WITH RECURSIVE", 1) + f""", body AS (SELECT image, x, y, z FROM v_hu WHERE {_BODY}), {_labels_sql("body", "parts")},
+clean AS (SELECT image, x, y, z FROM (SELECT *, first_value(label) OVER (PARTITION BY image ORDER BY size DESC, label) AS best FROM parts) WHERE label = best),
+away AS (SELECT image, x, y, z FROM clean UNION SELECT image, x, y, z FROM v_hu WHERE {_COUCH}),
+dense AS (SELECT image, x, y, z FROM v_hu WHERE raw >= {_REFINED} EXCEPT SELECT * FROM away), {_closing_sql("dense", 12, "wide")},
+outside AS (SELECT image, x, y, z FROM wide EXCEPT SELECT * FROM away), low AS (SELECT image, z, x, max(y) AS low FROM clean GROUP BY ALL),
+cut AS (SELECT i.image, i.z, c.x, coalesce(last_value(low IGNORE NULLS) OVER (PARTITION BY i.image, i.z ORDER BY c.x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(low IGNORE NULLS) OVER (PARTITION BY i.image, i.z ORDER BY c.x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS cut
+  FROM (SELECT DISTINCT image, z FROM low) i CROSS JOIN (SELECT unnest(range(16)) AS x) c LEFT JOIN low ON low.image = i.image AND low.z = i.z AND low.x = c.x),
+below AS (SELECT o.image, o.x, o.y, o.z FROM outside o JOIN cut ON cut.image = o.image AND cut.z = o.z AND cut.x = o.x WHERE o.y > cut),
+spread AS (SELECT DISTINCT image, x, y, z + d AS z FROM below CROSS JOIN (VALUES (-1), (0), (1)) v(d) WHERE z + d BETWEEN 0 AND 7),
+joined AS (SELECT s.image, s.x, s.y, s.z FROM spread s WHERE (SELECT count(*) FROM spread n WHERE n.image = s.image AND n.x = s.x AND n.y = s.y AND abs(n.z - s.z) <= 1) = 1 + CASE WHEN s.z > 0 THEN 1 ELSE 0 END + CASE WHEN s.z < 7 THEN 1 ELSE 0 END),
+gear AS (SELECT * FROM joined j WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.image = j.image AND ((j.x - c.x) * {_SX}) ** 2 + ((j.y - c.y) * {_SY}) ** 2 + ((j.z - c.z) * {_SZ}) ** 2 <= 1.5 * 1.5 + 1e-9)),
+reach AS (SELECT image, min(z) - 2 AS z0, max(z) + 2 AS z1 FROM clean GROUP BY image),
+hard AS (SELECT h.image, x, y, z FROM v_hu h JOIN reach r ON r.image = h.image WHERE raw >= {_COARSE} AND z BETWEEN z0 AND z1 EXCEPT SELECT * FROM clean), {_closing_sql("hard", 2, "narrow")},
+bulge AS (SELECT image, x, y, z FROM narrow EXCEPT SELECT * FROM clean), {_labels_sql("bulge", "lumps")}"""
+
+
+@query(_FIXATION + f" SELECT {_XYZ} FROM (SELECT * FROM clean UNION SELECT * FROM gear UNION SELECT image, x, y, z FROM lumps WHERE size >= {_LEAST})")
 def fixation(spark, sf_dir):
+    """Both passes kept, so that the coarse one shows in the result."""
     hu = _hu(spark, sf_dir)
-    body = hu.where("x between 5 and 9 and y between 3 and 6 and z between 2 and 5")
-    couch = hu.where("y >= 14")
-    found = voxels.fixation(hu, body, couch, ["image"], SHAPE, SPACING, coarse=F.lit(1950), refined=F.lit(1850), body_margin=1.5)
-    return found.groupBy("image").agg(F.count("*").alias("voxels"), *[f(c).cast("long").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
+    found = voxels.fixation(
+        hu, hu.where(_BODY), hu.where(_COUCH), ["image"], SHAPE, SPACING, coarse=F.lit(_COARSE), refined=F.lit(_REFINED), least=_LEAST, z_reach=2, body_margin=1.5, keep_bulge=True
+    )
+    return found.select("image", *_long("x", "y", "z"))
 
 
 @query(view_sql("hu") + """ SELECT image, CAST(15 - x AS BIGINT) AS x, CAST(15 - y AS BIGINT) AS y, CAST(z AS BIGINT) AS z,

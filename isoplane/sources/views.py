@@ -117,7 +117,7 @@ VIEWS = {
         SELECT CAST(p_partkey AS BIGINT) AS pair_id, c.contour_no, c.vertex_no, CAST(c.px AS DOUBLE) + p_size % 4 + p_partkey % 10 / CAST(10 AS DOUBLE) AS px, CAST(c.py AS DOUBLE) * (1 + p_size % 3) + p_partkey % 4 / CAST(4 AS DOUBLE) AS py
         FROM {part} CROSS JOIN (VALUES (0, 0, 0, 0), (0, 1, 12, 1), (0, 2, 5, 9), (1, 0, 4, 2), (1, 1, 7, 2), (1, 2, 7, 4), (1, 3, 4, 4), (2, 0, 1, 1), (2, 1, 3, 3)) AS c(contour_no, vertex_no, px, py)""",
     "hu": """
-        SELECT CAST(l_suppkey AS BIGINT) % 20 AS image, CAST(l_partkey % 16 AS INTEGER) AS x, CAST(l_orderkey % 16 AS INTEGER) AS y,
+        SELECT CAST(l_suppkey AS BIGINT) AS image, CAST(l_partkey % 16 AS INTEGER) AS x, CAST(l_orderkey % 16 AS INTEGER) AS y,
           CAST(CAST(l_quantity AS BIGINT) % 8 AS INTEGER) AS z, CAST(max(CAST(floor(l_extendedprice) AS BIGINT) % 2000) AS INTEGER) AS raw
         FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     "node": f"""
