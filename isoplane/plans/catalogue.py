@@ -608,37 +608,25 @@ def link_edits(spark, sf_dir):
 # --- labels, notes and checks ------------------------------------------------------------------------------------
 
 
-def _expanded(words: list[str], digit: bool) -> str:
-    """A pattern without lookaround that finds the same labels: each token with every border that it may have."""
-    found = []
-    for w in words:
-        fold = lambda c: f"[{c.lower()}{c.upper()}]" if c.upper() != c.lower() else c
-        for lead in ("(?:^|[ _-])", "[a-z0-9]", "[A-Z]"):
-            for trail in ("(?:$|[ _-])", "[A-Z]", *(["[0-9]"] if digit else [])):
-                parts = [fold(c) for c in w]
-                upper_first = lead == "[a-z0-9]"
-                lower_first = lead == "[A-Z]"
-                if upper_first:
-                    parts[0] = w[0].upper()
-                if lower_first:
-                    parts[0] = w[0].lower()
-                if trail == "[A-Z]":
-                    if len(w) == 1 and upper_first:
-                        continue
-                    parts[-1] = w[-1].lower()
-                if trail == "[0-9]" and len(w) == 1:
-                    # two letters before the digit: the token itself and the one before it
-                    if lead == "(?:^|[ _-])":
-                        continue
-                    found.append(("[a-z]" if upper_first else lead) + parts[0] + trail)
-                    continue
-                found.append(lead + "".join(parts) + trail)
-    return "(" + "|".join(found) + ")"
+def _marked(text: str, digit: bool = False) -> str:
+    """SQL of a label with ``<`` where a side word may start and ``>`` where one may end, in place of looking around."""
+    if digit:
+        text = f"regexp_replace({text}, '([A-Za-z][A-Za-z])([0-9])', '\\1>\\2', 'g')"
+    text = f"regexp_replace({text}, '([a-z0-9])(>?[A-Z])', '\\1><\\2', 'g')"
+    text = f"regexp_replace({text}, '([A-Z])([a-z])', '\\1<\\2', 'g')"
+    return f"('<' || regexp_replace({text}, '([ _-])', '>\\1<', 'g') || '>')"
+
+
+def _words(words: list[str]) -> str:
+    """A pattern of any of the words in a marked label, in any case, whatever marks lie inside."""
+    fold = lambda c: f"[{c.lower()}{c.upper()}]" if c.upper() != c.lower() else c
+    return "<>?(" + "|".join("[<>]*".join(map(fold, w)) for w in words) + ")<?>"
 
 
 def side_sql(text: str, digit: bool = False) -> str:
     """SQL of the side that a text names."""
-    left, right = (f"regexp_matches({text}, '{_expanded(w, digit)}')" for w in (T.LEFT_WORDS, T.RIGHT_WORDS))
+    marked = _marked(f"replace(replace({text}, '<', '?'), '>', '?')", digit)
+    left, right = (f"regexp_matches({marked}, '{_words(w)}')" for w in (T.LEFT_WORDS, T.RIGHT_WORDS))
     return f"CASE WHEN {left} AND {right} THEN 'AMBIGUOUS' WHEN {left} THEN 'LEFT' WHEN {right} THEN 'RIGHT' ELSE 'NONE' END"
 
 
@@ -655,10 +643,9 @@ def laterality_a(spark, sf_dir):
     return _labels(spark, sf_dir).select("label", "n", T.laterality("label").alias("side"))
 
 
-# of the labels in the views, only these hold a short breast word at a token border
-_STRIPPED = "regexp_replace(regexp_replace(label, '(?i)(breast|bryst|mamma)', ' ', 'g'), '(^|[ _-])(?i:br)($|[ _-])', '\\1 \\2', 'g')"
-_STRIPPED = f"regexp_replace({_STRIPPED}, '^(?i:br)([0-9])', ' \\1')"
-_BREAST = "(regexp_matches(label, '(?i)(breast|bryst|mamma)') OR regexp_matches(label, '(^|[ _-])(?i:br|mam)($|[ _-]|[0-9])'))"
+_LONG_BREAST = f"(?i)({'|'.join(T.BREAST_WORDS)})"
+_STRIPPED = f"regexp_replace(regexp_replace({_marked(f"regexp_replace(label, '{_LONG_BREAST}', ' ', 'g')", True)}, '{_words(T.BREAST_SHORT)}', ' ', 'g'), '[<>]', '', 'g')"
+_BREAST = f"(regexp_matches(label, '{_LONG_BREAST}') OR regexp_matches({_marked('label', True)}, '{_words(T.BREAST_SHORT)}'))"
 
 
 @query(_LABELS + f" SELECT label, n, {side_sql('x', True)} AS side, breast FROM (SELECT label, count(*) AS n, {_STRIPPED} AS x, {_BREAST} AS breast FROM labels GROUP BY label)")
@@ -683,8 +670,11 @@ def _axis_sql(axis: str) -> str:
 
 
 _SHIFTS = view_sql("note", "plan") + f", shifts AS (SELECT note_id, note, {_axis_sql('lng')} AS lng, {_axis_sql('lat')} AS lat, {_axis_sql('vrt')} AS vrt FROM v_note)"
-# the annotation of the views' notes: the lateral line with the value carries it, else the one before it
-_ANNOTATED = """, annotated AS (SELECT *, CASE WHEN note LIKE '%lateral - 7 cm (dxt)%' THEN 'RIGHT' WHEN note LIKE '%(sin)%' THEN 'LEFT' WHEN note LIKE '%(dxt)%' THEN 'RIGHT' ELSE 'NONE' END AS annotation FROM shifts)"""
+# of the lateral lines up to the first with a number, the last bracket
+_LATERAL = "list_filter(string_split(coalesce(note, ''), chr(10)), lambda t: regexp_matches(t, '^\\s*(?i:" + "|".join(T.AXIS_LABELS["lat"]) + ")\\b'))"
+_ANNOTATED = f""", laterals AS (SELECT *, {_LATERAL} AS lines FROM shifts), valued AS (SELECT *, list_position(list_transform(lines, lambda t: regexp_matches(t, '^\\s*[A-Za-z]+\\b.*?[0-9]')), true) AS at FROM laterals),
+brackets AS (SELECT *, list_filter(lines[1 : coalesce(nullif(at, 0), len(lines))], lambda t: regexp_matches(t, '[(][^)]*[)]')) AS found FROM valued),
+noted AS (SELECT *, coalesce(regexp_extract(found[len(found)], '[(]([^)]*)[)]', 1), '') AS label FROM brackets), annotated AS (SELECT * EXCLUDE (lines, at, found, label), {side_sql(_STRIPPED, True)} AS annotation FROM noted)"""
 
 
 @query(_SHIFTS + _ANNOTATED + " SELECT note_id, round(lng, 6) AS lng, round(lat, 6) AS lat, round(vrt, 6) AS vrt, annotation FROM annotated")

@@ -35,9 +35,14 @@ SPELLINGS = [
     ["PTV_8", "PTV-8", "ptv8", "PTV_D"],
     ["Heart", "heart", "Heart/1", "T11-T12"],
 ]
-PLAN_IDS = ["Lung_S", "PTV-D", "BreastL", "IMNd", "OARs", "Rectum", "Br", "Br3", "Br_L", "Br R"]
-RX_SITES = ["Cord", "Lung_L", "Breast R", "Lungs", "mamma sin", "L1_S1", None]
+# parts of labels, of which the views put three together
+LABEL_PARTS = ["Lung", "PTV", "Breast", "IMN", "OAR", "Rectum", "Br", "br3", "mamma", "Mam2", "Cord", "L1", "x", ""]
+LABEL_MARKS = ["", "_", " ", "-", "8", "Px"]
+LABEL_ENDS = ["L", "R", "s", "D", "left", "Right", "sin", "dxT", "venstre", "HØYRE", "høyre", "Lr", "Leftover", ""]
 ORIENTATIONS = ["HeadFirstSupine", "HeadFirstProne", "FeetFirstSupine", "FeetFirstProne", "HeadFirstDecubitusLeft", "Sitting", "NoOrientation", None]
+NOTE_LABELS = ["Lng", "Lat", "Vrt", "LONG", "lateral", "Vert", "Latx", "  lat"]
+NOTE_GAPS = [": ", " fra dpl ", " - ", ":+", " −", "", " (sin) ", ": (dxt R) "]
+NOTE_TAILS = ["cm", " mm", " MM (sin)", "", " cm (dxt)", "cm (Breast L) then 7", ",5cm", ".25 (none"]
 RX_REGIONS = ["C", "Th", "L", "S", "T", "TH", "l", "Lumbar"]
 STRUCTURE_IDS = ["PTV_Th9", "spinal_cord", "heart", "kidney_left", "kidney_right", "lung_left", "lung_right", "liver"]
 
@@ -52,21 +57,22 @@ VIEWS = {
         JOIN {_values(list(enumerate(SETS)), 's(k, set_id)')} ON s.k = p_partkey % 4
         JOIN {_values([(o, k, n) for o, row in enumerate(SPELLINGS) for k, n in enumerate(row)], 'n(o, k, structure_id)')}
           ON n.k = s.k AND n.o = CAST(floor(p_partkey / 4) AS BIGINT) % 10""",
-    "note": """
-        SELECT CAST(o_orderkey AS BIGINT) AS note_id, CASE o_orderkey % 8
-          WHEN 0 THEN 'Lng: -7cm (cran)' || chr(10) || 'Lat: +' || CAST(o_custkey % 20 AS VARCHAR(9)) || ' cm (dxt)' || chr(10) || 'Vrt fra dpl: 25.1cm'
-          WHEN 1 THEN 'Vrt fra dpl ' || CAST(o_custkey % 40 AS VARCHAR(9)) || ',5cm' || chr(10) || 'Lat: -9cm (sin)'
-          WHEN 2 THEN 'Lat: −9,5 mm' || chr(10) || 'Lat: 3'
-          WHEN 3 THEN 'Latx 4' || chr(10) || '  LONG 12.25 cm then 7' || chr(10) || 'Vert: none'
-          WHEN 4 THEN 'Lat (sin)' || chr(10) || 'lateral - 7 cm (dxt)' || chr(10) || 'Lat: 2 (sin)'
-          WHEN 5 THEN '' WHEN 6 THEN NULL
-          ELSE 'Lon ' || CAST(o_custkey % 9 AS VARCHAR(9)) || 'mm' || chr(10) || 'Vrt -3' || chr(10) || 'Lat 0 cm' END AS note
-        FROM {orders}""",
+    # up to three lines of every mix of label, gap, number and tail
+    "note": f"""
+        SELECT CAST(o_orderkey AS BIGINT) AS note_id, CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN '' ELSE
+          a.t || g.t || CAST(o_custkey % 40 AS VARCHAR(9)) || e.t || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || b.t || h.t || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey % 23 AS VARCHAR(9)) END || f.t END
+          || CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE chr(10) || c.t || e.t || CAST(o_custkey % 9 AS VARCHAR(9)) END END AS note
+        FROM {{orders}}
+        JOIN {_values(list(enumerate(NOTE_LABELS)), 'a(k, t)')} ON a.k = o_orderkey % 8 JOIN {_values(list(enumerate(NOTE_LABELS)), 'b(k, t)')} ON b.k = CAST(floor(o_orderkey / 8) AS BIGINT) % 8
+        JOIN {_values(list(enumerate(NOTE_LABELS)), 'c(k, t)')} ON c.k = CAST(floor(o_orderkey / 64) AS BIGINT) % 8 JOIN {_values(list(enumerate(NOTE_GAPS)), 'g(k, t)')} ON g.k = o_custkey % 8
+        JOIN {_values(list(enumerate(NOTE_GAPS)), 'h(k, t)')} ON h.k = CAST(floor(o_custkey / 8) AS BIGINT) % 8 JOIN {_values(list(enumerate(NOTE_TAILS)), 'e(k, t)')} ON e.k = CAST(floor(o_orderkey / 5) AS BIGINT) % 8
+        JOIN {_values(list(enumerate(NOTE_TAILS)), 'f(k, t)')} ON f.k = CAST(floor(o_orderkey / 11) AS BIGINT) % 8""",
     "plan": f"""
-        SELECT CAST(o_orderkey AS BIGINT) AS plan_no, p.plan_id, r.site, t.orientation FROM {{orders}}
-        JOIN {_values(list(enumerate(PLAN_IDS)), 'p(k, plan_id)')} ON p.k = o_orderkey % 10
-        JOIN {_values(list(enumerate(RX_SITES)), 'r(k, site)')} ON r.k = CAST(floor(o_orderkey / 10) AS BIGINT) % 7
-        JOIN {_values(list(enumerate(ORIENTATIONS)), 't(k, orientation)')} ON t.k = o_custkey % 8""",
+        SELECT CAST(o_orderkey AS BIGINT) AS plan_no, p.t || m.t || e.t AS plan_id, CASE WHEN o_orderkey % 13 > 0 THEN f.t || n.t || q.t END AS site, o.orientation FROM {{orders}}
+        JOIN {_values(list(enumerate(LABEL_PARTS)), 'p(k, t)')} ON p.k = o_orderkey % 14 JOIN {_values(list(enumerate(LABEL_MARKS)), 'm(k, t)')} ON m.k = o_custkey % 6
+        JOIN {_values(list(enumerate(LABEL_ENDS)), 'e(k, t)')} ON e.k = CAST(floor(o_orderkey / 14) AS BIGINT) % 14 JOIN {_values(list(enumerate(LABEL_ENDS)), 'f(k, t)')} ON f.k = CAST(floor(o_custkey / 3) AS BIGINT) % 14
+        JOIN {_values(list(enumerate(LABEL_MARKS)), 'n(k, t)')} ON n.k = CAST(floor(o_orderkey / 3) AS BIGINT) % 6 JOIN {_values(list(enumerate(LABEL_PARTS)), 'q(k, t)')} ON q.k = CAST(floor(o_custkey / 5) AS BIGINT) % 14
+        JOIN {_values(list(enumerate(ORIENTATIONS)), 'o(k, orientation)')} ON o.k = o_custkey % 8""",
     "beam": """
         SELECT CAST(l_orderkey AS BIGINT) AS plan_no, CAST(l_linenumber AS INTEGER) AS pos, l_linenumber % 3 = 1 AS is_setup,
           CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS lat_mm,
