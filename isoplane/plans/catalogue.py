@@ -672,15 +672,16 @@ def _axis_sql(axis: str) -> str:
 _SHIFTS = view_sql("note", "plan") + f", shifts AS (SELECT note_id, note, {_axis_sql('lng')} AS lng, {_axis_sql('lat')} AS lat, {_axis_sql('vrt')} AS vrt FROM v_note)"
 # of the lateral lines up to the first with a number, the last bracket
 _LATERAL = "list_filter(string_split(coalesce(note, ''), chr(10)), lambda t: regexp_matches(t, '^\\s*(?i:" + "|".join(T.AXIS_LABELS["lat"]) + ")\\b'))"
-_ANNOTATED = f""", laterals AS (SELECT *, {_LATERAL} AS lines FROM shifts), valued AS (SELECT *, list_position(list_transform(lines, lambda t: regexp_matches(t, '^\\s*[A-Za-z]+\\b.*?[0-9]')), true) AS at FROM laterals),
-brackets AS (SELECT *, list_filter(lines[1 : coalesce(nullif(at, 0), len(lines))], lambda t: regexp_matches(t, '[(][^)]*[)]')) AS found FROM valued),
-noted AS (SELECT *, coalesce(regexp_extract(found[len(found)], '[(]([^)]*)[)]', 1), '') AS label FROM brackets), annotated AS (SELECT * EXCLUDE (lines, at, found, label), {side_sql(_STRIPPED, True)} AS annotation FROM noted)"""
+_ANNOTATED = f""", laterals AS (SELECT *, {_LATERAL} AS lines FROM shifts), valued AS (SELECT *, list_position(list_transform(lines, lambda t: regexp_matches(t, '^\\s*[A-Za-z]+\\b.*?[0-9]')), true) AS place FROM laterals),
+brackets AS (SELECT *, list_filter(lines[1 : coalesce(nullif(place, 0), len(lines))], lambda t: regexp_matches(t, '[(][^)]*[)]')) AS found FROM valued),
+noted AS (SELECT *, coalesce(regexp_extract(found[len(found)], '[(]([^)]*)[)]', 1), '') AS label FROM brackets), annotated AS (SELECT * EXCLUDE (lines, place, found, label), {side_sql(_STRIPPED, True)} AS annotation FROM noted)"""
 
 
-@query(_SHIFTS + _ANNOTATED + " SELECT note_id, round(lng, 6) AS lng, round(lat, 6) AS lat, round(vrt, 6) AS vrt, annotation FROM annotated")
+@query(_SHIFTS + _ANNOTATED + " SELECT note_id, round(lng, 6) + 0.0 AS lng, round(lat, 6) + 0.0 AS lat, round(vrt, 6) + 0.0 AS vrt, annotation FROM annotated")
 def note_shift(spark, sf_dir):
     found = view(spark, sf_dir, "note").select("note_id", *[T.note_shift("note", a).alias(a) for a in ("lng", "lat", "vrt")], T.note_annotation("note").alias("a"))
-    return found.select("note_id", *_round("lng", "lat", "vrt"), T.site_laterality("a").alias("annotation"))
+    shifts = [(F.round(c, 6) + 0.0).alias(c) for c in ("lng", "lat", "vrt")]  # no minus zero
+    return found.select("note_id", *shifts, T.site_laterality("a").alias("annotation"))
 
 
 @query(_SHIFTS + _ANNOTATED + f""", sided AS (SELECT plan_no, orientation, lat, vrt, annotation, {side_sql(_STRIPPED.replace('label', 'plan_id'), True)} AS p,

@@ -174,8 +174,9 @@ def _hits_sql(words: list[str], mark: str) -> str:
     lower = lambda at: f"regexp_matches(substr(label, {at}, 1), '[a-z]')"
     starts = f"({kind('i - 1')} = ' ' OR ({kind('i - 1')} = 'a' AND {kind('i')} = 'A') OR ({kind('i - 1')} = 'A' AND {lower('i')}))"
     ends = f"({kind('i + n')} = ' ' OR ({kind('i + n - 1')} = 'a' AND {kind('i + n')} = 'A'))"
-    return f"""(SELECT string_agg('{mark}:''' || substr(label, i, n) || '''', ', ' ORDER BY i) FROM (SELECT unnest(range(1, length(label) + 1)) AS i) CROSS JOIN (SELECT unnest({words}) AS w) CROSS JOIN LATERAL (SELECT length(w) AS n)
-      WHERE lower(substr(label, i, n)) = w AND {starts} AND {ends})"""
+    # of several words at a place the first of the list counts
+    return f"""(SELECT string_agg('{mark}:''' || substr(label, i, n) || '''', ', ' ORDER BY i) FROM (SELECT i, length({words}[min(k)]) AS n FROM (SELECT unnest(range(1, length(label) + 1)) AS i) CROSS JOIN (SELECT unnest(range(1, {len(words) + 1})) AS k)
+      CROSS JOIN LATERAL (SELECT length({words}[k]) AS n) WHERE lower(substr(label, i, n)) = {words}[k] AND {starts} AND {ends} GROUP BY i))"""
 
 
 @query(view_sql("plan") + f""", labels AS (SELECT DISTINCT plan_id || ' ' || coalesce(site, '') AS label FROM v_plan)
