@@ -3,8 +3,9 @@
 The squared distance to the nearest voxel of a set is a minimum over z of a minimum over y of a minimum over x.  The first
 two are taken slice by slice (each voxel knows its pair's box of queries, so a slice's plane covers no more than that), the
 last plane by plane along z, where the queries meet the slices' planes of their row y.  That is two shuffles, and a task
-holds the planes of one slice or row, never a whole set: no two voxels meet in a join.  The sums are those of the plain formula in
-the same order, so the result is the same to the last bit.
+holds the planes of one slice or row, never a whole set: no two voxels meet in a join.  Pairs whose box has no more than
+``groups.CELLS`` voxels, which are most, take all three axes in one task, many pairs at a time, after one shuffle.  The sums are those
+of the plain formula in the same order, so the result is the same to the last bit either way.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoplane.checkpoints import cut
+
+from . import groups
 from .groups import map_groups, portions
 
 
-def lower_envelope(squares: np.ndarray, step: float) -> np.ndarray:
-    """The minimum along axis 1 of ``squares`` plus the squared distance in it; wider steps stop when none can be nearer."""
+def lower_envelope(squares: np.ndarray, step: float, axis: int = 1) -> np.ndarray:
+    """The minimum along an axis of ``squares`` plus the squared distance in it; wider steps stop when none can be nearer."""
+    squares = np.moveaxis(squares, axis, 1)
     out = squares.copy()
     for k in range(1, squares.shape[1]):
         far = (k * step) ** 2
@@ -28,7 +33,7 @@ def lower_envelope(squares: np.ndarray, step: float) -> np.ndarray:
             break
         np.minimum(out[:, k:], squares[:, :-k] + far, out=out[:, k:])
         np.minimum(out[:, :-k], squares[:, k:] + far, out=out[:, :-k])
-    return out
+    return np.moveaxis(out, 1, axis)
 
 
 def _nearest_in_rows(group: np.ndarray, y: np.ndarray, x: np.ndarray, first: np.ndarray, width: int, step: float, height: int) -> np.ndarray:
@@ -60,13 +65,51 @@ def nearest(points: DataFrame, key: Sequence[str], role: str, spacing: tuple[flo
 
     ``flip`` gives the other role of a role column.  Points without any counterpart, and rows with a null key, are left out.
     """
-    sx, sy, sz = spacing
     key = list(key)
-    known = points.select(*key, role, "x", "y", "z").dropna()
+    known = points.select(*key, role, *[F.col(c).cast("int").alias(c) for c in "xyz"]).dropna()
+    length = lambda c: F.max(c).cast("double") - F.min(c) + 1
+    large = cut(known.groupBy(*key).agg((length("x") * length("y") * length("z")).alias("_cells")).where(F.col("_cells") > groups.CELLS).select(*key))
+    if large.isEmpty():
+        return _whole(known, key, role, spacing, flip)
+    rest = _whole(known.join(large, key, "left_anti"), key, role, spacing, flip)
+    return rest.unionByName(_by_axes(known.join(large, key, "left_semi"), key, role, spacing, flip))
+
+
+def _group_schema(known: DataFrame, key: list[str], role: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    return ", ".join(f"`{k}` {kinds[k]}" for k in [*key, role])
+
+
+def _whole(known: DataFrame, key: list[str], role: str, spacing: tuple[float, float, float], flip) -> DataFrame:
+    """Distances of pairs with small boxes: a pair's two sets are two dense boxes in one task."""
+
+    def fn(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        ends = np.r_[starts[1:], len(pdf)]
+        side = pdf["_first"].to_numpy().astype(np.int64)
+        at = [pdf[c].to_numpy(np.int64) for c in "zyx"]
+        low = [np.minimum.reduceat(v, starts) for v in at]
+        size = [np.maximum.reduceat(v, starts) - a + 1 for v, a in zip(at, low)]
+        for a, b in portions([np.full(len(starts), 2), *size]):
+            rows = slice(starts[a], ends[b - 1])
+            of = np.repeat(np.arange(b - a), ends[a:b] - starts[a:b])
+            place = tuple(v[rows] - m[a:b][of] for v, m in zip(at, low))
+            dense = np.full((b - a, 2, *(int(n[a:b].max()) for n in size)), np.inf)
+            dense[(of, side[rows], *place)] = 0.0
+            for axis, step in zip((4, 3, 2), spacing):
+                dense = lower_envelope(dense, step, axis)
+            d = dense[(of, 1 - side[rows], *place)]
+            yield pdf.iloc[rows][[*key, role, "x", "y", "z"]].assign(d=np.sqrt(d))[np.isfinite(d)]
+
+    sided = known.withColumn("_first", F.col(role) < flip(F.col(role)))
+    return map_groups(sided, key, fn, _group_schema(known, key, role) + ", x int, y int, z int, d double")
+
+
+def _by_axes(known: DataFrame, key: list[str], role: str, spacing: tuple[float, float, float], flip) -> DataFrame:
+    """Distances of pairs with large boxes, slice by slice and then row by row."""
+    sx, sy, sz = spacing
     box = known.groupBy(*key, role).agg(*[f(c).cast("int").alias(f"q{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))])
     asking = box.withColumn(role, flip(F.col(role)))  # the box of those that ask for this role
-    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
-    group = ", ".join(f"`{k}` {kinds[k]}" for k in [*key, role])
+    group = _group_schema(known, key, role)
 
     def slices(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ends = np.r_[starts[1:], len(pdf)]
@@ -89,8 +132,7 @@ def nearest(points: DataFrame, key: Sequence[str], role: str, spacing: tuple[flo
             yield head.assign(y=row, squares=[line[:n] for line, n in zip(lines, width[a:b][g])])
 
     schema = f"{group}, z int, qx0 int, y int, squares array<double>"
-    typed = known.select(*key, role, *[F.col(c).cast("int").alias(c) for c in "xyz"])
-    planes = map_groups(typed.join(asking, [*key, role]), [*key, role, "z"], slices, schema, ["y", "x"])
+    planes = map_groups(known.join(asking, [*key, role]), [*key, role, "z"], slices, schema, ["y", "x"])
 
     def columns(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ends = np.r_[starts[1:], len(pdf)]
@@ -119,7 +161,7 @@ def nearest(points: DataFrame, key: Sequence[str], role: str, spacing: tuple[flo
             yield pdf.iloc[q][[*key, role, "x", "y", "z"]].assign(x=x[q].astype(np.int64), d=np.sqrt(found))
 
     none = F.lit(None)
-    asked = typed.withColumn(role, flip(F.col(role))).select(*key, role, "z", none.cast("int").alias("qx0"), "y", none.cast("array<double>").alias("squares"), "x", F.lit(True).alias("asks"))
+    asked = known.withColumn(role, flip(F.col(role))).select(*key, role, "z", none.cast("int").alias("qx0"), "y", none.cast("array<double>").alias("squares"), "x", F.lit(True).alias("asks"))
     met = planes.withColumn("x", none.cast("int")).withColumn("asks", F.lit(False)).unionByName(asked)
     found = map_groups(met, [*key, role, "y"], columns, f"{group}, x int, y int, z int, d double")
     return found.withColumn(role, flip(F.col(role)))
