@@ -2,7 +2,7 @@
 
 Iterative plans cut their lineage with ``DataFrame.checkpoint()``, which writes to the folder named by
 ``spark.checkpoint.dir``.  On a cluster that folder is shared by all machines, so a lost executor costs a re-read and
-nothing else.  A session without the setting (a unit test, a laptop) gets a folder of its own.
+nothing else.  A local session without the setting (a unit test, a laptop) gets a folder of its own; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     else:
         active = spark.conf.get("spark.checkpoint.dir", None)
         if not active:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             active = "file://" + tempfile.mkdtemp(prefix="isoplane-checkpoint-")
         spark.sparkContext.setCheckpointDir(active)
     return active.rstrip("/")

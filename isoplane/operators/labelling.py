@@ -39,6 +39,38 @@ def join_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def components_by_key(edges: DataFrame, key: list[str], most: int | None = None) -> DataFrame:
+    """``(key, node, root)`` for the nodes of edges ``(key, a, b)``; ``root`` is the smallest node of the component in its key.
+
+    Nodes are numbers, and of their own in each key.  A key's edges are one task's arrays, many small keys at a time, after one
+    shuffle; keys of more than ``most`` edges go to star contraction.  Edges with a null end or key are left out, as are loops.
+    """
+    most = MOST // 4 if most is None else most
+    known = edges.select(*key, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().where("a <> b")
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", node long, root long"
+    large = cut(known.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key))
+
+    def fn(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        n = len(pdf)
+        group = np.tile(np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n])), 2)
+        ends = np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()])
+        order = np.lexsort((ends, group))
+        g, v = group[order], ends[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+        number = np.empty(2 * n, np.int64)
+        number[order] = np.cumsum(new) - 1
+        root = join_labels(int(new.sum()), number[:n], number[n:])
+        yield pdf.iloc[starts[g[new]]][key].assign(node=v[new], root=v[new][root])
+
+    if large.isEmpty():
+        return map_groups(known, key, fn, schema)
+    node = lambda name: F.struct(*key, F.col(name).alias("node"))
+    stars = connected_components(known.join(large, key, "left_semi").select(node("a").alias("a"), node("b").alias("b")))
+    found = stars.select(*[F.col(f"node.{k}").alias(k) for k in key], F.col("node.node").alias("node"), F.col("root.node").alias("root"))
+    return map_groups(known.join(large, key, "left_anti"), key, fn, schema).unionByName(found)
+
+
 def run_components(group: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For voxels sorted by ``group, z, y, x`` without repeats: each one's run, and the first run of each run's component."""
     y, z = y - y.min(), z - z.min()

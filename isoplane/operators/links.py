@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isoplane.functions.text import link_key
 
-from .components import connected_components
+from .labelling import components_by_key
 from .matching import ordinal
 
 
@@ -45,7 +45,9 @@ def link_groups(nodes: DataFrame, links: DataFrame, ground_truth: str | None = N
     Rows ``(patient_id, group_no, member_no, role, set_id, structure_id, node, size)``; a group's ground-truth member
     comes first, the others in set order.
     """
-    roots = connected_components(links)
+    # links stay within a patient, so its groups are found in one task
+    owned = links.join(nodes.select(F.col("node").alias("a"), "patient_id"), "a")
+    roots = components_by_key(owned, ["patient_id"]).select("node", "root")
     member = nodes.join(roots, "node", "left" if with_single else "inner").withColumn("root", F.coalesce("root", "node"))
     group = Window.partitionBy("patient_id", "root")
     order = group.orderBy(*ordinal("set_id", "structure_id"), "node")

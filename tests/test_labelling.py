@@ -63,3 +63,26 @@ def test_a_long_snake_is_one_component(spark):
         assert [r.label for r in labelling.label(frame, ["k"], 50, 40, most).select("label").distinct().collect()] == [0]
     missing = frame.where("not (x = 25 and y = 20 and z = 30)")
     assert labelling.label(missing, ["k"], 50, 40, 5000).select("label").distinct().count() == 2
+
+
+@pytest.mark.parametrize("most", [None, 15, 0])
+def test_components_by_key(spark, most):
+    rng = random.Random(3)
+    edges = [(k, rng.randrange(25), rng.randrange(25)) for k in range(9) for _ in range(rng.choice([1, 8, 20, 40]))]
+    want = {}
+    for k, a, b in edges:
+        for v in (a, b):
+            if any(x != y and j == k and v in (x, y) for j, x, y in edges):
+                want.setdefault((k, v), v)
+    changed = True
+    while changed:
+        changed = False
+        for k, a, b in edges:
+            if a != b:
+                low = min(want[k, a], want[k, b])
+                changed |= (want[k, a], want[k, b]) != (low, low)
+                want[k, a] = want[k, b] = low
+    frame = spark.createDataFrame([*edges, (None, 1, 2), (3, None, 1)], "k int, a long, b int").repartition(4)
+    got = labelling.components_by_key(frame, ["k"], most).collect()
+    assert sorted((r.k, r.node, r.root) for r in got) == sorted((k, v, r) for (k, v), r in want.items())
+    assert labelling.components_by_key(frame.where("false"), ["k"], most).collect() == []
