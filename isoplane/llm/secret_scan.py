@@ -44,7 +44,7 @@ SECRET_PATH_WORDS = "env config conf settings deploy secrets credentials prod te
 
 _NAMES = "|".join(re.escape(w) for w in sorted(SECRET_WORDS, key=len, reverse=True))
 ASSIGNED = re.compile(rf"(?i)(?:{_NAMES})[\w-]*[\"']?\s{{0,3}}(?:=>|:=|[:=]|\s(?=\S{{16}}))\s{{0,3}}[\"']?([^\s\"'<>(){{}}\[\],;]{{6,}})")
-IN_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'<>]{0,80}:([^\s/@\"'<>]{3,200})@")
+IN_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'<>]*:([^\s/@\"'<>]{3,})@")
 SHAPED = re.compile(
     r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|sk[-_][A-Za-z0-9_-]{20,}"
     r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|glpat-[\w-]{20}|npm_[A-Za-z0-9]{36})"

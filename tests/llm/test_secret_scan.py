@@ -107,3 +107,12 @@ def test_the_scan_against_plain_python(spark, model):
             p = vote(S.features(text[a:b], rule, text[max(0, a - 60) : a], text[b : b + 40], path, words))
             want.append((str(i), a, b - a, rule, round(p, 9), int(p >= 0.5)))
     assert got == sorted(want)
+
+
+def test_users_and_passwords_of_any_length_in_a_url():
+    from isoplane.llm.secret_scan import candidates
+
+    for user, password in (("", "abc"), ("u" * 300, "p4ss" * 200), ("me", "q:" * 5000)):
+        text = f"see ftp://{user}:{password}@host/x and http://plain/a:b"
+        assert [(text[a:b], rule) for a, b, rule in candidates(text)] == [(password, "url")]
+    assert candidates("http://" + "a" * 200_000 + " http://" * 20_000) == []  # and in no more than linear time
