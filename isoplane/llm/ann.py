@@ -9,7 +9,7 @@ the radius falls with probability 0.683: the threshold is a little lower, so tha
 others do.  Measured on random directions in 64 dimensions, where projections tell least: recall 0.95 with 1 % of 25,600
 vectors verified, 0.94 with 5 % of 2,000.
 
-Vectors are dealt evenly to blocks of about ``block`` rows, by their number and nothing else.  A block's index is built
+Vectors are dealt evenly to blocks of about ``block`` rows, or to a few smaller ones, by their number and nothing else.  A block's index is built
 once, in the task that holds it, and the queries stream past it, so that memory does not depend on their number; the
 nearest of all blocks are merged per query.  All rows are indexed.
 
@@ -34,7 +34,16 @@ from isoplane.checkpoints import cut
 
 @dataclass(frozen=True)
 class Collisions:
-    """Parameters of the hashing; ``reach`` is half a window in radii, ``together`` the queries of a block in lockstep."""
+    """Parameters of the hashing.
+
+    ``reach`` is half a window in radii, ``together`` the queries of a block in lockstep.  Blocks have ``block`` rows; fewer
+    rows make up to ``tasks`` blocks of at least ``small`` rows.
+    """
+
+    def blocks(self, rows: int) -> int:
+        """The number of blocks, by the number of rows and nothing else."""
+        return max(1, -(-rows // self.block), min(self.tasks, rows // self.small))
+
 
     projections: int = 448
     threshold: float = 0.677
@@ -44,6 +53,8 @@ class Collisions:
     probes: int = 16
     seed: int = 3
     block: int = 32768
+    tasks: int = 8
+    small: int = 1024
     together: int = 64
 
 
@@ -149,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, how: Collisions =
     )
     good = cut(good)
     rows = good.count()
-    blocks = max(1, -(-rows // how.block))
+    blocks = how.blocks(rows)
     data = good.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "id", "v")
     asking = good.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     queries = asking.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"), "id", "v")

@@ -64,3 +64,38 @@ def test_few_vectors_are_verified(spark):
         hit += len(set(ids[np.argsort(d)[:10]]) & set(found))
     assert hit >= 0.9 * 10 * len(asks)
     assert index.verified < 0.05 * len(asks) * len(ids)
+
+
+def test_several_blocks_of_a_small_table(spark):
+    """On the table ``embeddings``: recall and verified share over several blocks, and a result that no number of tasks changes."""
+    import pyarrow.parquet as pq
+
+    how = A.Collisions()
+    assert [how.blocks(n) for n in (0, 1023, 2000, 10_256, 51_282, 400_000)] == [1, 1, 1, 8, 8, 13]
+    how = A.Collisions(small=500)
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    table = pq.read_table(path).to_pydict()
+    ids, vectors = np.array(table["vec_id"]), np.array(table["embedding"], float)
+    assert how.blocks(len(ids)) == 4
+    frame = spark.read.parquet(path)
+    rows = lambda: sorted(tuple(r) for r in A.search(frame, F.col("vec_id") % 100 == 0, 10, how).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = rows()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows() == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hit = 0
+    queries = np.flatnonzero(ids % 100 == 0)
+    for q in queries:
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({int(ids[i]) for i in np.lexsort((ids, d))[:10]} & {v for i, _, v, _ in got if i == ids[q]})
+    assert hit >= 0.9 * 10 * len(queries)
+    verified = 0
+    for part in np.array_split(np.random.default_rng(1).permutation(len(ids)), 4):
+        index = A.Index(ids[part], vectors[part], 10, how)
+        list(index.search(ids[queries], vectors[queries]))
+        verified += index.verified
+    assert verified < 0.25 * len(queries) * len(ids)
