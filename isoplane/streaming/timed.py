@@ -1,22 +1,49 @@
 """Many jobs of an external tool at once, each with a time limit: a stream of commands meets a stream of results.
 
-The state of a job is one small row; its deadline is an event-time timer, so limits follow the times that commands and
-results carry, not the speed of the stream, and a restarted stream decides as an uninterrupted one.
+A job's state is a place in the arrays of its bucket, so that a call decides many jobs at a time; its deadline is event time, so
+limits follow the times that commands and results carry, not the speed of the stream, and a restarted stream decides as an
+uninterrupted one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_STATE = "issued long, ended long, exit_code int, closed boolean"
+#: Groups that jobs are dealt to by hash; part of a checkpoint's layout.
+BUCKETS = 1024
+
+#: Of each job in a bucket; an unknown time is ``_NONE``, and so is the code of a failure without one.
+_STATE = "job array<string>, issued array<long>, ended array<long>, code array<long>, closed array<boolean>, deadline array<long>"
+_KINDS = {"issued": "int64", "ended": "int64", "code": "int64", "closed": "bool", "deadline": "int64"}
+_NONE = np.iinfo(np.int64).max
 OUTCOMES = "job string, outcome string, exit_code int, seconds double"
 
 
+def _met(known: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The jobs of a bucket after new events: of each the first command, and the first result with the smallest code at its time."""
+    asks = pdf["asks"].to_numpy(bool)
+    asked = pdf[asks].groupby("job")["ms"].min()
+    told = pdf[~asks].assign(code=pdf["exit_code"].astype("Int64").fillna(_NONE).astype("int64")).sort_values(["ms", "code"]).drop_duplicates("job").set_index("job")
+    new = pd.Index(pdf["job"].unique()).difference(known.index, sort=False)
+    blank = {"issued": _NONE, "ended": _NONE, "code": _NONE, "closed": False, "deadline": 0, "due": False}
+    found = pd.concat([known, pd.DataFrame(blank, index=new)]) if len(new) else known
+    at = found.index.get_indexer(asked.index)
+    found.iloc[at, found.columns.get_loc("issued")] = np.minimum(found["issued"].to_numpy()[at], asked.to_numpy())
+    at = found.index.get_indexer(told.index)
+    ended, code = found["ended"].to_numpy()[at], found["code"].to_numpy()[at]
+    first = (told["ms"].to_numpy() < ended) | ((told["ms"].to_numpy() == ended) & (told["code"].to_numpy() < code))
+    found.iloc[at[first], found.columns.get_loc("ended")] = told["ms"].to_numpy()[first]
+    found.iloc[at[first], found.columns.get_loc("code")] = told["code"].to_numpy()[first]
+    found.iloc[found.index.get_indexer(pdf["job"].unique()), found.columns.get_loc("due")] = True
+    return found
+
+
 def outcomes(commands: DataFrame, results: DataFrame, limit_s: float = 1800, delay: str = "10 seconds") -> DataFrame:
     """One row ``(job, outcome, exit_code, seconds)`` for each job of the streams ``commands`` (``job, issued``) and ``results``
     (``job, ended, exit_code``), once it is decided.
@@ -40,34 +67,38 @@ def outcomes(commands: DataFrame, results: DataFrame, limit_s: float = 1800, del
     events = asked.unionByName(told).where("job is not null and at is not null").withWatermark("at", delay)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        issued, ended, code, closed = state.get if state.exists else (None, None, None, False)
-        if state.hasTimedOut and closed:
-            state.remove()
-            return
-        for pdf in frames if not state.hasTimedOut else ():
-            for row in pdf.sort_values("ms", kind="stable").itertuples():
-                if row.asks:
-                    issued = row.ms if issued is None else min(issued, row.ms)
-                    continue
-                other = None if pd.isna(row.exit_code) else int(row.exit_code)
-                if ended is None or (row.ms, other is None, other or 0) < (ended, code is None, code or 0):
-                    ended, code = row.ms, other
         now = state.getCurrentWatermarkMs()
-        found = None
-        if not closed:
-            if issued is not None and ended is not None:
-                found = ("timed out", None, limit / 1000) if ended - issued > limit else ("done" if code == 0 else "failed", code, (ended - issued) / 1000)
-            elif state.hasTimedOut or (issued if issued is not None else ended) + limit <= now:
-                found = ("timed out", None, limit / 1000) if issued is not None else ("unknown", code, None)
-        closed = closed or found is not None
-        last = max(t for t in (issued, ended) if t is not None)
-        state.update((issued, ended, code, closed))
+        held = state.get if state.exists else ([], *([] for _ in _KINDS))
+        jobs = pd.DataFrame({n: np.array(v, kind) for (n, kind), v in zip(_KINDS.items(), held[1:])}, index=pd.Index(held[0], dtype=object)).assign(due=False)
+        for pdf in frames if not state.hasTimedOut else ():
+            jobs = _met(jobs, pdf)
+        fresh = jobs["due"].to_numpy()  # those with events take their deadlines afterwards
+        late = ~fresh & (jobs["deadline"].to_numpy() < now)
+        jobs, fresh, late = (v[~(late & jobs["closed"].to_numpy())] for v in (jobs, fresh, late))
+        issued, ended, code, closed = (jobs[c].to_numpy() for c in ("issued", "ended", "code", "closed"))
+        asked, told = issued < _NONE, ended < _NONE
+        start, took = np.where(asked, issued, ended), np.where(asked & told, ended - issued, 0)
+        found = (fresh | late) & ~closed & ((asked & told) | late | (start + limit <= now))
+        slow = asked & ~(told & (took <= limit))
+        names = np.select([slow, ~asked, code == 0], ["timed out", "unknown", "done"], "failed")
+        seconds = np.where(slow, limit / 1000, np.where(asked, took / 1000, np.nan))
+        out = pd.DataFrame({"job": jobs.index, "outcome": names, "exit_code": pd.array(code, "Int64"), "seconds": seconds})
+        out.loc[slow | (code == _NONE), "exit_code"] = pd.NA
+        closed = closed | found
         # a decided job waits another limit
-        state.setTimeoutTimestamp(max(now + 1, (last + 2 * limit) if closed else (issued if issued is not None else ended) + limit))
-        if found is not None:
-            yield pd.DataFrame([(key[0], *found)], columns=["job", "outcome", "exit_code", "seconds"]).astype({"exit_code": "Int32", "seconds": "float64"})
+        last = np.maximum(np.where(asked, issued, ended), np.where(told, ended, issued))
+        wait = np.maximum(now + 1, np.where(closed, last + 2 * limit, start + limit))
+        jobs = jobs.assign(closed=closed, deadline=np.where(fresh | late, wait, jobs["deadline"].to_numpy()))
+        if len(jobs):
+            state.update((jobs.index.tolist(), *(jobs[c].tolist() for c in _KINDS)))
+            state.setTimeoutTimestamp(int(jobs["deadline"].min()))
+        else:
+            state.remove()
+        if found.any():
+            yield out[found].astype({"exit_code": "Int32"})
 
-    return events.groupBy("job").applyInPandasWithState(step, OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def result_files(spark, folder: str) -> DataFrame:

@@ -65,3 +65,20 @@ def test_result_files(spark, tmp_path):
     query.awaitTermination(60)
     (row,) = spark.table("result_files").collect()
     assert row.exit_code == -3 and row.job.replace("%20", " ") == "job 7" and row.ended is not None
+
+
+def test_many_jobs_share_few_states(spark, tmp_path):
+    """A call for each job took the time; a bucket's jobs are decided at once, each as if it were alone."""
+    jobs = 3000
+    commands = spark.range(jobs).selectExpr("concat('j', id) as job", "timestamp'2024-05-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 50) as issued")
+    results = spark.range(jobs).where("id % 3 > 0").selectExpr("concat('j', id) as job", "timestamp'2024-05-01 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 50 + id % 70) as ended", "cast(id % 2 as int) as exit_code")
+    commands.write.parquet(str(tmp_path / "c"))
+    results.write.parquet(str(tmp_path / "r"))
+    found = timed.outcomes(spark.readStream.schema(commands.schema).parquet(str(tmp_path / "c")), spark.readStream.schema(results.schema).parquet(str(tmp_path / "r")), limit_s=60)
+    query = found.writeStream.format("memory").queryName("many_jobs").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.job: (r.outcome, r.exit_code, r.seconds) for r in spark.table("many_jobs").collect()}
+    for k in range(jobs):
+        if k % 3:
+            assert got[f"j{k}"] == (("timed out", None, 60.0) if k % 70 > 60 else ("failed" if k % 2 else "done", k % 2, float(k % 70)))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= timed.BUCKETS
