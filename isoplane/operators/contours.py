@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import map_groups
+from .voxels import subtract
 
 # the eight neighbours (dy, dx), clockwise from the east, y downwards
 _ROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -159,4 +160,4 @@ def fill(points: DataFrame, key: Sequence[str], least: int = 3) -> DataFrame:
 def erase(mask: DataFrame, points: DataFrame, key: Sequence[str]) -> DataFrame:
     """The voxels of ``mask`` outside of the contours drawn on its slices; ``points`` have ``z`` beside the key."""
     slice_ = [*key, "z"]
-    return mask.join(fill(points, slice_), [*slice_, "x", "y"], "left_anti").select(*mask.columns)
+    return subtract(mask, fill(points, slice_), slice_, ("x", "y"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from isoplane.checkpoints import cut
 
 from .distance import nearest
+from .groups import placed
 from .labelling import label
 from .quantile import MOST, quantile
 
@@ -41,8 +42,21 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def subtract(a: DataFrame, b: DataFrame, key: Key) -> DataFrame:
-    return a.join(b.select(*key, "x", "y", "z"), [*key, "x", "y", "z"], "left_anti")
+def _typed(rows: DataFrame, like: DataFrame, names: Sequence[str], *others: str) -> DataFrame:
+    """Columns in the types that they have in ``like`` (a number that has no place there is null), and ``others`` as they are."""
+    return rows.select(*[F.col(c).try_cast(like.schema[c].dataType).alias(c) for c in names], *others)
+
+
+def subtract(a: DataFrame, b: DataFrame, key: Key, spot: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """The rows of ``a`` at whose place ``b`` has none.
+
+    Both meet in a window, which takes tables as they are if they are placed by ``key`` already; a join by the whole place
+    would move every voxel again.
+    """
+    place = [*key, *spot]
+    taken = _typed(b, a, place).dropna().withColumn("_taken", F.lit(True))
+    met = a.withColumn("_taken", F.lit(False)).unionByName(taken, allowMissingColumns=True)
+    return met.withColumn("_any", F.max("_taken").over(Window.partitionBy(*place))).where("not _any").select(*a.columns)
 
 
 def border(mask: DataFrame, key: Key) -> DataFrame:
@@ -75,7 +89,7 @@ def overlap(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> D
 
 def directed_distances(mask: DataFrame, key: Key, spacing: tuple[float, float, float]) -> DataFrame:
     """For each border voxel of a role its exact distance to the other role's border, in mm: ``(key, role, x, y, z, d)``."""
-    edge = cut(border(mask, [*key, "role"]))  # for the boxes, the slices and the queries
+    edge = placed(cut(border(mask, [*key, "role"])), list(key))  # for the boxes, the slices and the queries
     return nearest(edge, key, "role", spacing, lambda role: F.when(role == "GT", "AI").otherwise("GT"))
 
 
@@ -256,8 +270,11 @@ def keep_below(mask: DataFrame, reference: DataFrame, key: Key, width: int) -> D
     order = Window.partitionBy(*slice_).orderBy("x")
     left = F.last("b", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first("b", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    cut = columns.join(bottom, [*slice_, "x"], "left").select(*slice_, "x", F.coalesce(left, right).alias("cut"))
-    return mask.join(cut, [*slice_, "x"]).where("y > cut").drop("cut")
+    # unions, windows and groupings leave rows where they are if they are placed by the key
+    every = columns.unionByName(bottom.where(F.col("x").between(0, width - 1)), allowMissingColumns=True).groupBy(*slice_, "x").agg(F.max("b").alias("b"))
+    cut = every.select(*slice_, "x", F.coalesce(left, right).alias("_cut"))
+    met = mask.unionByName(_typed(cut, mask, [*slice_, "x"], "_cut").dropna(), allowMissingColumns=True)
+    return met.withColumn("_cut", F.max("_cut").over(Window.partitionBy(*slice_, "x"))).where("y > _cut").select(*mask.columns)
 
 
 def label_components(mask: DataFrame, key: Key, width: int, height: int) -> DataFrame:
@@ -267,15 +284,15 @@ def label_components(mask: DataFrame, key: Key, width: int, height: int) -> Data
 
 def drop_small(labelled: DataFrame, key: Key, least: int) -> DataFrame:
     """Voxels of components of at least ``max(1, least)`` voxels."""
-    sizes = labelled.groupBy(*key, "label").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, least))
-    return labelled.join(sizes, [*key, "label"], "left_semi")
+    size = F.count("*").over(Window.partitionBy(*key, "label"))
+    return labelled.withColumn("_n", size).where(F.col("_n") >= max(1, least)).drop("_n")
 
 
 def keep_largest(labelled: DataFrame, key: Key) -> DataFrame:
     """Voxels of the largest component of each key; of equal ones the first in scan order."""
-    sizes = labelled.groupBy(*key, "label").agg(F.count("*").alias("n"))
-    best = sizes.groupBy(*key).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-    return labelled.join(best, [*key, "label"], "left_semi")
+    sized = labelled.withColumn("_n", F.count("*").over(Window.partitionBy(*key, "label")))
+    best = F.first("label").over(Window.partitionBy(*key).orderBy(F.desc("_n"), "label"))
+    return sized.withColumn("_best", best).where("label = _best").drop("_n", "_best")
 
 
 def to_patient(x: Column, y: Column, z: Column, origin: tuple, directions: tuple, spacing: tuple) -> list[Column]:
@@ -292,8 +309,13 @@ def to_index(px: Column, py: Column, pz: Column, origin: tuple, directions: tupl
 CLOSE_RADIUS, FILL_RADIUS, FILL_RADIUS_Z = 2, 12, 1
 
 
+def _dealt(rows: DataFrame, key: Key, tasks: int | None) -> DataFrame:
+    """Rows by their key again: what comes out of Python, which forgets their places."""
+    return rows if tasks is None else rows.repartition(tasks, *key)
+
+
 def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column, erase: DataFrame, below: DataFrame | None = None, least: int = 0,
-            fill_gaps: bool = False, span: DataFrame | None = None, negative_slope: Column | None = None) -> DataFrame:
+            fill_gaps: bool = False, span: DataFrame | None = None, negative_slope: Column | None = None, tasks: int | None = None) -> DataFrame:
     """Dense voxels as a cleaned mask.
 
     In this order: voxels on the dense side of the raw ``limit`` in the slices ``z0`` to ``z1`` of ``span``, less
@@ -305,35 +327,38 @@ def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column,
     found = threshold(hu, limit, F.lit(False) if negative_slope is None else negative_slope)
     if span is not None:
         found = found.join(span, list(key)).where("z between z0 and z1")
-    found = close_2d(subtract(found.select(*spots), erase, key), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS, width, height).select(*spots)
+    # what is read twice is dealt, so that both read one shuffle
+    found = close_2d(_dealt(subtract(found.select(*spots), erase, key), key, tasks), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS, width, height).select(*spots)
     found = subtract(found, erase, key).select(*spots)
     if below is not None:
         found = keep_below(found, below, key, width).select(*spots)
     if fill_gaps:
-        found = close_z(found, key, FILL_RADIUS_Z, 0, depth - 1).select(*spots)
+        found = close_z(_dealt(found, key, tasks), key, FILL_RADIUS_Z, 0, depth - 1).select(*spots)
     if least > 0:
-        found = drop_small(label_components(found, key, width, height), key, least)
+        found = drop_small(_dealt(label_components(found, key, width, height), key, tasks), key, least)
     return found.select(*spots)
 
 
 def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape: tuple[int, int, int], spacing: tuple[float, float, float],
              coarse: Column, refined: Column, least: int = 4, z_reach: int = 10, body_margin: float = 10.0, keep_bulge: bool = False,
-             negative_slope: Column | None = None) -> DataFrame:
+             negative_slope: Column | None = None, tasks: int | None = None) -> DataFrame:
     """The two-pass segmentation of fixation gear; returns the final body mask.  ``coarse`` and ``refined`` are raw limits.
 
     The body is reduced to its largest component first.  Refined pass: what is dense and below that body, less body and
     couch, gaps filled, less the body grown by ``body_margin``.  The coarse pass (dense voxels outside of the body within
     ``z_reach`` slices of it) only serves to place the couch, so it is made and joined with ``keep_bulge`` only.
+
+    ``tasks`` is the number that ``hu``, ``body`` and ``couch`` are dealt to by ``key``, if they are; then no voxel moves but for the labels.
     """
     width, height, depth = shape
     spots = [*key, "x", "y", "z"]
-    clean = keep_largest(label_components(body, key, width, height), key).select(*spots)
-    gear = segment(hu, key, shape, refined, union(clean, couch.select(*spots)), clean, fill_gaps=True, negative_slope=negative_slope)
+    clean = keep_largest(_dealt(label_components(body, key, width, height), key, tasks), key).select(*spots)
+    gear = segment(hu, key, shape, refined, union(clean, couch.select(*spots)), clean, fill_gaps=True, negative_slope=negative_slope, tasks=tasks)
     result = union(clean, subtract(gear, grow(clean, key, body_margin, spacing), key).select(*spots))
     if not keep_bulge:
         return result
     span = clean.groupBy(*key).agg((F.min("z") - z_reach).alias("z0"), (F.max("z") + z_reach).alias("z1"))
-    return union(result, segment(hu, key, shape, coarse, clean, least=least, span=span, negative_slope=negative_slope))
+    return union(result, segment(hu, key, shape, coarse, clean, least=least, span=span, negative_slope=negative_slope, tasks=tasks))
 
 
 def outline(mask: DataFrame, key: Key) -> DataFrame:

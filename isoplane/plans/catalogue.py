@@ -11,7 +11,7 @@ from isoplane.checkpoints import fresh_path
 from isoplane.functions import text as T
 from isoplane.operators import comparison, contours, links, matching, planning, rules, search, voxels
 from isoplane.sources import exports, nifti, volumes
-from isoplane.sources.views import GRID, handles, view, view_sql
+from isoplane.sources.views import GRID, handles, tasks_of, view, view_sql
 
 SPACING, SHAPE = GRID.spacing, GRID.size
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +220,7 @@ def contours_nested(spark, sf_dir):
 @query(view_sql("hu") + f" SELECT {_XYZ} FROM v_hu WHERE raw >= 400")
 def contours_filled(spark, sf_dir):
     """Contours with their holes, filled again: the mask itself."""
-    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 400), ["image"], nested=True), ["image"])
+    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 400), ["image"], nested=True), ["image"]).repartition(tasks_of(spark, sf_dir, "hu"), "image")
     return contours.fill(traced, ["image", "z"], least=1).select("image", *_long("x", "y", "z"))
 
 
@@ -230,7 +230,7 @@ air AS (SELECT image, z, x, y FROM free WHERE x = -1 AND y = -1 UNION SELECT f.i
 SELECT {_XYZ} FROM (SELECT image, z, x, y FROM slice CROSS JOIN (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y)) ANTI JOIN air USING (image, z, x, y)""")
 def contours_solid(spark, sf_dir):
     """Outermost contours, filled: the mask without its holes."""
-    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 1200), ["image"]), ["image"])
+    traced = contours.points_of(contours.trace(_hu(spark, sf_dir, 1200), ["image"]), ["image"]).repartition(tasks_of(spark, sf_dir, "hu"), "image")
     return contours.fill(traced, ["image", "z"], least=1).select("image", *_long("x", "y", "z"))
 
 
@@ -495,7 +495,8 @@ def fixation(spark, sf_dir):
     """Both passes kept, so that the coarse one shows in the result."""
     hu = _hu(spark, sf_dir)
     found = voxels.fixation(
-        hu, hu.where(_BODY), hu.where(_COUCH), ["image"], SHAPE, SPACING, coarse=F.lit(_COARSE), refined=F.lit(_REFINED), least=_LEAST, z_reach=2, body_margin=1.5, keep_bulge=True
+        hu, hu.where(_BODY), hu.where(_COUCH), ["image"], SHAPE, SPACING, coarse=F.lit(_COARSE), refined=F.lit(_REFINED), least=_LEAST, z_reach=2, body_margin=1.5, keep_bulge=True,
+        tasks=tasks_of(spark, sf_dir, "hu"),
     )
     return found.select("image", *_long("x", "y", "z"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoplane.operators.groups import placed, tasks
 from isoplane.operators.matching import gather
 from isoplane.operators.voxels import Grid
 
@@ -150,10 +151,35 @@ VIEWS = {
 }
 
 
+#: Views of voxels and points: the key that their rows are dealt by, as the view states it, and the most source rows of a task.
+DEALT = {
+    "mask": ("part", "CAST(p_partkey AS BIGINT)", 4_000), "structure_mask": ("part", "CAST(p_partkey AS BIGINT)", 4_000), "contour": ("part", "CAST(p_partkey AS BIGINT)", 4_000),
+    "hu": ("lineitem", "CAST(l_suppkey AS BIGINT)", 100_000),
+}
+
+
+def deal(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Source rows placed by the view's key before the view multiplies or groups them, in as many tasks as they need.
+
+    Voxels of a key are then made where they are worked on: what groups or joins by the key moves none of them, and a task's
+    memory doesn't follow the table.
+    """
+    return placed(rows, [F.expr(key)], most)
+
+
+def tasks_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """The number of tasks that a view of ``DEALT`` is dealt to, for what shall meet it without a shuffle."""
+    source, _, most = DEALT[name]
+    return tasks(spark.read.parquet(f"{sf_dir}/{source}.parquet"), most)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view over the tables below ``sf_dir``."""
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders", "lineitem", "events") if "{" + t + "}" in sql}
+    if name in DEALT:
+        source, key, most = DEALT[name]
+        used[source] = deal(used[source], key, most)
     return spark.sql(sql, **used)
 
 
