@@ -310,8 +310,8 @@ CLOSE_RADIUS, FILL_RADIUS, FILL_RADIUS_Z = 2, 12, 1
 
 
 def _dealt(rows: DataFrame, key: Key, tasks: int | None) -> DataFrame:
-    """Rows by their key again: what comes out of Python, which forgets their places."""
-    return rows if tasks is None else rows.repartition(tasks, *key)
+    """A step's rows, written and dealt by their key again: each operator of a stage holds pages of its own until the stage ends."""
+    return rows if tasks is None else cut(rows).repartition(tasks, *key)
 
 
 def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column, erase: DataFrame, below: DataFrame | None = None, least: int = 0,
@@ -327,16 +327,15 @@ def segment(hu: DataFrame, key: Key, shape: tuple[int, int, int], limit: Column,
     found = threshold(hu, limit, F.lit(False) if negative_slope is None else negative_slope)
     if span is not None:
         found = found.join(span, list(key)).where("z between z0 and z1")
-    # what is read twice is dealt, so that both read one shuffle
     found = close_2d(_dealt(subtract(found.select(*spots), erase, key), key, tasks), key, FILL_RADIUS if fill_gaps else CLOSE_RADIUS, width, height).select(*spots)
-    found = subtract(found, erase, key).select(*spots)
+    found = subtract(_dealt(found, key, tasks), erase, key).select(*spots)
     if below is not None:
         found = keep_below(found, below, key, width).select(*spots)
     if fill_gaps:
         found = close_z(_dealt(found, key, tasks), key, FILL_RADIUS_Z, 0, depth - 1).select(*spots)
     if least > 0:
         found = drop_small(_dealt(label_components(found, key, width, height), key, tasks), key, least)
-    return found.select(*spots)
+    return _dealt(found.select(*spots), key, tasks)
 
 
 def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape: tuple[int, int, int], spacing: tuple[float, float, float],
@@ -348,11 +347,11 @@ def fixation(hu: DataFrame, body: DataFrame, couch: DataFrame, key: Key, shape:
     couch, gaps filled, less the body grown by ``body_margin``.  The coarse pass (dense voxels outside of the body within
     ``z_reach`` slices of it) only serves to place the couch, so it is made and joined with ``keep_bulge`` only.
 
-    ``tasks`` is the number that ``hu``, ``body`` and ``couch`` are dealt to by ``key``, if they are; then no voxel moves but for the labels.
+    ``tasks`` is the number that ``hu``, ``body`` and ``couch`` are dealt to by ``key``, if they are; then each step is written and dealt so.
     """
     width, height, depth = shape
     spots = [*key, "x", "y", "z"]
-    clean = keep_largest(_dealt(label_components(body, key, width, height), key, tasks), key).select(*spots)
+    clean = _dealt(keep_largest(_dealt(label_components(body, key, width, height), key, tasks), key).select(*spots), key, tasks)
     gear = segment(hu, key, shape, refined, union(clean, couch.select(*spots)), clean, fill_gaps=True, negative_slope=negative_slope, tasks=tasks)
     result = union(clean, subtract(gear, grow(clean, key, body_margin, spacing), key).select(*spots))
     if not keep_bulge:

@@ -28,3 +28,11 @@ def test_subtract_keeps_repeats_nulls_and_columns(spark):
     got = voxels.subtract(a, b, ["k"])
     assert got.schema == a.schema and sorted(r.note for r in got.collect()) == ["r", "r", "s", "t"]
     assert voxels.subtract(a, b.limit(0), ["k"]).agg(F.count("*")).first()[0] == 6
+
+
+def test_fixation_is_the_same_when_its_steps_are_dealt(spark):
+    spots = [(1, x, y, z, 1000 + (7 * x + 11 * y + 13 * z) % 990) for x in range(16) for y in range(16) for z in range(8)]
+    hu = spark.createDataFrame(spots, "image int, x int, y int, z int, raw int")
+    body, couch = hu.where("x between 5 and 9 and y between 3 and 6 and z between 2 and 5"), hu.where("y >= 14")
+    run = lambda tasks: voxels.fixation(hu, body, couch, ["image"], (16, 16, 8), (1.0, 1.5, 3.0), F.lit(1950), F.lit(1850), 3, 2, 1.5, True, tasks=tasks)
+    assert sorted(run(None).collect()) == sorted(run(3).collect())
