@@ -6,11 +6,15 @@ prediction is confirmed when at least 0.8 of the five-word shingles of one of th
 paragraph (a template of fewer words is one shingle).  The classifier is trained on the driver, from the templates below and seeded variations of them; it never
 looks at the corpus, and its size is fixed.
 
-The main path is DataFrame code in the JVM: one scan, a test for anchor words that lets few documents through, one join
-with the model's table (a few thousand rows, sent to all executors) and one grouping of the candidate paragraphs.
+Every paragraph is classified.  Those that the model gives a family are returned, and those with an anchor word whatever
+their class.  Each feature of the model holds a word that is not a function word, so a paragraph without any word that
+speaks for a family (``telling``) is unknown for certain, by the biases, and is settled as soon as it is cut into words.
 
-Edge cases: null and empty texts have no paragraph; wrapped lines are joined unless they end a sentence; a paragraph
-without an anchor word is no candidate; repeated rows are classified each; other columns are ignored.
+The main path is DataFrame code in the JVM: one scan that cuts every text into paragraphs and words, one join of the
+paragraphs that are not settled with the model's table (a few thousand rows, sent to all executors) and one grouping.
+
+Edge cases: null and empty texts have no paragraph; wrapped lines are joined unless they end a sentence; an unknown
+paragraph without an anchor word has no row; repeated rows are classified each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ UNKNOWN = "unknown"
 SHINGLE = 5
 SIMILARITY = 0.8
 
-# Parts of words of which a licence paragraph holds at least one; every template does.
+# Parts of words that mark a paragraph as one about licences; it has a row whatever its class.
 ANCHORS = [*"licen copyright permission warrant redistribut public domain rights spdx creative commons gnu mozilla apache gpl bsd mpl- cc-by cc0 eupl wtfpl altered".split(), "cc by"]
 
 # Notices of each family, as projects write them: headers, single paragraphs of the full texts, short forms.
@@ -149,6 +153,8 @@ HARMLESS = [
     "The general public was not admitted to the version shown in Berlin.",
 ]
 _FILLER = "the of and to in is that it for was on are as with his they at be this have from or one had by word but not what all were we when your can said".split()
+# Function words; an n-gram of these alone is no feature.
+FUNCTION_WORDS = frozenset([*_FILLER, *"a an any do if its may no so such their there these which will you".split()])
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -170,7 +176,10 @@ def pieces(tokens: list[str]) -> set[str]:
 
 
 def labelled_paragraphs(count: int = 4800, seed: int = 3) -> list[tuple[str, str]]:
-    """``(paragraph, family)``: templates and harmless sentences with lost words, cut ends and text around them."""
+    """``(paragraph, family)``: templates and harmless sentences with lost words, cut ends and text around them, and such text alone.
+
+    Made-up words are too long to repeat, so none becomes a feature.
+    """
     rng = random.Random(seed)
     families = list(TEMPLATES)
     found = []
@@ -182,7 +191,9 @@ def labelled_paragraphs(count: int = 4800, seed: int = 3) -> list[tuple[str, str
             rng.shuffle(tokens)
         if len(tokens) > 8 and rng.random() < 0.4:
             tokens = [t for t in tokens if rng.random() > 0.1]
-        pad = [[rng.choice(_FILLER) if rng.random() < 0.6 else "".join(rng.choice("abdeghinorstuv") for _ in range(rng.randint(2, 9))) for _ in range(rng.choice((0, 0, 3, 12, 30)))] for _ in range(2)]
+        if family == UNKNOWN and rng.random() < 0.3:
+            tokens = []
+        pad = [[rng.choice(_FILLER) if rng.random() < 0.6 else "".join(rng.choice("abdeghinorstuv") for _ in range(rng.randint(5, 9))) for _ in range(rng.choice((0, 0, 3, 12, 30)))] for _ in range(2)]
         found.append((" ".join([*pad[0], *tokens, *pad[1]]), family))
     return found
 
@@ -204,14 +215,14 @@ class LicenceModel:
 
 
 def train(paragraphs: list[tuple[str, str]] | None = None, steps: int = 200, l2: float = 3e-4, least: int = 3) -> LicenceModel:
-    """Fit on labelled paragraphs; every fifth is kept for the temperature."""
+    """Fit on labelled paragraphs; every fifth is kept for the temperature.  Features are n-grams with a word that is no function word."""
     paragraphs = labelled_paragraphs() if paragraphs is None else paragraphs
     classes = [UNKNOWN, *sorted({c for _, c in paragraphs} - {UNKNOWN})]
     sets = [ngrams(words(p)) for p, _ in paragraphs]
     y = np.array([classes.index(c) for _, c in paragraphs])
     own = np.arange(len(y)) % 5 != 0
     seen = Counter(g for k in np.flatnonzero(own) for g in sets[k])
-    index = {g: k for k, g in enumerate(sorted(g for g, n in seen.items() if n >= least))}
+    index = {g: k for k, g in enumerate(sorted(g for g, n in seen.items() if n >= least and not FUNCTION_WORDS.issuperset(g.split())))}
     x = np.zeros((len(y), len(index) + 1), np.float32)
     x[:, -1] = 1
     for k, grams in enumerate(sets):
@@ -238,6 +249,18 @@ def train(paragraphs: list[tuple[str, str]] | None = None, steps: int = 200, l2:
     return LicenceModel(classes, weights, w[-1].tolist(), temperature)
 
 
+def telling(model: LicenceModel) -> list[str] | None:
+    """Words of which every paragraph with a family holds one; none if the biases alone may give one.
+
+    A family of probability 0.5 or more is likelier than unknown.  With biases that favour unknown, that takes an n-gram
+    whose weight for the family is above that for unknown, and so each of its words.
+    """
+    if max(model.bias[1:], default=-np.inf) >= model.bias[0]:
+        return None
+    grams = [set(g.split()) for g, w in model.weights.items() if max(w[1:]) > w[0]]
+    return sorted(set().union(*[g - FUNCTION_WORDS or g for g in grams]))
+
+
 def _templates(classes: list[str]) -> list[tuple[int, set[str]]]:
     return [(classes.index(f), shingles(words(t))) for f, texts in TEMPLATES.items() if f in classes for t in texts]
 
@@ -269,26 +292,26 @@ def _grams(tokens: Column) -> Column:
 
 
 def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, paragraph, family, probability, p_unknown, similarity, confirmed)`` of each candidate paragraph."""
+    """``(doc_id, paragraph, family, probability, p_unknown, similarity, confirmed)`` of each paragraph with a family or an anchor word."""
+
     def anchored(text: Column) -> Column:
         return reduce(lambda found, a: found | text.contains(a), ANCHORS, F.lit(False))
 
-    # bound to a variable, the text is lower-cased once and not for every anchor
-    some = F.exists(F.array(F.lower("text")), anchored)
+    words_of = F.regexp_extract_all("p", F.lit(_WORD), 0)
+    marks = telling(model)
+    undecided = F.size(words_of) > 0 if marks is None else F.arrays_overlap(words_of, F.array(*[F.lit(w) for w in marks]).cast("array<string>"))
     candidates = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .where(some)
         .withColumn("row", F.monotonically_increasing_id())
         .select("doc_id", "row", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "p"))
-        .where(anchored(F.col("p")))
-        .withColumn("tokens", F.regexp_extract_all("p", F.lit(_WORD), 0))
-        .where(F.size("tokens") > 0)
-        .select("doc_id", "row", "paragraph", F.explode(_grams(F.col("tokens"))).alias("gram"))
+        .where(anchored(F.col("p")) | undecided)
+        .select("doc_id", "row", "paragraph", anchored(F.col("p")).alias("anchored"), words_of.alias("tokens"))
+        .select("doc_id", "row", "paragraph", "anchored", F.explode(_grams(F.col("tokens"))).alias("gram"))
     )
     # the left join keeps candidates without any known n-gram: their class is unknown
     met = candidates.join(F.broadcast(_model_table(docs, model)), "gram", "left")
     k = len(model.classes)
-    sums = met.groupBy("row", "doc_id", "paragraph").agg(
+    sums = met.groupBy("row", "doc_id", "paragraph", "anchored").agg(
         F.array(*[F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)) + F.lit(model.bias[c]) for c in range(k)]).alias("z"),
         F.flatten(F.collect_list("templates")).alias("hits"),
     )
@@ -300,11 +323,14 @@ def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
         lambda t: F.struct(F.get(of_class, t).alias("c"), (F.size(F.filter("hits", lambda h: h == t)) * F.get(likeness, t)).alias("s")),
     )
     heat = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / F.lit(model.temperature)))
+    # a family has to be likelier than unknown; few paragraphs are left for the rest
     return (
-        sums.withColumn("e", heat)
+        sums.where(F.col("anchored") | (F.array_max("z") > F.get("z", F.lit(0))))
+        .withColumn("e", heat)
         .withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
         .withColumn("best", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
         .withColumn("best", F.when(F.array_max("p") >= 0.5, F.col("best")).otherwise(0))
+        .where(F.col("anchored") | (F.col("best") > 0))
         .withColumn("similar", F.coalesce(F.array_max(F.transform(F.filter(similar, lambda x: x["c"] == F.col("best")), lambda x: x["s"])), F.lit(0.0)))
         .select(
             "doc_id",
