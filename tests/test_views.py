@@ -36,3 +36,10 @@ def test_fixation_is_the_same_when_its_steps_are_dealt(spark):
     body, couch = hu.where("x between 5 and 9 and y between 3 and 6 and z between 2 and 5"), hu.where("y >= 14")
     run = lambda tasks: voxels.fixation(hu, body, couch, ["image"], (16, 16, 8), (1.0, 1.5, 3.0), F.lit(1950), F.lit(1850), 3, 2, 1.5, True, tasks=tasks)
     assert sorted(run(None).collect()) == sorted(run(3).collect())
+
+
+@pytest.mark.parametrize("name", ["directed_dist", "contours_filled"])
+def test_only_dealing_moves_rows(spark, name):
+    plan = catalogue.QUERIES["q_" + name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moves and all("REPARTITION_BY_NUM" in line for line in moves)
